@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant import config as C
 from foliant.functions import text as tx
 from foliant.operators.ordered import id_positions, running_sums
+from foliant.operators.sizing import settle
 
 _BLOCK_BITS = 14
 
@@ -37,10 +38,9 @@ def _in_blocks(df: DataFrame, source: str, back: int, ahead: int) -> DataFrame:
         F.when(place >= width - back, block + 1),
         F.when((place < ahead) & (block > 0), block - 1),
     )
-    copies = df.withColumn("_home", block).withColumn(
+    return df.withColumn("_home", block).withColumn(
         "_block", F.explode(F.filter(homes, lambda b: b.isNotNull()))
     )
-    return copies
 
 
 def split_lines(
@@ -59,16 +59,15 @@ def split_lines(
     after its heading and the two characters before the next heading.
     """
     lines = df.select(source, line_no, F.col(text).alias("_t")).filter(F.col("_t") != "")
-    lines = id_positions(lines, line_no, by=[source], out="pos").drop(line_no)
-
     flags = lines.select(
         source,
-        "pos",
+        line_no,
         F.col("_t").rlike(C.HEADING_LINE).alias("_looks"),
         F.col("_t").endswith(" \n").alias("_ends"),
         (F.col("_t") == " \n").alias("_blank"),
         F.col("_t").startswith(" ").alias("_starts"),
     )
+    flags = id_positions(flags, line_no, by=[source], out="pos")
     near = Window.partitionBy(source, "_block").orderBy("pos")
 
     def shifted(column: str, by: int):
@@ -81,28 +80,31 @@ def split_lines(
     )
     linked = shifted("_cand", 1) | (shifted("_blank", 1) & shifted("_cand", 2))
     flags = flags.withColumn("_open", ~linked)
-    cands = flags.filter(F.col("_cand") & (F.col("_block") == F.col("_home"))).select(
-        source, "pos", "_open"
+    # Candidates are few; written out once, what follows reads only them.
+    cands = settle(
+        flags.filter(F.col("_cand") & (F.col("_block") == F.col("_home"))).select(
+            source, line_no, "_open"
+        )
     )
 
     # Headings that follow each other directly form a run; odd places split.
     counted = running_sums(
-        cands, "pos", {"_c": F.lit(1), "_run": F.col("_open").cast("int")}, [source]
+        cands, line_no, {"_c": F.lit(1), "_run": F.col("_open").cast("int")}, [source]
     )
     starts = counted.groupBy(source, "_run").agg(F.min("_c").alias("_first"))
     headings = (
         counted.join(starts, [source, "_run"])
         .filter((F.col("_c") - F.col("_first")) % 2 == 0)
-        .select(source, "pos", F.lit(1).alias("_heading"))
+        .select(source, line_no, F.lit(1).alias("_heading"))
     )
 
-    marked = lines.join(headings, [source, "pos"], "left")
+    marked = lines.join(headings, [source, line_no], "left")
     marked = running_sums(
-        marked, "pos", {"article": F.coalesce("_heading", F.lit(0))}, [source]
+        marked, line_no, {"article": F.coalesce("_heading", F.lit(0))}, [source]
     ).filter((F.col("article") > 0) & F.col("_heading").isNull())
-    last = marked.groupBy(source).agg(F.max("article").alias("_last"))
+    last = headings.groupBy(source).agg(F.count(F.lit(1)).alias("_last"))
     body = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "_t"))), lambda r: r["_t"]), ""
+        F.transform(F.array_sort(F.collect_list(F.struct(line_no, "_t"))), lambda r: r["_t"]), ""
     )
     # One article is one output row, so its lines have to meet in one task.
     whole = marked.groupBy(source, "article").agg(body.alias("_body"))

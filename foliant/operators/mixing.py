@@ -168,46 +168,66 @@ def mixture_draws(
     return id_positions(drawn, "step", by=["name"], out="pos", shifts=ID_SHIFTS)
 
 
-def mixture_feed(
+def mixture_parts(
     corpora: dict[str, DataFrame],
     mix: Sequence[C.MixEntry],
     iters: int,
     row_id: str = "row_id",
     seed: int = 42,
-) -> DataFrame:
-    """The draw at every step of a weighted mixture, without replacement.
+) -> dict[str, DataFrame]:
+    """Per corpus, the rows drawn from it with the step that draws each.
 
-    A corpus is visited in shuffled order; one that runs out is an error. Only
-    the shuffled positions that can be drawn are ranked.
+    A corpus is visited in shuffled order, without replacement; one that runs
+    out is an error. Only the shuffled positions that can be drawn are ranked.
     """
     spark = next(iter(corpora.values())).sparkSession
-    names = [m.name for m in mix]
-    draws = mixture_draws(spark, names, [m.partition for m in mix], iters, seed)
-    parts = []
+    draws = mixture_draws(spark, [m.name for m in mix], [m.partition for m in mix], iters, seed)
+    parts = {}
     for m in mix:
         df = corpora[m.name]
         cols = [c for c in df.columns if c != "name"]
-        tagged = df.select(
-            F.lit(m.name).alias("name"), *cols, F.lit(m.truncation).cast("int").alias("truncation")
+        # The constant name keeps the order of each corpus its own.
+        tagged = df.select(F.lit(m.name).alias("name"), *cols)
+        rows = shuffled_positions(
+            tagged, row_id, seed, ["name"], "pos", first=iters, known_keys=1
+        ).drop("name")
+        own = draws.filter(F.col("name") == m.name).drop("name")
+        fed = own.join(rows.withColumn("_found", F.lit(True)), "pos", "left")
+        step = F.when(F.col("_found"), F.col("step")).otherwise(
+            F.raise_error(F.lit(f"corpus exhausted: {m.name}")).cast("bigint")
         )
-        # A constant name adds nothing to the key; the digest still uses it.
-        parts.append(
-            shuffled_positions(tagged, row_id, seed, ["name"], "pos", first=iters, known_keys=1)
+        parts[m.name] = fed.select(
+            step.alias("step"),
+            F.lit(m.name).alias("name"),
+            "pos",
+            *cols,
+            F.lit(m.truncation).cast("int").alias("truncation"),
         )
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    rows = rows.withColumn("_found", F.lit(True))
-    fed = draws.join(rows, ["name", "pos"], "left")
-    name = F.when(F.col("_found"), F.col("name")).otherwise(
-        F.raise_error(F.concat(F.lit("corpus exhausted: "), F.col("name")))
-    )
-    return fed.withColumn("name", name).drop("_found")
+    return parts
+
+
+def mixture_feed(
+    corpora: dict[str, DataFrame],
+    mix: Sequence[C.MixEntry],
+    iters: int,
+    row_id: str = "row_id",
+    seed: int = 42,
+) -> DataFrame:
+    """The draw at every step of a weighted mixture."""
+    parts = mixture_parts(corpora, mix, iters, row_id, seed)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts.values())
 
 
 # --- chunk reservoir -------------------------------------------------------
 
 
 def chunk_reservoir(
-    chunk_rows: DataFrame, k: int = 2, doc: str = "sample_id", chunk: str = "seq", seed: int = 42
+    chunk_rows: DataFrame,
+    k: int = 2,
+    doc: str = "sample_id",
+    chunk: str = "seq",
+    seed: int = 42,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Which chunks of each document a k-slot reservoir keeps, and when it lets go.
 
@@ -219,11 +239,12 @@ def chunk_reservoir(
     slot down.
 
     ``outcome`` is kept, evicted or last; ``released_at`` is the chunk at
-    whose arrival an evicted one went; ``visit`` counts the survivors.
+    whose arrival an evicted one went; ``visit`` counts the survivors. The
+    windows hold the chunks of one document, which came from one row.
     """
     j = hashing.draw_below(F.col(chunk) + 1, F.col(doc), F.col(chunk), seed, "slot")
     slot = F.when(F.col(chunk) < k, F.col(chunk)).otherwise(j)
-    rows = chunk_rows.select(doc, chunk, slot.cast("bigint").alias("slot"))
+    rows = chunk_rows.select(doc, chunk, *keep, slot.cast("bigint").alias("slot"))
     # A chunk that never enters a slot is a lane of its own.
     lane = F.when(F.col("slot") < k, F.col("slot")).otherwise(-1 - F.col(chunk))
     # The document window comes first: its partitioning serves all three.
@@ -249,5 +270,13 @@ def chunk_reservoir(
     return (
         rows.withColumn("_slots", slots)
         .withColumn("visit", F.when(kept, visit).cast("int"))
-        .select(doc, chunk, F.when(inside, F.col("slot")).alias("slot"), "outcome", "released_at", "visit")
+        .select(
+            doc,
+            chunk,
+            *keep,
+            F.when(inside, F.col("slot")).alias("slot"),
+            "outcome",
+            "released_at",
+            "visit",
+        )
     )

@@ -21,9 +21,11 @@ from foliant.operators.sizing import broadcast_if_small
 _BUCKET_DIGITS = 4
 BUCKETS = 16**_BUCKET_DIGITS
 
-# Block widths (in bits of the order column) for row ids and for turn numbers.
-ID_SHIFTS = (16, 32, 48)
-TURN_SHIFTS = (12, 24)
+# Block widths in bits of the order column. Row ids may be sparse, so their
+# blocks are themselves blocked: no window sees more than 2**24 block totals.
+# Turn and line numbers are dense enough for one level.
+ID_SHIFTS = (16, 40)
+TURN_SHIFTS = (14,)
 
 
 def _totals_before(

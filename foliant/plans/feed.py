@@ -29,10 +29,10 @@ def training_feed(
     ``tags`` names the task types of each corpus. A step is one drawn
     document, so it serves as the sample id of its chunks.
     """
-    fed = mixing.mixture_feed(corpora, mix, iters, row_id, seed)
+    parts = mixing.mixture_parts(corpora, mix, iters, row_id, seed)
     plans = [
         planners.plan_tasks(
-            fed.filter(F.col("name") == m.name),
+            parts[m.name],
             chunks,
             tokens,
             m.truncation,
@@ -43,5 +43,6 @@ def training_feed(
         for m in mix
     ]
     plan = reduce(lambda a, b: a.unionByName(b), plans)
-    fate = mixing.chunk_reservoir(plan, k, "sample_id", "seq", seed)
-    return plan.join(fate, ["sample_id", "seq"]).withColumnRenamed("sample_id", "step")
+    rest = [c for c in planners.PLAN_COLUMNS if c not in ("sample_id", "seq")]
+    fate = mixing.chunk_reservoir(plan, k, "sample_id", "seq", seed, keep=rest)
+    return fate.withColumnRenamed("sample_id", "step")

@@ -553,12 +553,11 @@ def plan_tasks(
     unknown = [t for t in wanted if t not in planners]
     if unknown:
         raise ValueError(f"no planner for task type {unknown}")
-    known = F.col("task_type").isin(*wanted)
-    df = df.withColumn(
-        "task_type",
-        F.when(known, F.col("task_type")).otherwise(
-            F.raise_error(F.concat(F.lit("no planner for task type "), F.col("task_type")))
-        ),
-    )
     branches = [planners[t](df.filter(F.col("task_type") == t)) for t in wanted]
+    # Rows left over fail in a generator: unlike a filter or a column, it is
+    # neither moved nor pruned. With constant tags this branch folds away.
+    known = F.coalesce(F.col("task_type").isin(*wanted), F.lit(False))
+    failed = F.raise_error(F.concat(F.lit("no planner for task type "), F.col("task_type")))
+    rows = failed.cast(f"array<struct<{','.join(f'{n}:{kind}' for n, (kind, _) in FIELDS.items())}>>")
+    branches.append(emit(df.filter(~known), rows, "", row_id))
     return reduce(lambda a, b: a.unionByName(b), branches)

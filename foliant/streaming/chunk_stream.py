@@ -80,9 +80,10 @@ def emit_chunks(
             state.remove()
         else:
             state.update((tail, chunks, last))
-        frame = pd.DataFrame(out, columns=[key, "kind", "chunk_id", "turn", "input_ids"])
-        frame["chunk_id"] = frame["chunk_id"].astype("Int64")
-        yield frame
+        if out:
+            frame = pd.DataFrame(out, columns=[key, "kind", "chunk_id", "turn", "input_ids"])
+            frame["chunk_id"] = frame["chunk_id"].astype("Int64")
+            yield frame
 
     closes = F.col(end) if end else F.lit(False)
     rows = arrivals.select(

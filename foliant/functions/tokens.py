@@ -227,28 +227,11 @@ def pad_mask(arr: Column, length: Column, side: str = "right") -> Column:
     return pad_to(ones(arr), length, 0, side)
 
 
-def position_ids(mask: Column) -> Column:
-    """Running count of ones minus one, and 0 wherever the mask is 0.
+def position_ids_contiguous(mask: Column) -> Column:
+    """Running count of ones minus one, 0 where the mask is 0.
 
-    One pass: the accumulator carries the count of ones seen so far.
+    For a mask with one block of ones, as left or right padding makes it.
     """
-    zero = F.struct(F.lit(0).alias("seen"), empty_ints().alias("out"))
-    counted = F.aggregate(
-        mask,
-        zero,
-        lambda acc, m: F.struct(
-            (acc["seen"] + m).alias("seen"),
-            F.concat(
-                acc["out"],
-                F.array(F.when(m == 0, F.lit(0)).otherwise(acc["seen"] + m - 1)),
-            ).alias("out"),
-        ),
-    )
-    return counted["out"]
-
-
-def position_ids_contiguous(mask: Column) -> Column:
-    """The same for a mask with one block of ones (left or right padding)."""
     first = F.array_position(mask, 1).cast("int")
     return F.transform(mask, lambda m, i: F.when(m == 0, F.lit(0)).otherwise(i + 1 - first))
 

@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from foliant import config as C
 from foliant.functions import tokens as tk
+from foliant.operators.once import with_once
 from foliant.operators.ordered import shuffled_positions
+from foliant.operators.sizing import settle
 
 
 def pad_value(column: str, pad: int = C.PAD) -> int:
@@ -23,8 +25,12 @@ def pad_value(column: str, pad: int = C.PAD) -> int:
 def batch_lengths(
     df: DataFrame, columns: Sequence[str], batch_size: int, row_id: str, seed: int
 ) -> DataFrame:
-    """Batch, place and padded length per row, from ids and sizes alone."""
-    narrow = df.select(row_id, *[F.size(c).alias(f"_n_{c}") for c in columns])
+    """Batch, place and padded length per row, from ids and sizes alone.
+
+    The sizes are written out once: numbering reads them twice, and making the
+    arrays may be costly.
+    """
+    narrow = settle(df.select(row_id, *[F.size(c).alias(f"_n_{c}") for c in columns]))
     placed = shuffled_positions(narrow, row_id, seed, out="pos")
     placed = placed.withColumn("batch_id", F.expr(f"pos div {batch_size}"))
     batch = Window.partitionBy("batch_id")  # batch_size rows
@@ -36,6 +42,32 @@ def batch_lengths(
     )
 
 
+def with_position_ids(df: DataFrame, mask: str, out: str = "position_ids") -> DataFrame:
+    """Add the running count of ones minus one, 0 wherever the mask is 0.
+
+    A mask with one block of ones counts from the block's start. One with
+    holes ranks the places of its ones and sorts the zeros back in.
+    """
+    at = F.transform(mask, lambda m, i: F.struct(i.alias("at"), m.alias("m")))
+    ones = F.filter(at, lambda p: p["m"] != 0)
+    zeros = F.filter(at, lambda p: p["m"] == 0)
+    df = with_once(
+        df, {"_ones": F.transform(ones, lambda p: p["at"]), "_zeros": F.transform(zeros, lambda p: p["at"])}
+    )
+    first, last = F.array_min("_ones"), F.array_max("_ones")
+    solid_block = (last - first + 1 == F.size("_ones")) | (F.size("_ones") == 0)
+    df = with_once(df, {"_first": first, "_solid": solid_block})
+    solid = F.transform(mask, lambda m, i: F.when(m == 0, 0).otherwise(i - F.col("_first")))
+    ranked = F.concat(
+        F.transform("_ones", lambda p, rank: F.struct(p.alias("at"), rank.alias("n"))),
+        F.transform("_zeros", lambda p: F.struct(p.alias("at"), F.lit(0).alias("n"))),
+    )
+    holed = F.transform(F.array_sort(ranked), lambda p: p["n"])
+    return df.withColumn(out, F.when(F.col("_solid"), solid).otherwise(holed)).drop(
+        "_ones", "_zeros", "_first", "_solid"
+    )
+
+
 def collate(
     df: DataFrame,
     batch_size: int,
@@ -53,19 +85,16 @@ def collate(
     arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
     layout = batch_lengths(df, arrays, batch_size, row_id, seed)
     joined = df.join(layout, row_id)
-    padded = {
-        c: tk.pad_to(F.col(c), F.col(f"_len_{c}"), pad_value(c, pad), side) for c in arrays
-    }
-    if add_position_ids:
-        padded |= {
-            c.replace("attention_mask", "position_ids"): tk.position_ids(padded[c])
-            for c in arrays
-            if "attention_mask" in c
-        }
+    padded = [
+        tk.pad_to(F.col(c), F.col(f"_len_{c}"), pad_value(c, pad), side).alias(c) for c in arrays
+    ]
     others = [c for c in df.columns if c not in arrays]
-    return joined.select(
-        "batch_id", "place", *others, *[col.alias(name) for name, col in padded.items()]
-    )
+    out = joined.select("batch_id", "place", *others, *padded)
+    if add_position_ids:
+        for c in arrays:
+            if "attention_mask" in c:
+                out = with_position_ids(out, c, c.replace("attention_mask", "position_ids"))
+    return out
 
 
 def stack_batches(padded: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.functions import hashing
 from foliant.operators.sizing import broadcast_if_small
@@ -20,6 +21,8 @@ from foliant.operators.sizing import broadcast_if_small
 # 16 bits of a digest: at most 65,536 buckets per key.
 _BUCKET_DIGITS = 4
 BUCKETS = 16**_BUCKET_DIGITS
+_BROADCAST_KEYS = 16
+_NUMBERS = (T.NumericType, T.BooleanType)
 
 # Block widths in bits of the order column. Row ids may be sparse, so their
 # blocks are themselves blocked: no window sees more than 2**24 block totals.
@@ -68,23 +71,36 @@ def running_sums(
 
     ``order`` must be unique within the key and not negative. A window task
     sees at most ``2**shifts[0]`` rows.
+
+    Rows and block totals both come from ``df``. A table that holds only
+    numbers besides its keys is read and shuffled once: a block's totals are
+    read off its last row, with all columns, so both sides ask for the same
+    exchange. With texts or arrays the totals are a second, narrow reading,
+    combined before its shuffle.
     """
     by = list(by)
     cols = {f"_v{i}": expr for i, expr in enumerate(values.values())}
-    rows = df.withColumns({**cols, "_block": F.shiftright(F.col(order).cast("bigint"), shifts[0])})
-    blocks = rows.groupBy(*by, "_block").agg(*[F.sum(c).alias(c) for c in cols])
-    before = _totals_before(
-        blocks, by, "_block", list(cols), tuple(s - shifts[0] for s in shifts[1:])
-    ).withColumnsRenamed({c: f"{c}_before" for c in cols})
+    # Never null, or a null check on one side alone would part the exchanges.
+    block = F.coalesce(F.shiftright(F.col(order).cast("bigint"), shifts[0]), F.lit(0))
+    rows = df.withColumns({**cols, "_block": block})
     inside = (
         Window.partitionBy(*by, "_block")
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     summed = rows.withColumns({c: F.sum(c).over(inside) for c in cols})
+    if all(isinstance(f.dataType, _NUMBERS) for f in df.schema.fields if f.name not in by):
+        last = F.max_by(F.struct(*summed.columns), order).alias("_last")
+        blocks = summed.groupBy(*by, "_block").agg(last)
+        blocks = blocks.select(*by, "_block", *[F.col("_last")[c].alias(c) for c in cols])
+    else:
+        blocks = rows.groupBy(*by, "_block").agg(*[F.sum(c).alias(c) for c in cols])
+    before = _totals_before(
+        blocks, by, "_block", list(cols), tuple(s - shifts[0] for s in shifts[1:])
+    ).withColumnsRenamed({c: f"{c}_before" for c in cols})
     joined = summed.join(before, [*by, "_block"])
     return joined.select(
-        *[F.col(c) for c in df.columns],
+        *[F.col(c) for c in df.columns if c not in values],
         *[
             (F.col(c) + F.col(f"{c}_before")).alias(name)
             for c, name in zip(cols, values, strict=True)
@@ -128,7 +144,13 @@ def shuffled_positions(
     by = list(by)
     rows = df.withColumn("_digest", hashing.digest(*[F.col(c) for c in by], F.col(row_id), seed))
     rows = rows.withColumn("_bucket", F.substring("_digest", 1, _BUCKET_DIGITS))
-    counts = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_digest", row_id)
+    ranked = rows.withColumn("_rank", F.row_number().over(inside))
+    if first is None and set(df.columns) <= {*by, row_id}:
+        # Nothing but ids: counts and ranks share one exchange.
+        counts = ranked.groupBy(*by, "_bucket").agg(F.max("_rank").alias("_n"))
+    else:
+        counts = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # At most 65,536 bucket rows per key, whatever the number of rows.
     earlier = (
         Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -136,16 +158,16 @@ def shuffled_positions(
     offsets = counts.select(
         *by, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
     )
-    if first is not None:
-        offsets = offsets.filter(F.col("_offset") < first)
-    max_keys = 16
-    if not by or (known_keys is not None and known_keys <= max_keys):
+    few_keys = not by or (known_keys is not None and known_keys <= _BROADCAST_KEYS)
+    position = (F.col("_offset") + F.col("_rank") - 1).cast("bigint").alias(out)
+    columns = [F.col(c) for c in df.columns]
+    if first is None:
+        offsets = F.broadcast(offsets) if few_keys else offsets
+        return ranked.join(offsets, [*by, "_bucket"]).select(*columns, position)
+    offsets = offsets.filter(F.col("_offset") < first)
+    if few_keys:
         offsets = F.broadcast(offsets)
-    elif first is not None:
-        offsets = broadcast_if_small(offsets, max_keys * BUCKETS)
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_digest", row_id)
-    numbered = rows.join(offsets, [*by, "_bucket"]).select(
-        *[F.col(c) for c in df.columns],
-        (F.col("_offset") + F.row_number().over(inside) - 1).cast("bigint").alias(out),
-    )
-    return numbered if first is None else numbered.filter(F.col(out) < first)
+    else:
+        offsets = broadcast_if_small(offsets, _BROADCAST_KEYS * BUCKETS)
+    kept = rows.join(offsets, [*by, "_bucket"]).withColumn("_rank", F.row_number().over(inside))
+    return kept.select(*columns, position).filter(F.col(out) < first)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from foliant import config as C
 from foliant.functions import text as tx
 from foliant.functions import tokens as tk
+from foliant.operators.once import with_once
 from foliant.operators.ordered import shuffled_positions
 
 
@@ -97,7 +98,8 @@ def sft_words(
     bos = 1 if conf.add_bos else 0
     room = F.lit(max_length) - F.size("_out")
     half = F.greatest(F.floor(room / 2), F.lit(0)).cast("int")
-    df = df.withColumns(
+    df = with_once(
+        df,
         {
             "_in": tk.words(
                 tx.middle_truncate_chars(
@@ -105,7 +107,7 @@ def sft_words(
                 )
             ),
             "_out": tk.words(tx.strip(F.col(output))),
-        }
+        },
     )
     df = df.withColumns({"_half": half, "_fits": F.size("_out").between(1, max_length)})
     # bos is the first token of the first half.
@@ -135,9 +137,8 @@ def lm_samples(
     """Language-modelling samples: labels are the ids themselves."""
     capped = tx.cap_chars(F.col(text), C.CHARS_PER_TOKEN_BOUND * max_length)
     ids = tk.head_truncate(tk.tokenize(capped, conf), max_length)
-    out = df.select(F.col(row_id), *keep, ids.alias("input_ids")).filter(
-        tk.length_between(F.col("input_ids"), min_length, None)
-    )
+    out = with_once(df.select(row_id, *keep, text), {"input_ids": ids})
+    out = out.filter(tk.length_between(F.col("input_ids"), min_length, None))
     return _finish(out, row_id, keep, F.col("input_ids"))
 
 
@@ -168,9 +169,10 @@ def sft_samples(
     text = F.concat(
         tk.decode(F.col("_prompt")), tk.separator(F.col(row_id), seed), tk.decode(F.col("_out"))
     )
-    extra = [text.alias("text")] if keep_text else []
-    out = df.select(
-        F.col(row_id), *keep, *extra, ids.alias("_ids"), F.size("_out").alias("_answer")
+    extra = {"text": text} if keep_text else {}
+    out = with_once(
+        df.select(row_id, *keep, "_prompt", "_out"),
+        {"_ids": ids, "_answer": F.size("_out"), **extra},
     ).filter(tk.length_between(F.col("_ids"), min_length, None))
     columns = _sft_columns(F.col("_ids"), F.col("_answer"))
     out = out.select(
@@ -244,17 +246,14 @@ def mixed_samples(
     words = sft_words(df.withColumn("_shape", shape), conf, max_length)
     capped = tx.cap_chars(F.col("text"), C.CHARS_PER_TOKEN_BOUND * max_length)
     lm, sft = F.col("_shape") == "lm", F.col("_shape") == "sft"
-    shaped = words.filter(~sft | F.col("_fits")).select(
-        F.col(row_id),
-        *keep,
-        "_shape",
+    ids = (
         F.when(lm, tk.head_truncate(tk.tokenize(capped, conf), max_length))
         .when(sft, tk.word_ids(F.concat("_prompt", "_out"), conf))
         .otherwise(F.col("input_ids"))
-        .alias("_ids"),
-        F.col("labels").alias("_labels"),
-        F.size("_out").alias("_answer"),
     )
+    shaped = with_once(
+        words.filter(~sft | F.col("_fits")), {"_ids": ids, "_answer": F.size("_out")}
+    ).withColumnRenamed("labels", "_labels")
     shaped = shaped.filter(
         tk.length_between(F.col("_ids"), min_length, None)
         & ((F.col("_shape") != "ids") | tk.length_between(F.col("_ids"), None, max_length))

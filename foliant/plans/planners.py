@@ -17,6 +17,7 @@ from foliant import config as C
 from foliant.functions import hashing
 from foliant.functions import text as tx
 from foliant.functions import tokens as tk
+from foliant.operators.once import with_once
 
 # Fields of one chunk-plan row, in order, with their types and defaults.
 FIELDS = {
@@ -64,8 +65,8 @@ def emit(df: DataFrame, rows: Column, task_type: str, row_id: str = "row_id") ->
 
 
 def _ids(df: DataFrame, **columns: Column) -> DataFrame:
-    """Keep token columns apart from the expressions that use them repeatedly."""
-    return df.withColumns(columns)
+    """Token columns, made once however often later expressions use them."""
+    return with_once(df, columns)
 
 
 def explode_chunks(
@@ -228,11 +229,10 @@ def copy_pair_violations(
     df: DataFrame, chunks: C.Chunks = C.Chunks(), tokens: C.Tokens = C.Tokens()
 ) -> DataFrame:
     """Copy pairs that do not fill their chunks, with both lengths."""
-    sized = df.withColumns(
-        {
-            "prompt_length": F.size(tk.tokenize(F.col("prompt"), tokens)),
-            "response_length": F.size(tk.tokenize(F.col("response"), tokens)),
-        }
+    sized = _ids(
+        df,
+        prompt_length=F.size(tk.tokenize(F.col("prompt"), tokens)),
+        response_length=F.size(tk.tokenize(F.col("response"), tokens)),
     )
     n = chunks.chunk_size
     return sized.filter((F.col("prompt_length") != n) | (F.col("response_length") != n - 1))

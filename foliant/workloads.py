@@ -26,6 +26,7 @@ from foliant.operators import (
     scoring,
     vocabulary,
 )
+from foliant.operators.once import with_once
 from foliant.operators.sizing import spread
 from foliant.plans import feed, planners, reports
 from foliant.sources.catalog import Corpora
@@ -110,14 +111,14 @@ def _qa(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ids(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("input_ids", tk.tokenize(F.col(text), TOKENS))
+    return with_once(df, {"input_ids": tk.tokenize(F.col(text), TOKENS)})
 
 
 def _arrivals(spark: SparkSession, folder: str) -> DataFrame:
     turns = _table(spark, folder, "conversations")
-    return turns.select(
-        "conv_id", "turn", "role", tk.tokenize(F.col("text"), TOKENS, False).alias("input_ids")
-    ).withColumn("n_tokens", F.size("input_ids"))
+    ids = {"input_ids": tk.tokenize(F.col("text"), TOKENS, False)}
+    made = with_once(turns, ids).withColumn("n_tokens", F.size("input_ids"))
+    return made.drop("text")
 
 
 def _logits(spark: SparkSession, folder: str) -> DataFrame:
@@ -760,9 +761,8 @@ def position_ids(spark, folder):
     made = samples.lm_samples(_docs(spark, folder), TOKENS, MIN_LENGTH, MAX_LENGTH)
     batches = collate.collate(made, 8, seed=SEED, side="left", add_position_ids=True)
     holes = F.transform("input_ids", lambda x: (x % 3 != 0).cast("int"))
-    return batches.select(
-        "row_id", "batch_id", "position_ids", tk.position_ids(holes).alias("with_holes")
-    )
+    made = collate.with_position_ids(batches.withColumn("holes", holes), "holes", "with_holes")
+    return made.select("row_id", "batch_id", "position_ids", "with_holes")
 
 
 # --- context ---------------------------------------------------------------
@@ -770,15 +770,16 @@ def position_ids(spark, folder):
 
 @query
 def context_state(spark, folder):
-    return context.context_state(_arrivals(spark, folder), C.Chunks(64, 2)).drop(
-        "input_ids", "role"
-    )
+    turns = _arrivals(spark, folder).select("conv_id", "turn", "n_tokens")
+    return context.context_state(turns, C.Chunks(64, 2))
 
 
 @query(optional=("clear_cache",))
 def probe_turns(spark, folder):
-    turns = _arrivals(spark, folder).withColumn("probe", F.col("role") == "user")
-    return context.probe_turns(turns, C.Chunks(64, 2)).drop("input_ids", "role")
+    turns = _arrivals(spark, folder).select(
+        "conv_id", "turn", "n_tokens", (F.col("role") == "user").alias("probe")
+    )
+    return context.probe_turns(turns, C.Chunks(64, 2))
 
 
 @query

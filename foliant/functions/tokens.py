@@ -210,12 +210,8 @@ def chunk_arrays(ids: Column, n: int) -> Column:
 
 
 def adjacent_pairs(chunk: Column) -> Column:
-    """(previous, token) structs of one chunk; a one-token chunk has none."""
-    return F.zip_with(
-        drop_last(chunk),
-        drop_first(chunk),
-        lambda p, t: F.struct(p.alias("prev"), t.alias("tok")),
-    )
+    """(prev, tok) structs of one chunk; a one-token chunk has none."""
+    return F.arrays_zip(drop_last(chunk).alias("prev"), drop_first(chunk).alias("tok"))
 
 
 def pad_to(arr: Column, length: Column, value: int, side: str = "right") -> Column:

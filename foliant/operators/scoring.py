@@ -227,6 +227,8 @@ def score_bigrams(pairs: DataFrame, model: DataFrame, keys: Sequence[str]) -> Da
     Text has a few very frequent bigrams, and joining on them would send all
     their occurrences to one task. Occurrences of hot bigrams are spread over
     ``HOT_SALTS`` join keys, and those rows of the model are repeated as often.
+    The model is far smaller than the pairs, so its partitions are hashed and
+    the pairs are not sorted.
     """
     keys = list(keys)
     pair = ["prev", "tok"]
@@ -238,7 +240,7 @@ def score_bigrams(pairs: DataFrame, model: DataFrame, keys: Sequence[str]) -> Da
     copies = F.when(F.col("_hot"), HOT_SALTS).otherwise(1)
     right = marked.select(*pair, "logprob", F.explode(F.sequence(F.lit(0), copies - 1)).alias("_salt"))
     return (
-        left.join(right, [*pair, "_salt"])
+        left.join(right.hint("shuffle_hash"), [*pair, "_salt"])
         .groupBy(*keys)
         .agg(F.sum("logprob").alias("logprob"), F.count("logprob").alias("pairs"))
     )

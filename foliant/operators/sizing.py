@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,9 +51,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder and cut the lineage."""
-    spark = df.sparkSession
-    where = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    """Write a table once into the shared folder and go on from the files.
+
+    For results that are small beside what they come from and are used more
+    than once. Losing an executor afterwards costs no recomputation, and later
+    readers see only the columns they need.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -101,6 +101,4 @@ def stack_batches(padded: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per batch: each column an array of its rows in place order."""
     rows = F.array_sort(F.collect_list(F.struct("place", *columns)))
     grouped = padded.groupBy("batch_id").agg(rows.alias("_rows"))  # batch_size rows each
-    return grouped.select(
-        "batch_id", *[F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in columns]
-    )
+    return grouped.select("batch_id", *[F.col(f"_rows.{c}").alias(c) for c in columns])

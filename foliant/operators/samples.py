@@ -227,12 +227,14 @@ def mixed_samples(
     max_length: int = 8192,
     row_id: str = "row_id",
     keep: Sequence[str] = (),
+    with_labels: bool = True,
 ) -> DataFrame:
     """Samples from a wide table whose rows have one of three shapes.
 
     ``text`` wins over ``input``/``output``, that over ``input_ids``/``labels``;
     a row with none of them is an error. All three shapes are built in the
-    same scan.
+    same scan. ``with_labels=False`` gives instruction rows their evaluation
+    form: the prompt alone, no labels, no minimum length.
     """
     is_lm = F.col("text").isNotNull()
     is_sft = ~is_lm & F.col("input").isNotNull()
@@ -246,19 +248,28 @@ def mixed_samples(
     words = sft_words(df.withColumn("_shape", shape), conf, max_length)
     capped = tx.cap_chars(F.col("text"), C.CHARS_PER_TOKEN_BOUND * max_length)
     lm, sft = F.col("_shape") == "lm", F.col("_shape") == "sft"
+    words_of_sft = F.concat("_prompt", "_out") if with_labels else F.col("_prompt")
     ids = (
         F.when(lm, tk.head_truncate(tk.tokenize(capped, conf), max_length))
-        .when(sft, tk.word_ids(F.concat("_prompt", "_out"), conf))
+        .when(sft, tk.word_ids(words_of_sft, conf))
         .otherwise(F.col("input_ids"))
     )
     shaped = with_once(
         words.filter(~sft | F.col("_fits")), {"_ids": ids, "_answer": F.size("_out")}
     ).withColumnRenamed("labels", "_labels")
+    long_enough = tk.length_between(F.col("_ids"), min_length, None)
     shaped = shaped.filter(
-        tk.length_between(F.col("_ids"), min_length, None)
+        (long_enough if with_labels else sft | long_enough)
         & ((F.col("_shape") != "ids") | tk.length_between(F.col("_ids"), None, max_length))
     )
-    made = _sft_columns(F.col("_ids"), F.col("_answer"))
+    if with_labels:
+        made = _sft_columns(F.col("_ids"), F.col("_answer"))
+    else:
+        made = {
+            "input_ids": F.col("_ids"),
+            "labels": F.lit(None).cast("array<int>"),
+            "attention_mask": tk.ones(F.col("_ids")),
+        }
     plain = {
         "input_ids": F.col("_ids"),
         "labels": F.when(lm, F.col("_ids")).otherwise(F.col("_labels")),

@@ -28,6 +28,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     size. Only inputs below ``SMALL_SCAN_BYTES`` are moved; larger ones have
     enough splits, and shuffling them would cost more than it brings.
     """
+    if not hasattr(df, "_jdf"):  # no plan statistics over a remote session
+        return df
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     if int(str(size)) > SMALL_SCAN_BYTES:
         return df

@@ -274,6 +274,12 @@ SQL["mixed_shape_samples"] = f"""WITH {PAIRS}, s AS (
   UNION ALL SELECT 2, row_id, i, i FROM ({DOC_IDS}) WHERE lang = 'en' AND len(i) BETWEEN 16 AND 256)
 SELECT row_id, part::BIGINT AS part, {SAMPLE_COLUMNS} FROM s"""
 
+SQL["mixed_eval_samples"] = f"""WITH {PAIRS}, s AS (
+  SELECT 0 AS part, * FROM ({lm_sample_rows(16, 256)})
+  UNION ALL SELECT 1, row_id, list_concat([1], {ids_of('p')}), NULL FROM ({sft_prompt_rows(256)})
+  UNION ALL SELECT 2, row_id, i, i FROM ({DOC_IDS}) WHERE lang = 'en' AND len(i) BETWEEN 16 AND 256)
+SELECT row_id, part::BIGINT AS part, {SAMPLE_COLUMNS} FROM s"""
+
 SQL["row_function"] = f"""SELECT doc_id AS row_id,
   len(regexp_extract_all(text, '{C.BLANK_CLASS.replace('[', '[^')}+'))::BIGINT AS n_words,
   length(text)::BIGINT AS n_chars FROM documents WHERE lang = 'en'"""

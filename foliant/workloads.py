@@ -459,6 +459,14 @@ def mixed_shape_samples(spark, folder):
     return samples.mixed_samples(rows, TOKENS, SFT_MIN, SFT_MAX, keep=("part",))
 
 
+@query
+def mixed_eval_samples(spark, folder):
+    rows = _mixed_rows(spark, folder)
+    return samples.mixed_samples(
+        rows, TOKENS, SFT_MIN, SFT_MAX, keep=("part",), with_labels=False
+    )
+
+
 @query
 def row_function(spark, folder):
     """The row-function seam: count words, drop rows that are not English."""

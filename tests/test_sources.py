@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant import config as C
 from foliant.operators import sizing
+from foliant.plans import prepare
 from foliant.sources import readers, sinks
 from foliant.sources.catalog import Corpora, Location
 
@@ -233,3 +234,17 @@ def test_sampled_corpus(corpora):
 def test_wrong_specs(corpora, spec):
     with pytest.raises(ValueError):
         corpora.read(spec)
+
+
+def test_prepared_files(spark, tmp_path):
+    texts = write_lines(tmp_path / "a.json", [{"text": "w " * n} for n in (1, 5, 6, 7, 8)])
+    pairs = write_lines(tmp_path / "b.json", [{"input": "ask me", "output": "say so"}] * 2)
+    made = prepare.training_samples(spark, [texts, pairs], max_length=20, min_length=4, max_per_source=3)
+    rows = made.collect()
+    assert [sum(r.source.endswith(f) for r in rows) for f in ("a.json", "b.json")] == [3, 2]
+    assert all(r.labels[-1] == 2 for r in rows if r.source.endswith("b.json"))
+    tested = prepare.evaluation_samples(spark, [texts, pairs], max_length=20, min_length=4, max_rows=6)
+    rows = tested.orderBy("index").collect()
+    assert [r["index"] for r in rows] == [1, 2, 3, 4, 5]
+    assert rows[-1].labels is None and rows[-1].length == 3
+    assert prepare.training_samples(spark, None) is None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
@@ -87,10 +88,16 @@ BLANK_CLASS = "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in B
 
 @dataclass(frozen=True)
 class Tokens:
-    """Word tokenizer: ids are 3 .. vocab_size + 2, below are pad, bos and eos."""
+    """Word tokenizer: ids are 3 .. vocab_size + 2, below are pad, bos and eos.
+
+    ``encoder`` replaces it by any function from a text column to an
+    ``ARRAY<INT>`` column without bos, such as ``scoring.text_encoder`` makes
+    from a Python tokenizer.
+    """
 
     vocab_size: int = 32000
     add_bos: bool = True
+    encoder: Callable | None = None
 
 
 @dataclass(frozen=True)

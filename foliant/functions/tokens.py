@@ -30,14 +30,20 @@ def word_id(word: Column, vocab_size: int) -> Column:
     return (hashing.hex_to_long(F.md5(word), 6) % vocab_size + 3).cast("int")
 
 
+def _with_bos(ids: Column, conf: C.Tokens, add_bos: bool | None) -> Column:
+    wanted = conf.add_bos if add_bos is None else add_bos
+    return F.concat(F.array(F.lit(C.BOS)), ids) if wanted else ids
+
+
 def word_ids(word_array: Column, conf: C.Tokens = C.Tokens(), add_bos: bool | None = None) -> Column:
-    ids = F.transform(word_array, lambda w: word_id(w, conf.vocab_size))
-    if conf.add_bos if add_bos is None else add_bos:
-        return F.concat(F.array(F.lit(C.BOS)), ids)
-    return ids
+    if conf.encoder is not None:
+        raise ValueError("this sample is cut by words and needs the word tokenizer")
+    return _with_bos(F.transform(word_array, lambda w: word_id(w, conf.vocab_size)), conf, add_bos)
 
 
 def tokenize(text: Column, conf: C.Tokens = C.Tokens(), add_bos: bool | None = None) -> Column:
+    if conf.encoder is not None:
+        return _with_bos(conf.encoder(text), conf, add_bos)
     return word_ids(words(text), conf, add_bos)
 
 

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from foliant import config as C
 from foliant.functions import tokens as tk
 from foliant.functions import vectors as vx
-from foliant.operators.sizing import settle
+from foliant.operators.sizing import broadcast_if_small, settle
 
 # A bigram counted at least total / HOT_SHARE times is hot: there can be at
 # most HOT_SHARE of them, which bounds what is broadcast and what is repeated.
 HOT_SHARE = 10_000
 HOT_SALTS = 64
+MAX_BROADCAST_TOKENS = 1_000_000
 
 
 # --- per position ----------------------------------------------------------
@@ -199,14 +200,14 @@ def chunk_pairs(
     return chunks.select(*keep, F.explode(pairs).alias("_p")).select(*keep, "_p.prev", "_p.tok")
 
 
-def fit_bigrams(chunks: DataFrame, ids: str = "input_ids", vocab_size: int = 32000) -> DataFrame:
+def fit_bigrams(chunks: DataFrame, ids: str = "input_ids") -> DataFrame:
     """Add-one bigram model: ``ln((n(a, b) + 1) / (n(a) + V))`` per seen bigram.
 
     V counts the distinct tokens of all pairs. Pairs are combined before the
     shuffle, so a frequent pair costs one row per task. The counts are used
     four times below and in scoring; they are written out once, since they are
-    far smaller than the text they come from. n(a) has at most one row per
-    token id, hence the broadcast for an ordinary vocabulary.
+    far smaller than the text they come from. n(a) has one row per token id
+    and is broadcast when it is checked to be small.
     """
     counts = settle(
         chunk_pairs(chunks, ids=ids).groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("n"))
@@ -214,8 +215,7 @@ def fit_bigrams(chunks: DataFrame, ids: str = "input_ids", vocab_size: int = 320
     firsts = counts.groupBy("prev").agg(F.sum("n").alias("n_prev"))
     ends = counts.select(F.explode(F.array("prev", "tok")).alias("t"))
     vocab = ends.agg(F.count_distinct("t").alias("v")).scalar()
-    if vocab_size <= 1_000_000:
-        firsts = F.broadcast(firsts)
+    firsts = broadcast_if_small(firsts, MAX_BROADCAST_TOKENS)
     return counts.join(firsts, "prev").select(
         "prev", "tok", "n", F.log((F.col("n") + 1) / (F.col("n_prev") + vocab)).alias("logprob")
     )
@@ -302,13 +302,10 @@ def score_chunks_with(
     return ordered.mapInPandas(run, f"{sample} bigint, {seq} int, logprobs array<double>")
 
 
-def tokenize_with(
-    df: DataFrame,
+def text_encoder(
     make_encoder: Callable[[], Callable[[str], list[int]]],
-    text: str = "text",
-    out: str = "input_ids",
-) -> DataFrame:
-    """Tokenize with a Python tokenizer, made once per Python worker."""
+) -> Callable[[Column], Column]:
+    """A Python tokenizer, made once per Python worker, as a column function."""
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -316,4 +313,14 @@ def tokenize_with(
         for batch in batches:
             yield batch.map(lambda t: None if t is None else list(encoder(t)))
 
-    return df.withColumn(out, encode(F.col(text)))
+    return encode
+
+
+def tokenize_with(
+    df: DataFrame,
+    make_encoder: Callable[[], Callable[[str], list[int]]],
+    text: str = "text",
+    out: str = "input_ids",
+) -> DataFrame:
+    """Add the ids a Python tokenizer gives."""
+    return df.withColumn(out, text_encoder(make_encoder)(F.col(text)))

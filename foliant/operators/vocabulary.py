@@ -39,15 +39,18 @@ def encode_with_vocabulary(
 ) -> DataFrame:
     """Token ids of every row; words outside the vocabulary become ``UNK``.
 
-    Rows are partitioned by id as text, before they are split into words; the
-    vocabulary has at most ``size`` rows and is broadcast, so looking words up
-    and putting rows together again needs no second shuffle.
+    Rows are partitioned by id as text, before they are split into words; a
+    vocabulary of at most ``MAX_BROADCAST_VOCAB`` words is broadcast, so
+    looking words up and putting rows together again needs no second shuffle.
+    A larger one is joined on the word, where frequent words are split by the
+    adaptive skew join.
     """
-    if size > MAX_BROADCAST_VOCAB:
-        raise ValueError(f"vocabulary above {MAX_BROADCAST_VOCAB} words")
+    known = vocabulary.select("word", "token_id")
+    if size <= MAX_BROADCAST_VOCAB:
+        known = F.broadcast(known)
     placed = df.select(row_id, text).repartition(row_id)
     tokens = placed.select(row_id, F.posexplode_outer(tk.words(F.col(text))).alias("pos", "word"))
-    looked = tokens.join(F.broadcast(vocabulary.select("word", "token_id")), "word", "left")
+    looked = tokens.join(known, "word", "left")
     found = F.struct("pos", F.coalesce("token_id", F.lit(C.UNK)).alias("id"))
     collected = looked.groupBy(row_id).agg(
         F.collect_list(F.when(F.col("word").isNotNull(), found)).alias("_t")

@@ -70,7 +70,7 @@ def perplexity_samples(
 
     if model is None:
         whole = scored_chunks(training if training is not None else docs, None)
-        model = scoring.fit_bigrams(whole, vocab_size=tokens.vocab_size)
+        model = scoring.fit_bigrams(whole)
     pairs = scoring.chunk_pairs(scored_chunks(docs, ordered[-1]), ["sample_id", "seq"], pos=True)
     banded = pairs.select(
         "sample_id",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,24 +15,37 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from foliant.operators.sizing import shared_dir
 
 _OUT = "{key} bigint, kind string, chunk_id bigint, turn bigint, input_ids array<int>"
+MAX_TRIGGER_BYTES = 4 * 1024**3
+_SLICE_ROWS = 10_000
 _STATE = "tail array<int>, chunks bigint, last_turn bigint"
 
 
+def _bounded(reader, max_bytes: int, max_files: int | None):
+    """Bound a micro-batch by bytes, or by files when a number is given."""
+    if max_files is not None:
+        return reader.option("maxFilesPerTrigger", max_files)
+    return reader.option("maxBytesPerTrigger", max_bytes)
+
+
 def read_json_stream(
-    spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1000
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    max_bytes: int = MAX_TRIGGER_BYTES,
+    max_files: int | None = None,
 ) -> DataFrame:
-    """JSON lines that keep arriving in a folder, a bounded number of files at a time."""
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(path)
-    )
+    """JSON lines that keep arriving in a folder, a bounded amount at a time."""
+    return _bounded(spark.readStream.schema(schema), max_bytes, max_files).json(path)
 
 
 def read_parquet_stream(
-    spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1000
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    max_bytes: int = MAX_TRIGGER_BYTES,
+    max_files: int | None = None,
 ) -> DataFrame:
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
-    )
+    return _bounded(spark.readStream.schema(schema), max_bytes, max_files).parquet(path)
 
 
 def emit_chunks(
@@ -47,43 +61,53 @@ def emit_chunks(
     State per key is the tail (shorter than a chunk), the number of chunks and
     the last turn. Rows of one micro-batch are taken in turn order; a turn not
     after the last one seen comes out as a ``late`` row instead. A key's rows
-    of one micro-batch meet in one task, so the source's ``maxFilesPerTrigger``
-    bounds what a busy key can bring at once. A true ``end`` column closes
-    the key: its state is removed and the tail is dropped.
+    of one micro-batch meet in one task as plain integer arrays, so the bound
+    on the micro-batch bounds a busy key; results leave in slices. A true
+    ``end`` column closes the key: its state is removed and the tail dropped.
     """
     size = chunk_size
+    names = [key, "kind", "chunk_id", "turn", "input_ids"]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=names)
+        made["chunk_id"] = made["chunk_id"].astype("Int64")
+        return made
 
     def step(
         group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         tail, chunks, last = state.get if state.exists else ([], 0, -1)
-        tail = list(tail)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("turn", kind="stable")
+        tail = np.asarray(tail, dtype=np.int32)
+        arrived = [
+            (int(r.turn), np.asarray(r.input_ids, dtype=np.int32), bool(r.closes))
+            for batch in batches
+            for r in batch.itertuples(index=False)
+        ]
+        arrived.sort(key=lambda a: a[0])
         out: list[tuple] = []
         closed = False
-        for row in rows.itertuples(index=False):
-            if row.turn <= last:
-                out.append((group[0], "late", None, int(row.turn), list(row.input_ids)))
+        for turn_no, ids_now, closes_now in arrived:
+            if turn_no <= last:
+                out.append((group[0], "late", None, turn_no, ids_now))
                 continue
-            last = int(row.turn)
-            tail.extend(int(x) for x in row.input_ids)
+            last, closed = turn_no, closes_now
+            tail = np.concatenate([tail, ids_now])
             full = len(tail) // size
             for c in range(full):
-                out.append((group[0], "chunk", chunks, last, tail[c * size : (c + 1) * size]))
-                chunks += 1
+                out.append((group[0], "chunk", chunks + c, turn_no, tail[c * size : (c + 1) * size]))
+            chunks += full
             tail = tail[full * size :]
-            if row.closes:
-                tail, chunks, last, closed = [], 0, -1, True
-            else:
-                closed = False
+            if closed:
+                tail, chunks, last = tail[:0], 0, -1
+            if len(out) >= _SLICE_ROWS:
+                yield frame(out)
+                out = []
         if closed:
             state.remove()
         else:
-            state.update((tail, chunks, last))
+            state.update((tail.tolist(), chunks, last))
         if out:
-            frame = pd.DataFrame(out, columns=[key, "kind", "chunk_id", "turn", "input_ids"])
-            frame["chunk_id"] = frame["chunk_id"].astype("Int64")
-            yield frame
+            yield frame(out)
 
     closes = F.col(end) if end else F.lit(False)
     rows = arrivals.select(

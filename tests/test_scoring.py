@@ -8,9 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant import config as C
-from foliant.operators import context, parameters, scoring
-from foliant.operators import vocabulary
-from foliant.plans import reports
+from foliant.operators import context, parameters, samples, scoring, vocabulary
+from foliant.plans import planners, reports
 
 RNG = np.random.default_rng(0)
 LOGITS = RNG.normal(size=(12, 5)) * 3
@@ -156,6 +155,8 @@ def test_vocabulary(spark):
     assert [(r.word, r.token_id) for r in vocab.orderBy("token_id").collect()] == [("c", 4), ("b", 5)]
     got = vocabulary.encode_with_vocabulary(docs, vocab, size=2)
     ids = {r.row_id: r.input_ids for r in got.collect()}
+    big = vocabulary.encode_with_vocabulary(docs, vocab, size=2_000_000)
+    assert ids == {r.row_id: r.input_ids for r in big.collect()}
     assert ids[1] == [3, 5, 4, 3] and ids[3] == []
 
 
@@ -237,6 +238,19 @@ def test_norm_report(spark):
     assert math.isclose(r.max_ratio, 1 / (5 + 1e-6))
 
 
+def test_plans_take_another_tokenizer(spark):
+    docs = spark.createDataFrame([(1, "a bb ccc dddd"), (2, "x")], "row_id bigint, text string")
+    encoder = scoring.text_encoder(lambda: lambda t: [len(w) + 10 for w in t.split()])
+    tokens = C.Tokens(encoder=encoder)
+    rows = planners.lm_plan(docs, C.Chunks(3, 1), tokens).orderBy("sample_id", "seq").collect()
+    assert [r.input_ids for r in rows] == [[1, 11, 12], [13, 14], [1, 11]]
+    got = reports.perplexity_samples(docs, [None], C.Chunks(3, 1), tokens)
+    assert {r.sample_id: r.scored_tokens for r in got.collect()} == {1: 3, 2: 1}
+    pairs = spark.createDataFrame([(1, "a", "b")], "row_id bigint, input string, output string")
+    with pytest.raises(ValueError):
+        samples.sft_samples(pairs, tokens)
+
+
 def test_seams(spark):
     docs = spark.createDataFrame([(1, "a bb"), (2, None)], "row_id bigint, text string")
     made = scoring.tokenize_with(docs, lambda: lambda t: [len(w) for w in t.split()])

@@ -189,6 +189,16 @@ SELECT source, article::BIGINT AS article, text FROM a WHERE article > 0 AND len
 SQL["corpus_by_name"] = """SELECT md5(substr(text, 1, 131072)) AS digest,
   'language modeling' AS task_type FROM documents"""
 
+SQL["json_round_trip"] = """SELECT doc_id, md5(text) AS digest,
+  (SELECT count(*) FROM documents)::BIGINT AS n_rows FROM documents"""
+
+SQL["bounded_rows"] = """SELECT doc_id AS row_id, text FROM documents ORDER BY doc_id LIMIT 100"""
+
+SQL["row_contract"] = """SELECT u.conv_id, u.turn,
+  CASE WHEN a.text IS NULL THEN 'response' ELSE '' END AS missing
+FROM conversations u LEFT JOIN conversations a
+  ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'"""
+
 # --- tokens ----------------------------------------------------------------
 
 DOC_IDS = f"SELECT doc_id AS row_id, lang, text, {bos_ids('text')} AS i FROM documents"
@@ -254,6 +264,9 @@ SQL["sft_separator"] = f"""WITH {PAIRS} SELECT row_id,
   [' ', chr(10), chr(10) || chr(10)][{draw('row_id', '42', "'separator'")} % 3 + 1] AS separator
   FROM pairs"""
 
+SQL["equal_lengths"] = f"""SELECT row_id, 1::BIGINT AS labels_match,
+  (len(i) % 2)::BIGINT AS all_match FROM ({DOC_IDS})"""
+
 # --- samples ---------------------------------------------------------------
 
 SQL["lm_samples"] = f"SELECT row_id, {SAMPLE_COLUMNS} FROM ({lm_sample_rows(50, 512)})"
@@ -672,6 +685,16 @@ GROUP BY sample_id"""
 SQL["first_result"] = f"""WITH {LOGITS} SELECT sample_id, round(arg_min(nll, pos), 6) AS result
   FROM scored WHERE label <> -100 GROUP BY sample_id"""
 
+SQL["copy_report"] = f"""WITH {LOGITS},
+f AS (SELECT sample_id, arg_min(nll, pos) AS result FROM scored WHERE label <> -100 GROUP BY sample_id),
+n AS (SELECT *, row_number() OVER (ORDER BY sample_id) AS row_no FROM f),
+t(task_id, num_instance) AS (VALUES (0, NULL), (1, 10))
+SELECT task_id::BIGINT AS task_id, 'copies' AS task_name, 'auto encoding' AS task_type,
+  num_instance::DOUBLE AS num_instance, NULL::DOUBLE AS truncation, 128::BIGINT AS chunk_size,
+  count(*)::BIGINT AS samples, round(avg(result), 6) AS avg, round(max(result), 6) AS max,
+  round(min(result), 6) AS min
+FROM n JOIN t ON num_instance IS NULL OR row_no <= num_instance GROUP BY task_id, num_instance"""
+
 # --- batches ---------------------------------------------------------------
 
 _BATCHES = f"""s AS ({lm_sample_rows(50, 512)}),
@@ -686,6 +709,12 @@ SQL["pad_batches"] = f"""WITH {_BATCHES} SELECT batch_id::BIGINT AS batch_id, pl
   {join(f"list_concat(i, {fill(-100, 'gap')})")} AS labels,
   {join(f"list_concat({fill(1, 'len(i)')}, {fill(0, 'gap')})")} AS attention_mask FROM b"""
 
+SQL["stacked_batches"] = f"""WITH {_BATCHES}
+SELECT batch_id::BIGINT AS batch_id, string_agg(row_id::VARCHAR, ',' ORDER BY place) AS row_id,
+  max(len(i))::BIGINT AS longest,
+  string_agg({join(f"list_concat(i, {fill(0, 'gap')})")}, ',' ORDER BY place) AS input_ids
+FROM b GROUP BY batch_id"""
+
 SQL["position_ids"] = f"""WITH {_BATCHES},
 x AS (SELECT row_id, batch_id, list_concat({fill(0, 'gap')}, i) AS i,
   list_concat({fill(0, 'gap')}, range(0, len(i))) AS position_ids FROM b),

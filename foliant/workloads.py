@@ -6,6 +6,7 @@ every query reads its tables whole.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,9 @@ from foliant.operators import (
     vocabulary,
 )
 from foliant.operators.once import with_once
-from foliant.operators.sizing import spread
+from foliant.operators.sizing import shared_dir, spread
 from foliant.plans import feed, planners, reports
+from foliant.sources import readers, sinks
 from foliant.sources.catalog import Corpora
 from foliant.streaming import chunk_stream
 
@@ -280,6 +282,40 @@ def corpus_by_name(spark, folder):
     return corpora.read("PG19. train .128k").select(F.md5("text").alias("digest"), "task_type")
 
 
+@query
+def json_round_trip(spark, folder):
+    """Documents written as JSON lines into the shared folder and read again."""
+    path = f"{shared_dir(spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
+    docs = _docs(spark, folder).select("row_id", "text", "lang")
+    sinks.write_json(docs.withColumnRenamed("row_id", "doc_id"), path)
+    schema = T.StructType(
+        [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]
+    )
+    rows = readers.read_json_lines(spark, path, schema)
+    total = rows.agg(F.max("row_id") + 1).scalar()
+    return rows.select("doc_id", F.md5("text").alias("digest"), total.alias("n_rows"))
+
+
+@query
+def bounded_rows(spark, folder):
+    """The first hundred documents in corpus order."""
+    return mixing.first_rows(_docs(spark, folder).select("row_id", "text"), 100)
+
+
+@query
+def row_contract(spark, folder):
+    """User turns beside their reply; those without one break the contract."""
+    turns = _table(spark, folder, "conversations")
+    asked = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    replied = turns.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")
+    )
+    rows = asked.join(replied, ["conv_id", "turn"], "left")
+    good, bad = samples.split_violations(rows, ["prompt", "response"])
+    kept = good.select("conv_id", "turn", F.lit("").alias("missing"))
+    return kept.unionByName(bad.select("conv_id", "turn", F.array_join("missing", ",").alias("missing")))
+
+
 # --- tokens ----------------------------------------------------------------
 
 
@@ -420,6 +456,23 @@ def sft_separator(spark, folder):
     )
 
 
+@query
+def equal_lengths(spark, folder):
+    """Whether shifted labels, and labels cut by one, still match their ids."""
+    ids = F.col("input_ids")
+    docs = _ids(_docs(spark, folder)).withColumns(
+        {
+            "labels": tk.shift_labels(ids),
+            "short": F.when(F.size(ids) % 2 == 0, tk.drop_first(ids)).otherwise(ids),
+        }
+    )
+    return docs.select(
+        "row_id",
+        tk.same_length(ids, F.col("labels")).alias("labels_match"),
+        tk.same_length(ids, F.col("labels"), F.col("short")).alias("all_match"),
+    )
+
+
 # --- samples ---------------------------------------------------------------
 
 
@@ -754,6 +807,17 @@ def first_result(spark, folder):
     return scoring.first_result(rows, "sample_id", "pos", "nll", "result")
 
 
+@query(optional=("num_instance", "truncation"))
+def copy_report(spark, folder):
+    """Report of a copy task: the first result of every sample."""
+    rows = scoring.with_nll(_logits(spark, folder), ignore=None)
+    first = scoring.first_result(rows, "sample_id", "pos", "nll", "result")
+    numbered = mixing.numbered_rows(first, "sample_id").withColumn("task_name", F.lit("copies"))
+    tasks = [C.Task(C.AUTO_ENCODING, "copies", None, None), C.Task(C.AUTO_ENCODING, "copies", 10, None)]
+    joined = mixing.task_samples(numbered, mixing.tasks_frame(spark, tasks))
+    return reports.task_report(joined, CHUNKS.chunk_size, "result")
+
+
 # --- batches ---------------------------------------------------------------
 
 
@@ -763,6 +827,18 @@ def pad_batches(spark, folder):
     return collate.collate(made, 8, seed=SEED, add_position_ids=False)
 
 
+@query
+def stacked_batches(spark, folder):
+    made = samples.lm_samples(_docs(spark, folder), TOKENS, MIN_LENGTH, MAX_LENGTH)
+    stacked = collate.stack_batches(collate.collate(made, 8, seed=SEED), ["input_ids", "row_id"])
+    return stacked.select(
+        "batch_id",
+        "row_id",
+        tk.longest(F.col("input_ids")).alias("longest"),
+        F.flatten("input_ids").alias("input_ids"),
+    )
+
+
 @query
 def position_ids(spark, folder):
     """Left padding to the batch maximum, and a mask with holes."""

@@ -272,11 +272,11 @@ SQL["equal_lengths"] = f"""SELECT row_id, 1::BIGINT AS labels_match,
 SQL["lm_samples"] = f"SELECT row_id, {SAMPLE_COLUMNS} FROM ({lm_sample_rows(50, 512)})"
 
 SQL["sft_samples"] = f"""WITH {PAIRS} SELECT row_id, {SAMPLE_COLUMNS}
-  FROM ({sft_sample_rows(16, 64)})"""
+  FROM ({sft_sample_rows(16, 256)})"""
 
 SQL["sft_eval_samples"] = f"""WITH {PAIRS} SELECT row_id, {join('i')} AS input_ids,
   {join(fill(1, 'len(i)'))} AS attention_mask, len(i)::BIGINT AS length, row_id AS index
-  FROM (SELECT row_id, list_concat([1], {ids_of('p')}) AS i FROM ({sft_prompt_rows(64)}))"""
+  FROM (SELECT row_id, list_concat([1], {ids_of('p')}) AS i FROM ({sft_prompt_rows(256)}))"""
 
 SQL["pretokenized_filter"] = f"""SELECT row_id, {SAMPLE_COLUMNS} FROM (
   SELECT row_id, i, list_concat(i[2:], [-100]) AS l FROM ({DOC_IDS}) WHERE len(i) BETWEEN 50 AND 512)"""

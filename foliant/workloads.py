@@ -483,12 +483,14 @@ def lm_samples(spark, folder):
 
 @query
 def sft_samples(spark, folder):
-    return samples.sft_samples(_pairs(spark, folder), TOKENS, SFT_MIN, 64, seed=SEED)
+    return samples.sft_samples(_pairs(spark, folder), TOKENS, SFT_MIN, SFT_MAX, seed=SEED)
 
 
 @query
 def sft_eval_samples(spark, folder):
-    return samples.sft_samples(_pairs(spark, folder), TOKENS, SFT_MIN, 64, with_labels=False)
+    return samples.sft_samples(
+        _pairs(spark, folder), TOKENS, SFT_MIN, SFT_MAX, with_labels=False
+    )
 
 
 @query

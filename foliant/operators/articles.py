@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant import config as C
 from foliant.functions import text as tx
-from foliant.operators.ordered import id_positions, running_sums
+from foliant.operators.ordered import TURN_SHIFTS, id_positions, running_sums
 from foliant.operators.sizing import settle
 
 _BLOCK_BITS = 14
@@ -67,7 +67,7 @@ def split_lines(
         (F.col("_t") == " \n").alias("_blank"),
         F.col("_t").startswith(" ").alias("_starts"),
     )
-    flags = id_positions(flags, line_no, by=[source], out="pos")
+    flags = id_positions(flags, line_no, by=[source], out="pos", shifts=TURN_SHIFTS)
     near = Window.partitionBy(source, "_block").orderBy("pos")
 
     def shifted(column: str, by: int):

@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where:
         return where
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     where = tempfile.mkdtemp(prefix="foliant-")
     spark.sparkContext.setCheckpointDir(where)
@@ -57,8 +57,12 @@ def settle(df: DataFrame) -> DataFrame:
 
     For results that are small beside what they come from and are used more
     than once. Losing an executor afterwards costs no recomputation, and later
-    readers see only the columns they need.
+    readers see only the columns they need. The files go when the application
+    ends.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)

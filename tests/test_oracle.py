@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check import database, difference
+from foliant import oracle, workloads
 from tests.conftest import SMALL
 
-SQL = entry.oracle_sql()
+SQL = oracle.SQL
 WITHOUT_SQL = {"collapse_repeats", "clean_then_cap"}
 
 
@@ -16,8 +17,8 @@ def duck():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) - set(SQL) == WITHOUT_SQL
-    assert set(SQL) <= set(entry.queries())
+    assert set(workloads.QUERIES) - set(SQL) == WITHOUT_SQL
+    assert set(SQL) <= set(workloads.QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

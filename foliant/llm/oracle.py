@@ -1,3 +1,36 @@
-"""DuckDB twins."""
+"""DuckDB twins of the training-data queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+_WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = (
+    "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+)
+
+NEAR_DEDUP = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {_WORDS.format(text=_LOWER)} AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws
+    ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS s
+  FROM w
+), s AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM sets
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS n_both
+  FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+), links AS (
+  SELECT a, b FROM pairs WHERE 100 * n_both >= 80 * (na + nb - n_both)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS id, doc_id AS root FROM documents
+  UNION SELECT e.b, r.root FROM reach r JOIN both_ways e ON e.a = r.id
+), roots AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM sets d JOIN roots r ON r.id = d.doc_id
+"""
+
+SQL: dict[str, str] = {
+    "op4_near_dedup": NEAR_DEDUP,
+}

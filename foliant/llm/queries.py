@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import quality_rules, secret_scan
+from foliant.llm import near_dedup, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate groups of all documents on two-word shingles."""
+    return near_dedup.groups(table(spark, folder, "documents").select("doc_id", "text"), size=2, percent=80)
+
+
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of secrets in every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -34,6 +39,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_near_dedup": op4_near_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op9_quality_rules": op9_quality_rules,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import near_dedup, quality_rules, secret_scan
+from foliant.llm import near_dedup, quality_rules, secret_scan, sharding
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,8 +38,23 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "rule", "kept")
 
 
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 24 shards of equal row counts, equal texts together."""
+    placed = sharding.shard_rows(table(spark, folder, "documents"))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op10_sharding": op10_sharding,
 }

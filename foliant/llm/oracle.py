@@ -31,6 +31,30 @@ SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, r.component_id, d.doc_i
 FROM sets d JOIN roots r ON r.id = d.doc_id
 """
 
+_ALL_WORDS = _WORDS.format(text="coalesce(text, '')")
+
+SUBSTRING_DEDUP = f"""
+WITH w AS (
+  SELECT doc_id, {_ALL_WORDS} AS ws FROM documents
+), win AS (
+  SELECT doc_id, p, md5(array_to_string(ws[p : p + 49], ' ')) AS body
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w WHERE len(ws) >= 50)
+), least AS (
+  SELECT body, min(doc_id) AS d FROM win GROUP BY body HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p
+  FROM win JOIN least USING (body) WHERE doc_id > d
+), lost AS (
+  SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN ps IS NULL THEN array_to_string(ws, ' ') ELSE
+    array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(ps, i)),
+      lambda i: ws[i]), ' ') END) AS kept_sha256
+FROM w LEFT JOIN lost USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op4_near_dedup": NEAR_DEDUP,
+    "op6_substring_dedup": SUBSTRING_DEDUP,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import near_dedup, quality_rules, secret_scan, sharding
+from foliant.llm import near_dedup, quality_rules, secret_scan, sharding, substring_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without passages of smaller ids."""
+    left = substring_dedup.remove_repeats(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and the learned verdict for every document."""
     judged, _ = quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -55,6 +61,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_substring_dedup": op6_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
 }

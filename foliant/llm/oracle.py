@@ -54,7 +54,30 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) A
 FROM w LEFT JOIN lost USING (doc_id)
 """
 
+# 160 bits as 32 digits of 5 bits.
+_BITS = "CAST(unhex(sha1(body)) AS BIT)::VARCHAR"
+_BASE32 = (
+    "array_to_string(list_transform(range(0, 32), lambda i: "
+    "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(1, 6), "
+    "lambda j: CAST(substr(bits, 5 * i + j, 1) AS INTEGER) * (1 << (5 - j)))) AS INTEGER), 1)), '')"
+)
+
+WARC_ARCHIVE = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), d AS (
+  SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS digest, {_BITS} AS bits FROM p
+), r AS (
+  SELECT *, max(page_id) OVER (PARTITION BY digest) AS latest FROM d
+)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> latest THEN latest END AS refers_to
+FROM r
+"""
+
 SQL: dict[str, str] = {
+    "op2_warc_archive": WARC_ARCHIVE,
     "op4_near_dedup": NEAR_DEDUP,
     "op6_substring_dedup": SUBSTRING_DEDUP,
 }

@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import near_dedup, quality_rules, secret_scan, sharding, substring_dedup
+from foliant.llm import (
+    decontaminate,
+    near_dedup,
+    packing,
+    quality_rules,
+    secret_scan,
+    sharding,
+    substring_dedup,
+    warc_archive,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to a content-addressed archive and read back."""
+    where = warc_archive.archive_folder(spark, f"warc-{uuid.uuid4().hex}")
+    warc_archive.write(table(spark, folder, "pages"), where)
+    found = warc_archive.read(spark, where)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of all documents on two-word shingles."""
     return near_dedup.groups(table(spark, folder, "documents").select("doc_id", "text"), size=2, percent=80)
@@ -38,6 +56,16 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with at most a fifth of its words edited."""
+    return decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 512 to 8,192 words."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and the learned verdict for every document."""
     judged, _ = quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -59,9 +87,12 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_archive": op2_warc_archive,
     "op4_near_dedup": op4_near_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
 }

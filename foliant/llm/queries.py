@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm import (
     decontaminate,
+    html_extract,
     near_dedup,
     packing,
     quality_rules,
@@ -24,6 +25,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, folder, "pages"))
+
+
 def op2_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written to a content-addressed archive and read back."""
     where = warc_archive.archive_folder(spark, f"warc-{uuid.uuid4().hex}")
@@ -87,6 +93,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_warc_archive": op2_warc_archive,
     "op4_near_dedup": op4_near_dedup,
     "op5_secret_scan": op5_secret_scan,

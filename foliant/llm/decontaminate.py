@@ -231,3 +231,9 @@ def find(
     order = F.struct("n_edits", "n_item_words", "start_word", "end_word")
     best = best.groupBy("doc_id", "item_id").agg(F.min(order).alias("m"))
     return best.select("doc_id", "item_id", "m.*")
+
+
+def clean(docs: DataFrame, items: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id was found to hold an item."""
+    hits = find(docs, items, row_id, text).select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hits, F.col(row_id).cast("bigint") == F.col("_hit"), "left_anti")

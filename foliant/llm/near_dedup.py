@@ -211,3 +211,14 @@ def groups(
         component.alias("component_id"),
         component.eqNullSafe(F.col("doc_id")).alias("kept"),
     )
+
+
+def keep_one(
+    docs: DataFrame, size: int = 5, percent: int = 80, row_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each group; rows without an id all stay."""
+    kept = groups(docs, size, percent, row_id, text).filter("kept AND doc_id IS NOT NULL")
+    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.filter(F.col(row_id).isNotNull())
+    named = named.join(kept, F.col(row_id).cast("bigint") == F.col("_kept"), "left_semi")
+    return named.dropDuplicates([row_id]).unionByName(docs.filter(F.col(row_id).isNull()))

@@ -280,7 +280,8 @@ def judge(
 
     ``labels`` has ``row_id`` and ``quality`` (0 marks a bad document).
     """
-    counted = settle(statistics(docs.select(row_id, text), text).drop(text))
+    rows = docs.select(F.col(row_id), F.col(text), _text_id(text).alias("text_id"))
+    counted = settle(statistics(rows, text).drop(text))
     lowest = labels.groupBy(F.col(row_id).alias("_label_id")).agg(F.min("quality").alias("_q"))
     # The base rule has decided its rows; the list is learned for the others.
     labelled = (
@@ -292,3 +293,18 @@ def judge(
     judged = counted.withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
     kept = ~F.col("base_failed") & F.col("rule").isNull()
     return judged.withColumn("kept", kept), rules
+
+
+def _text_id(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def reject(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that the base rule or a learned rule rejects.
+
+    Rows are judged once on narrow columns; whole rows are only joined.
+    """
+    judged, _ = judge(docs, labels, row_id, text)
+    gone = judged.filter(~F.col("kept")).select(F.col(row_id).alias("_gone"), F.col("text_id").alias("_gone_text"))
+    same = F.col(row_id).eqNullSafe(F.col("_gone")) & (_text_id(text) == F.col("_gone_text"))
+    return docs.join(gone.distinct(), same, "left_anti")

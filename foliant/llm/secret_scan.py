@@ -231,3 +231,12 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
     first = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, first, add, close))
+
+
+def mask_secrets(docs: DataFrame, text: str = "text", size: str | None = "n_chars") -> DataFrame:
+    """``docs`` with secrets masked; a column ``size`` is the new length."""
+    found = scan(docs, text, out="_secret_spans")
+    found = found.withColumn(text, redact(F.col(text), F.col("_secret_spans")))
+    if size in docs.columns:
+        found = found.withColumn(size, F.length(text).cast(docs.schema[size].dataType))
+    return found.select(*docs.columns)

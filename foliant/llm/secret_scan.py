@@ -18,6 +18,8 @@ scanned; extra columns are kept and may have any name.
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,9 +91,10 @@ def find(text: Column, pattern: str, kind: int, group: int, least: int) -> Colum
 def _entropy_windows(string: Column, alphabet: str, bits: float) -> Column:
     """First start and last end of windows with at least ``bits``, or nulls."""
     size = len(alphabet)
-    # c * log2(c) for every count a window can have; entropy is log2(w) - sum / w.
-    parts = F.array(*[F.lit(0.0), *[F.lit(c) * F.log2(F.lit(float(c))) for c in range(1, WINDOW + 1)]])
-    most = WINDOW * (F.log2(F.lit(float(WINDOW))) - F.lit(bits))
+    # c * log2(c) for every count a window can have, one more before a character
+    # leaves; entropy is log2(w) - sum / w.
+    parts = F.array(*[F.lit(c * log2(c) if c else 0.0) for c in range(WINDOW + 2)])
+    most = WINDOW * (log2(WINDOW) - bits)
     slot = lambda i: F.instr(F.lit(alphabet), F.substring(string, i + 1, F.lit(1))) - 1
     count = lambda counts, k: F.coalesce(F.get(counts, k), F.lit(0))
 
@@ -129,7 +132,7 @@ def _entropy_windows(string: Column, alphabet: str, bits: float) -> Column:
         return F.transform(F.array(moved), judged)[0]
 
     start = F.struct(
-        F.array_repeat(F.lit(0), size + 0).alias("counts"),
+        F.array_repeat(F.lit(0), size).alias("counts"),
         F.lit(0.0).alias("sum"),
         F.lit(None).cast("int").alias("first"),
         F.lit(None).cast("int").alias("last"),

@@ -4,8 +4,10 @@ Documents that share a link key (by default: equal texts) are linked. They
 start in the shard of their id's digest. In each round every link key counts
 its members per shard, its members vote for the shard that has most of them,
 and members elsewhere move there as far as that shard's quota for linked rows
-goes. Keys with more members than an eighth of a shard are first split by the
-digest of the ids, so that no key is one task or fills one shard.
+goes. Keys with more members than a quarter of a shard are first cut into parts
+by the digest of the ids; as many parts as a shard holds follow the key's first
+choice, the next ones its second, so a key that is larger than a shard fills
+few shards and is never one task.
 
 After the rounds the shards are made exactly even: ``rows`` counts differ by
 one at most. Rows are numbered within (shard, linked or not, digest block);
@@ -28,10 +30,10 @@ from pyspark.sql import functions as F
 from foliant.operators.sizing import settle
 
 SHARDS = 24
-ROUNDS = 5
+ROUNDS = 6
 BLOCKS = 1024
 ADMISSION = 4096
-PARTS_PER_SHARD = 8
+PARTS_PER_SHARD = 4
 
 
 def facts(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,54 +52,59 @@ def _digest(*parts: Column | str, modulus: int) -> Column:
 
 
 def _split_keys(nodes: DataFrame, shards: int, total: int) -> DataFrame:
-    """Link keys with two members or more, large ones in parts; else null."""
+    """Link keys with two members or more, and parts of large ones; else null."""
     most = max(1, total // (shards * PARTS_PER_SHARD))
     keys = nodes.filter("link IS NOT NULL").groupBy("link").agg(F.count(F.lit(1)).alias("n"))
     keys = keys.filter("n > 1").select("link", F.ceil(F.col("n") / most).cast("int").alias("parts"))
     joined = nodes.join(settle(keys), "link", "left")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
-    return joined.withColumn(
-        "link", F.when(F.col("parts").isNotNull(), F.xxhash64("link", part))
+    part = F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.col("parts")).cast("int")
+    return joined.withColumns(
+        {"link": F.when(F.col("parts").isNotNull(), F.col("link")), "part": part}
     ).drop("parts")
 
 
 def propagate(state: DataFrame, shards: int, total: int, rounds: int = ROUNDS) -> DataFrame:
-    """Move members of a link key to the shard that most of them are in."""
+    """Move members of a link key to the shards that most of them are in."""
     room = total // shards
     for turn in range(rounds):
         votes = settle(
-            state.filter("link IS NOT NULL").groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
+            state.filter("link IS NOT NULL")
+            .groupBy("link", "part", "shard")
+            .agg(F.count(F.lit(1)).alias("n"))
         )
-        load = votes.groupBy("shard").agg(F.sum("n").alias("linked"))
-        quota = F.broadcast(
-            state.sparkSession.range(shards)
-            .select(F.col("id").cast("int").alias("goal"))
-            .join(load.withColumnRenamed("shard", "goal"), "goal", "left")
-            .select("goal", (F.lit(room) - F.coalesce("linked", F.lit(0))).alias("quota"))
+        # A key's choices: at most one row per shard.
+        choice = Window.partitionBy("link").orderBy(F.desc("n"), F.xxhash64("link", "shard", F.lit(turn)))
+        choices = votes.groupBy("link", "shard").agg(F.sum("n").alias("n"))
+        choices = choices.select(
+            "link", F.col("shard").alias("goal"), (F.row_number().over(choice) - 1).alias("place")
         )
-        goals = votes.groupBy("link").agg(
-            F.max_by("shard", F.struct("n", F.xxhash64("link", "shard", F.lit(turn)))).alias("goal")
-        )
-        wishes = votes.join(goals, "link").filter("shard <> goal")
+        place = F.floor(F.col("part") / PARTS_PER_SHARD).cast("int").alias("place")
         wishes = settle(
-            wishes.withColumn("bucket", _digest("link", F.lit(turn), modulus=ADMISSION))
+            votes.select("link", "part", "shard", "n", place)
+            .join(choices, ["link", "place"])
+            .withColumn("bucket", _digest("link", "part", F.lit(turn), modulus=ADMISSION))
         )
+        stay = wishes.filter("shard = goal").groupBy("goal").agg(F.sum("n").alias("stay"))
+        stay = {r["goal"]: r["stay"] for r in stay.collect()}
+        quotas = [max(0, room - stay.get(s, 0)) for s in range(shards)]
         # At most ADMISSION rows per shard in this window.
         so_far = Window.partitionBy("goal").orderBy("bucket")
         admitted = (
-            wishes.groupBy("goal", "bucket")
+            wishes.filter("shard <> goal")
+            .groupBy("goal", "bucket")
             .agg(F.sum("n").alias("n"))
             .withColumn("upto", F.sum("n").over(so_far))
-            .join(quota, "goal")
-            .filter("upto <= quota")
+            .filter(F.col("upto") <= _by_shard(F.col("goal"), quotas))
             .select("goal", "bucket")
         )
         moves = settle(
-            wishes.join(F.broadcast(admitted), ["goal", "bucket"]).select("link", "shard", "goal")
+            wishes.filter("shard <> goal")
+            .join(F.broadcast(admitted), ["goal", "bucket"])
+            .select("link", "part", "shard", "goal")
         )
         if moves.isEmpty():
             break
-        moved = state.join(moves, ["link", "shard"], "left")
+        moved = state.join(moves, ["link", "part", "shard"], "left")
         state = settle(
             moved.withColumn("shard", F.coalesce("goal", "shard")).select(*state.columns)
         )
@@ -175,8 +182,8 @@ def shard_rows(
     total = nodes.count()
     state = _split_keys(nodes, shards, total)
     start = F.coalesce(_digest("doc_id", modulus=shards), F.lit(0))
-    state = settle(state.withColumn("shard", start).select("doc_id", "size", "text_crc32", "link", "shard"))
-    return even_rows(propagate(state, shards, total, rounds), shards, total)
+    state = settle(state.withColumn("shard", start).select("doc_id", "size", "text_crc32", "link", "part", "shard"))
+    return even_rows(propagate(state, shards, total, rounds), shards, total).drop("part")
 
 
 def cut_links(placed: DataFrame) -> DataFrame:

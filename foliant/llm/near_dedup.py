@@ -6,12 +6,16 @@ evaluations per shingle. They are cut into 32 bands of 4; two sets with a
 Jaccard similarity of 0.8 share no band with a probability of 5e-8.
 
 Equal sets are one class from the start, so copies never multiply. In a band's
-bucket every set is compared with the smallest id; after these links are
-joined into components, only members of different components of one bucket
-are still open, and these are compared pivot by pivot until none is left.
-Nothing is capped. Comparisons read whole texts again: a pivot's texts are
-streamed beside those of its partners, in blocks, so one pivot with any number
-of partners is many tasks, and a task holds one pivot's set at a time.
+bucket every set is compared with the smallest id; these links are joined into
+components. Then only members of different components of one bucket are open.
+They meet in blocks of at most ``BLOCK`` members, those outside the bucket's
+largest component against all, as short digests of their whole sets: shared
+digests are never fewer than shared shingles, so what falls short is settled
+there, and only the few pairs that may reach the similarity leave the block.
+Nothing is capped. Every link is confirmed on whole texts, read again: a
+pivot's texts are streamed beside those of its partners, in blocks, so one
+pivot with any number of partners is many tasks, and a task holds one pivot's
+set at a time.
 
 Defined cases: null and empty texts have no shingles and no links; a text with
 fewer words than a shingle is one shingle; rows that repeat an id are one node
@@ -38,7 +42,9 @@ ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 SEED = 20240229
 BLOCKS = 64
-PIVOTS = 8
+BLOCK = 1024
+# Sets up to this size are compared by 16 bits of each shingle, larger ones by 32.
+SHORT = 8192
 
 _SIGNATURE = "doc_id bigint, n_shingles bigint, set_id string, bands array<bigint>"
 
@@ -119,9 +125,7 @@ def confirm(
                 elif any(_alike(own, other, percent) for other in sets.values()):
                     left.append(a[i])
                     right.append(b[i])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"]
-            )
+            yield _pair_batch(list(zip(left, right, strict=True)))
 
     return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
 
@@ -136,6 +140,115 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (small + large - shared)
 
 
+def _digests(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Each text's set size and the leading bits of its shingles."""
+    for batch in words.slices(batches):
+        counts, sets = [], []
+        for text in words.texts_of(batch.column(1)):
+            found = words.shingles(text, size)
+            counts.append(len(found))
+            kind, bits = (np.uint16, 48) if len(found) <= SHORT else (np.uint32, 32)
+            sets.append((found >> np.uint64(bits)).astype(kind).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(counts, pa.int64()), pa.array(sets, pa.binary())], ["rep", "n", "digests"]
+        )
+
+
+def _leading(digests: bytes, n: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """16 bits of each shingle, and 32 bits where they are kept."""
+    if n <= SHORT:
+        return np.frombuffer(digests, np.uint16), None
+    full = np.frombuffer(digests, np.uint32)
+    return (full >> np.uint32(16)).astype(np.uint16), full
+
+
+class _Block:
+    """Members of a bucket from outside its largest component, met by all others."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+        self.outside: list[tuple] = []
+        self.inside: list[tuple] = []
+
+    def pairs(self) -> Iterator[tuple[int, int]]:
+        """Pairs of different components whose digests allow the similarity."""
+        if not self.outside or not self.inside:
+            return
+        reps, parts, sizes = (np.array([m[k] for m in self.inside], np.int64) for k in (0, 1, 2))
+        sets = [_leading(m[3], m[2]) for m in self.inside]
+        flat = np.concatenate([x for x, _ in sets])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        held = np.zeros(1 << 16, bool)
+        for rep, part, n, digests in self.outside:
+            short, full = _leading(digests, n)
+            held[short] = True
+            # Never fewer than the shingles that both have.
+            shared = np.minimum(np.add.reduceat(held[flat], starts, dtype=np.int64), np.minimum(sizes, n))
+            held[short] = False
+            near = (parts != part) & (100 * shared >= self.percent * (sizes + n - shared))
+            for k in np.flatnonzero(near).tolist():
+                other = sets[k][1]
+                if full is not None and other is not None:
+                    both = min(int(np.isin(other, full).sum()), n)
+                    if 100 * both < self.percent * (n + int(sizes[k]) - both):
+                        continue
+                yield min(rep, int(reps[k])), max(rep, int(reps[k]))
+
+
+def _open_pairs(
+    open_: DataFrame, found: DataFrame, docs: DataFrame, size: int, percent: int, row_id: str, text: str
+) -> DataFrame:
+    """Pairs of one bucket that no link joins yet and that may be similar."""
+    labelled = open_.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = settle(labelled.withColumn("component", F.coalesce("component", "rep")))
+    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    # Two sets alone in a bucket have met already.
+    mixed = parts.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"),
+        F.sum("n").alias("all"),
+        F.count(F.lit(1)).alias("parts"),
+    )
+    mixed = mixed.filter("parts > 1 AND all > 2")
+    mixed = settle(mixed.select("key", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")))
+    rows = labelled.join(mixed, "key").withColumn("outside", F.col("component") != F.col("main"))
+    rows = settle(rows.drop("main"))
+    reps = settle(rows.select("rep").distinct())
+    texts = docs.select(F.col(row_id).cast("bigint").alias("rep"), F.col(text).alias("text"))
+    digests = settle(
+        texts.join(reps, "rep", "left_semi").mapInArrow(
+            lambda batches: _digests(batches, size), "rep bigint, n bigint, digests binary"
+        ).filter("n > 0")
+    )
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # Block (i, j) has the i-th part of the outside members and the j-th part of all.
+    first = rows.filter("outside").select("key", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), "rep", "component")
+    second = rows.select("key", every.alias("i"), own.alias("j"), F.lit(1).alias("side"), "rep", "component")
+    dealt = settle(first.unionByName(second)).join(digests, "rep")
+    dealt = dealt.select("key", "i", "j", "side", "rep", "component", "n", "digests")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, _Block(percent)
+        for batch in words.slices(batches):
+            pairs: list[tuple[int, int]] = []
+            columns = [batch.column(k).to_pylist() for k in range(8)]
+            for key, i, j, side, *member in zip(*columns, strict=True):
+                if (key, i, j) != at:
+                    pairs.extend(block.pairs())
+                    at, block = (key, i, j), _Block(percent)
+                (block.inside if side else block.outside).append(tuple(member))
+            yield _pair_batch(pairs)
+        yield _pair_batch(list(block.pairs()))
+
+    return dealt.mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def groups(
     docs: DataFrame,
     size: int = 5,
@@ -165,41 +278,11 @@ def groups(
     links = settle(links.unionByName(ties))
     found = settle(components(links))
 
-    done, pivots = None, PIVOTS
-    while True:
-        labelled = open_.select("key", "rep", "n_shingles").join(
-            found.withColumnRenamed("node", "rep"), "rep", "left"
-        )
-        labelled = settle(labelled.withColumn("component", F.coalesce("component", "rep")))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-        mixed = settle(mixed.filter("c0 <> c1").select("key", F.col("c0").alias("main")))
-        if mixed.isEmpty():
-            break
-        rows = settle(labelled.join(mixed, "key"))
-        # The smallest id of a bucket has met every member; pivots that had their turn are done.
-        outside = rows.filter("component <> main").select("key", "rep")
-        if done is not None:
-            outside = outside.join(done, ["key", "rep"], "left_anti")
-        ranked = outside.withColumn(
-            "rank", F.expr("row_number() OVER (PARTITION BY key ORDER BY rep)")
-        ).filter(F.col("rank") <= pivots)
-        turn = settle(ranked.drop("rank"))
-        if turn.isEmpty():
-            break
-        done = turn if done is None else settle(done.unionByName(turn))
-        pivot = turn.join(rows, ["key", "rep"]).select(
-            "key", F.col("rep").alias("p"), F.col("component").alias("pc"), F.col("n_shingles").alias("pn")
-        )
-        near = (100 * F.least("pn", "n_shingles") >= percent * F.greatest("pn", "n_shingles"))
-        pairs = settle(pivot).join(rows, "key").filter((F.col("pc") != F.col("component")) & near)
-        pairs = pairs.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-        pairs = settle(pairs.join(stars, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            stars = settle(stars.unionByName(pairs))
-            more = confirm(pairs, docs, size, percent, row_id, text)
-            links = settle(links.unionByName(more))
-            found = settle(components(links))
-        pivots *= 4
+    more = confirm(_open_pairs(open_, found, docs, size, percent, row_id, text), docs, size, percent, row_id, text)
+    more = settle(more)
+    if not more.isEmpty():
+        links = settle(links.unionByName(more))
+        found = settle(components(links))
 
     labels = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     labels = settle(labels.select("set_id", F.coalesce("component", "rep").alias("component_id")))

@@ -12,7 +12,8 @@ In a shard the stretches come in order of id. Each is streamed through the
 suffix automaton of the smaller ids; where the matching statistic reaches 50
 words, the window ends there. Then it is added to the automaton. A shard of
 more than ``SHARD`` different stretches (a passage with that many different
-surroundings) is split by its windows' digests instead, so no shard is large.
+surroundings) is split by its windows' digests instead, so no shard is large;
+windows whose middle words are in one document only are dropped before that.
 
 Defined cases: null and empty texts have no words; texts below 50 words lose
 nothing; rows that repeat an id are no reference for each other and are judged
@@ -36,6 +37,7 @@ WINDOW = 50
 GRAM = 10
 STRETCH = 64
 SHARD = 256
+CORE = 4
 
 _INVERSE = pow(int(words.MIX_A), -1, 1 << 64)
 
@@ -196,20 +198,25 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a stretch with its digest, for shards that are split."""
+    """Digests of a stretch's windows, a few at a time with the words common to them."""
     powers = Powers()
-    names = ["anchor", "seg", "first", "offset", "win"]
+    schema = pa.schema(
+        [(n, pa.int64()) for n in ("anchor", "seg", "first", "core")]
+        + [("offset", pa.int32()), ("wins", pa.list_(pa.int64()))]
+    )
     for batch in words.slices(batches):
-        out: list[list[np.ndarray]] = [[] for _ in names]
+        rows = []
         for row in batch.to_pylist():
             h = np.array(row["h"], np.int64).view(np.uint64)
             at = np.arange(len(h) - WINDOW + 1)
-            win = stretch_digests(h, at, np.full(len(at), WINDOW), powers)
-            same = [np.full(len(at), row[k]) for k in ("anchor", "seg", "first")]
-            for held, column in zip(out, (*same, at, win.view(np.int64)), strict=True):
-                held.append(column)
-        kinds = (np.int64, np.int64, np.int64, np.int32, np.int64)
-        yield pa.RecordBatch.from_arrays([_numbers(x, k) for x, k in zip(out, kinds, strict=True)], names)
+            win = stretch_digests(h, at, np.full(len(at), WINDOW), powers).view(np.int64)
+            first = at[::CORE]
+            last = np.minimum(first + CORE, len(at)) - 1
+            core = stretch_digests(h, last, first + WINDOW - last, powers).view(np.int64)
+            same = {k: row[k] for k in ("anchor", "seg", "first")}
+            for k, c in zip(first.tolist(), core.tolist(), strict=True):
+                rows.append(same | {"core": c, "offset": k, "wins": win[k : k + CORE]})
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,11 +285,19 @@ def cuts(texts: DataFrame) -> DataFrame:
     masks = small.sortWithinPartitions("anchor", "first", "seg").mapInArrow(
         _matched, "anchor bigint, seg bigint, offsets array<int>"
     )
-    windows = settle(
+    parts = settle(
         content.filter(F.col("size") > SHARD).mapInArrow(
-            _windows, "anchor bigint, seg bigint, first bigint, offset int, win bigint"
+            _windows, "anchor bigint, seg bigint, first bigint, core bigint, offset int, wins array<bigint>"
         )
     )
+    # Windows whose common words no other document has are settled.
+    cores = parts.groupBy("anchor", "core").agg(F.min("first").alias("f"), F.max("first").alias("l"))
+    cores = settle(cores.filter("f <> l").select("anchor", "core"))
+    windows = settle(
+        parts.join(cores, ["anchor", "core"])
+        .select("anchor", "seg", "first", "offset", F.posexplode("wins").alias("k", "win"))
+        .select("anchor", "seg", "first", (F.col("offset") + F.col("k")).alias("offset"), "win")
+    )
     earliest = settle(windows.groupBy("anchor", "win").agg(F.min("first").alias("least")))
     late = windows.join(earliest, ["anchor", "win"]).filter("first > least")
     late = late.groupBy("anchor", "seg").agg(F.collect_list("offset").alias("offsets"))

@@ -210,12 +210,20 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = np.array(row["h"], np.int64).view(np.uint64)
             at = np.arange(len(h) - WINDOW + 1)
             win = stretch_digests(h, at, np.full(len(at), WINDOW), powers).view(np.int64)
-            first = at[::CORE]
-            last = np.minimum(first + CORE, len(at)) - 1
-            core = stretch_digests(h, last, first + WINDOW - last, powers).view(np.int64)
+            # Windows are taken together by the place of their anchor, the same in every text.
+            anchors = np.flatnonzero(words.grams(h, GRAM).view(np.int64) == row["anchor"])
+            place = anchors[np.searchsorted(anchors, at)]
+            part = (place - at) // CORE
+            new = np.ones(len(at), bool)
+            new[1:] = (place[1:] != place[:-1]) | (part[1:] != part[:-1])
+            first = np.flatnonzero(new)
+            middle = place[first] - part[first] * CORE
+            size = np.full(len(first), WINDOW - CORE + 1)
+            core = stretch_digests(h, middle, size, powers).view(np.int64)
             same = {k: row[k] for k in ("anchor", "seg", "first")}
-            for k, c in zip(first.tolist(), core.tolist(), strict=True):
-                rows.append(same | {"core": c, "offset": k, "wins": win[k : k + CORE]})
+            ends = np.append(first[1:], len(at))
+            for k, end, c in zip(first.tolist(), ends.tolist(), core.tolist(), strict=True):
+                rows.append(same | {"core": c, "offset": k, "wins": win[k:end]})
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 

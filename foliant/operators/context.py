@@ -1,16 +1,11 @@
-"""How a bounded context fills up and is compressed, as tables.
-
-Arriving tokens collect in a buffer; every full chunk of it becomes
-``num_memory`` slots and leaves; the rest stays visible as it is.
-"""
+"""Arriving tokens as full chunks and the tail that is left, per key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant import config as C
-from foliant.functions import tokens as tk
 from foliant.operators.ordered import TURN_SHIFTS, running_sums
 
 
@@ -22,7 +17,7 @@ def context_state(
     size: str = "n_tokens",
     shifts: tuple[int, ...] = TURN_SHIFTS,
 ) -> DataFrame:
-    """State after each arrival: chunks compressed, slots, tail, visible length."""
+    """State after each arrival: tokens so far, full chunks, and the tail."""
     total = running_sums(df, turn, {"total_tokens": F.col(size)}, [key], shifts)
     n = chunks.chunk_size
     return total.withColumns(
@@ -30,41 +25,9 @@ def context_state(
             "chunks_done": F.expr(f"total_tokens div {n}"),
             "tail": F.col("total_tokens") % n,
         }
-    ).withColumns(
-        {
-            "slots": F.col("chunks_done") * chunks.num_memory,
-            "visible": F.col("chunks_done") * chunks.num_memory + F.col("tail"),
-        }
     )
 
 
-def probe_turns(
-    df: DataFrame,
-    chunks: C.Chunks = C.Chunks(),
-    key: str = "conv_id",
-    turn: str = "turn",
-    size: str = "n_tokens",
-    probe: str = "probe",
-    shifts: tuple[int, ...] = TURN_SHIFTS,
-) -> DataFrame:
-    """Probe turns see the context but never enter it.
-
-    A probe's tokens are dropped from the cache before the next turn:
-    ``clear_cache`` is their number on the turn that drops them. The turn
-    before is found by joining on the turn number plus one.
-    """
-    fed = df.withColumn("_in", F.when(F.col(probe), F.lit(0)).otherwise(F.col(size)))
-    state = context_state(fed, chunks, key, turn, "_in", shifts).drop("_in")
-    state = state.withColumn(
-        "visible", F.col("visible") + F.when(F.col(probe), F.col(size)).otherwise(0)
-    )
-    before = (
-        df.filter(F.col(probe))
-        .select(key, (F.col(turn) + 1).alias(turn), F.col(size).alias("clear_cache"))
-    )
-    return state.join(before, [key, turn], "left")
-
-
 def emitted_chunks(
     df: DataFrame,
     chunk_size: int,
@@ -99,93 +62,3 @@ def emitted_chunks(
         key, "chunk_id", F.flatten(F.transform("_p", lambda p: p["piece"])).alias("input_ids")
     )
     return joined.filter(F.size("input_ids") == chunk_size)
-
-
-def slot_coverage(
-    df: DataFrame, chunks: C.Chunks = C.Chunks(), size: str = "n_tokens", keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """Which tokens of its chunk each memory slot sees.
-
-    Slot i sees tokens [0, (i + 1) * (n div m)) and sits at that position.
-    """
-    step = F.floor(F.col(size) / chunks.num_memory).cast("int")
-    slots = F.transform(
-        F.sequence(F.lit(0), F.lit(chunks.num_memory - 1)),
-        lambda i: F.struct(i.alias("slot"), ((i + 1) * step).alias("cover_end")),
-    )
-    out = df.select(*keep, F.explode(slots).alias("s"))
-    return out.select(*keep, "s.slot", "s.cover_end", F.col("s.cover_end").alias("position"))
-
-
-def slot_summaries(
-    df: DataFrame,
-    chunks: C.Chunks = C.Chunks(),
-    ids: str = "input_ids",
-    keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """Statistics of the tokens each slot of a chunk covers: count, distinct, mean id.
-
-    Computed inside the chunk's own row; a prefix is at most a chunk long.
-    """
-    covered = slot_coverage(
-        df.withColumn("n_tokens", F.size(ids)), chunks, keep=(*keep, ids)
-    ).withColumn("_cov", tk.first_n(F.col(ids), F.col("cover_end")))
-    total = F.aggregate("_cov", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return covered.select(
-        *keep,
-        "slot",
-        "cover_end",
-        F.size(F.array_distinct("_cov")).alias("distinct_tokens"),
-        F.try_divide(total, F.size("_cov")).alias("mean_id"),
-    )
-
-
-def slot_vector_means(
-    df: DataFrame,
-    chunks: C.Chunks,
-    keys: tuple[str, ...],
-    pos: str = "pos",
-    vector: str = "vector",
-) -> DataFrame:
-    """Mean of the per-token vectors each slot covers.
-
-    A token belongs to every slot whose cover ends after it. Each token is
-    added to the stretch between two slot ends, stretches are summed per
-    dimension, and slots are running totals over at most ``num_memory``
-    stretches.
-    """
-    step = chunks.chunk_size // chunks.num_memory
-    cells = df.filter(F.col(pos) < step * chunks.num_memory).select(
-        *keys, F.expr(f"{pos} div {step}").alias("slot"), F.posexplode(vector).alias("dim", "x")
-    )
-    sums = cells.groupBy(*keys, "slot", "dim").agg(
-        F.sum(F.col("x").cast("double")).alias("s"), F.count(F.lit(1)).alias("n")
-    )
-    so_far = (
-        Window.partitionBy(*keys, "dim")
-        .orderBy("slot")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return sums.select(
-        *keys,
-        "slot",
-        "dim",
-        (F.sum("s").over(so_far) / F.sum("n").over(so_far)).alias("mean"),
-    )
-
-
-def compression_report(
-    df: DataFrame, chunks: C.Chunks = C.Chunks(), size: str = "n_tokens", keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """Nominal ratio and the ratio each document reaches with its tail kept."""
-    n = chunks.chunk_size
-    done = F.expr(f"{size} div {n}")
-    visible = done * chunks.num_memory + F.col(size) % n
-    return df.select(
-        *keep,
-        size,
-        done.alias("chunks_done"),
-        visible.alias("visible"),
-        F.lit(chunks.ratio).alias("nominal_ratio"),
-        F.try_divide(F.col(size), visible).alias("effective_ratio"),
-    )

@@ -117,6 +117,7 @@ def plan(source: str, **given: str) -> str:
         "do_not_compress": "0",
         "clear_cache": "NULL",
         "loss_denominator": "NULL",
+        "prompt_emptied": "0",
     }
     columns.update(given)
     parts = []
@@ -345,9 +346,9 @@ t AS (SELECT row_id, {bos_ids('input')} AS p, {bos_ids('output')} AS r FROM pair
 v AS (SELECT *, greatest(128 - len(r), 0) AS room FROM t),
 k AS (SELECT row_id AS sample_id, r, CASE WHEN len(p) + len(r) > 128
   THEN list_concat(p[1:room // 2], p[len(p) - (room - room // 2) + 1:len(p)]) ELSE p END AS p FROM v),
-f AS (SELECT sample_id, len(p) AS np, list_concat(p, r) AS i,
+f AS (SELECT sample_id, len(p) AS np, len(r) >= 128 AS e, list_concat(p, r) AS i,
   list_concat({fill(0, 'len(p)')}, {fill(1, 'len(r)')}) AS m FROM k),
-g AS (SELECT *, m[st + 1:st + 32][2:] AS k FROM {chunked('f', 32, 'm, np')})
+g AS (SELECT *, m[st + 1:st + 32][2:] AS k FROM {chunked('f', 32, 'm, np, e')})
 """ + plan(
     "g",
     segment="CASE WHEN st < np THEN 'prompt' ELSE 'response' END",
@@ -357,6 +358,7 @@ g AS (SELECT *, m[st + 1:st + 32][2:] AS k FROM {chunked('f', 32, 'm, np')})
     has_loss=f"seq > 0 AND {total('k')} > 0",
     loss_kind=f"CASE WHEN seq > 0 AND {total('k')} > 0 THEN 'ce' END",
     loss_denominator=f"CASE WHEN seq > 0 AND {total('k')} > 0 THEN {total('k')} END",
+    prompt_emptied="e",
 )
 
 _PIECES = f"""pieces AS (SELECT doc_id * 1048576 + st // 31 AS sample_id, w[st + 1:st + 31] AS w
@@ -524,6 +526,8 @@ SQL["news_plan_v2"] = (
     )
 )
 
+SQL["catalog_news_plan"] = SQL["news_plan_v1"]
+
 SQL["task_dispatch"] = f"""WITH d AS (SELECT row_id, lang, len(i) AS n FROM ({DOC_IDS})),
 a AS (SELECT row_id, least(n, 512) AS n FROM d WHERE lang = 'en'),
 b AS (SELECT row_id, least(512, n // 128 * 128) AS m FROM d WHERE lang <> 'en')
@@ -732,16 +736,7 @@ _ARRIVALS = f"a AS (SELECT conv_id, turn, role, {ids('text')} AS i FROM conversa
 SQL["context_state"] = f"""WITH {_ARRIVALS}, s AS (SELECT conv_id, turn, len(i) AS n,
   sum(len(i)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS total FROM a)
 SELECT conv_id, turn, n::BIGINT AS n_tokens, total AS total_tokens, total // 64 AS chunks_done,
-  total % 64 AS tail, total // 64 * 2 AS slots, total // 64 * 2 + total % 64 AS visible FROM s"""
-
-SQL["probe_turns"] = f"""WITH {_ARRIVALS}, s AS (SELECT conv_id, turn, role = 'user' AS probe, len(i) AS n,
-  sum(CASE WHEN role = 'user' THEN 0 ELSE len(i) END)
-    OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS total FROM a)
-SELECT s.conv_id, s.turn, s.n::BIGINT AS n_tokens, s.probe::BIGINT AS probe, s.total AS total_tokens,
-  s.total // 64 AS chunks_done, s.total % 64 AS tail, s.total // 64 * 2 AS slots,
-  (s.total // 64 * 2 + s.total % 64 + CASE WHEN s.probe THEN s.n ELSE 0 END)::BIGINT AS visible,
-  b.n::DOUBLE AS clear_cache
-FROM s LEFT JOIN s b ON b.conv_id = s.conv_id AND b.turn = s.turn - 1 AND b.probe"""
+  total % 64 AS tail FROM s"""
 
 SQL["emitted_chunks"] = f"""WITH {_ARRIVALS},
 f AS (SELECT conv_id AS sample_id, flatten(list(i ORDER BY turn)) AS i FROM a GROUP BY conv_id)
@@ -750,29 +745,6 @@ FROM {chunked('f', 64)} WHERE len(c) = 64"""
 
 SQL["stream_chunk_emit"] = SQL["emitted_chunks"]
 
-SQL["slot_coverage"] = f"""SELECT sample_id AS row_id, seq::BIGINT AS chunk_id, slot::BIGINT AS slot,
-  ((slot + 1) * (n // 4))::BIGINT AS cover_end, ((slot + 1) * (n // 4))::BIGINT AS position
-FROM (SELECT sample_id, seq, len(c) AS n, unnest(range(0, 4)) AS slot FROM {chunked(_DOC_LISTS, 128)})"""
-
-SQL["slot_summary"] = f"""SELECT row_id, chunk_id, slot, cover_end,
-  len(list_distinct(cov))::BIGINT AS distinct_tokens,
-  CASE WHEN len(cov) > 0 THEN round(list_sum(cov) / len(cov), 6) END AS mean_id
-FROM (SELECT sample_id AS row_id, seq::BIGINT AS chunk_id, slot::BIGINT AS slot,
-    ((slot + 1) * (len(c) // 4))::BIGINT AS cover_end, c[1:(slot + 1) * (len(c) // 4)] AS cov
-  FROM (SELECT sample_id, seq, c, unnest(range(0, 4)) AS slot FROM {chunked(_DOC_LISTS, 128)}))"""
-
-SQL["slot_vectors"] = """WITH c AS (SELECT vec_id // 10 AS sample_id, vec_id % 10 AS pos,
-    unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
-s AS (SELECT DISTINCT sample_id, pos // 2 AS slot, dim FROM c)
-SELECT s.sample_id, s.slot::BIGINT AS slot, s.dim::BIGINT AS dim, round(avg(x), 6) AS mean
-FROM s JOIN c ON c.sample_id = s.sample_id AND c.dim = s.dim AND c.pos < (s.slot + 1) * 2
-GROUP BY s.sample_id, s.slot, s.dim"""
-
-SQL["compression_report"] = f"""WITH d AS (SELECT row_id, len(i) AS n FROM ({DOC_IDS})),
-r AS (SELECT d.*, m, n // 128 * m + n % 128 AS visible FROM d CROSS JOIN (VALUES (4), (16)) t(m))
-SELECT row_id, n::BIGINT AS n_tokens, (n // 128)::BIGINT AS chunks_done, visible::BIGINT AS visible,
-  round(128.0 / m, 6)::DOUBLE AS nominal_ratio, round(n / visible, 6) AS effective_ratio FROM r"""
-
 # --- vectors ---------------------------------------------------------------
 
 _CELLS = """SELECT label::BIGINT AS label, vec_id, unnest(embedding::DOUBLE[]) AS x,

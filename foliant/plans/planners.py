@@ -7,11 +7,13 @@ document per chunk.
 
 from __future__ import annotations
 
+import functools
+import inspect
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant import config as C
 from foliant.functions import hashing
@@ -32,6 +34,7 @@ FIELDS = {
     "do_not_compress": ("boolean", False),
     "clear_cache": ("int", None),
     "loss_denominator": ("int", None),
+    "prompt_emptied": ("boolean", False),
 }
 PLAN_COLUMNS = ["sample_id", "task_type", "seq", *FIELDS]
 
@@ -64,11 +67,43 @@ def emit(df: DataFrame, rows: Column, task_type: str, row_id: str = "row_id") ->
     )
 
 
+# Marks the rows a planner is meant for when several share one pass.
+_MINE = "_mine"
+
+
 def _ids(df: DataFrame, **columns: Column) -> DataFrame:
-    """Token columns, made once however often later expressions use them."""
+    """Token columns, made once however often later expressions use them.
+
+    In a shared pass they stay null on the rows of other planners.
+    """
+    if _MINE in df.columns:
+        columns = {n: F.when(F.col(_MINE), c) for n, c in columns.items()}
     return with_once(df, columns)
 
 
+def planner(tag: str) -> Callable:
+    """A planner from a function that returns a table and an array of plan structs.
+
+    Called, it explodes the array. ``rows`` is the function itself, from which
+    the dispatcher takes the arrays of all its planners in one pass.
+    """
+
+    def wrap(build: Callable) -> Callable:
+        signature = inspect.signature(build)
+
+        @functools.wraps(build)
+        def plan(*args, **kwargs) -> DataFrame:
+            given = signature.bind(*args, **kwargs)
+            given.apply_defaults()
+            df, rows = build(*given.args, **given.kwargs)
+            return emit(df, rows, tag, given.arguments["row_id"])
+
+        plan.rows = build
+        return plan
+
+    return wrap
+
+
 def explode_chunks(
     df: DataFrame, chunk_size: int, arrays: tuple[str, ...] = ("input_ids",), keep: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -83,6 +118,7 @@ def explode_chunks(
     )
 
 
+@planner(C.LANGUAGE_MODELING)
 def lm_plan(
     df: DataFrame,
     chunks: C.Chunks = C.Chunks(),
@@ -90,7 +126,7 @@ def lm_plan(
     truncation: int | None = None,
     text: str = "text",
     row_id: str = "row_id",
-) -> DataFrame:
+) -> tuple[DataFrame, Column]:
     """Every chunk predicts its own next tokens; a one-token chunk has no loss."""
     df = _ids(df, _ids=tk.head_truncate(tk.tokenize(F.col(text), tokens), truncation))
 
@@ -107,9 +143,10 @@ def lm_plan(
         )
 
     rows = F.transform(tk.chunk_arrays(F.col("_ids"), chunks.chunk_size), row)
-    return emit(df, rows, C.LANGUAGE_MODELING, row_id)
+    return df, rows
 
 
+@planner(C.PERPLEXITY)
 def perplexity_plan(
     df: DataFrame,
     chunks: C.Chunks = C.Chunks(),
@@ -117,7 +154,7 @@ def perplexity_plan(
     truncation: int | None = None,
     text: str = "text",
     row_id: str = "row_id",
-) -> DataFrame:
+) -> tuple[DataFrame, Column]:
     """Every chunk is scored on its own; its first token never is."""
     df = _ids(df, _ids=tk.head_truncate(tk.tokenize(F.col(text), tokens), truncation))
 
@@ -133,20 +170,22 @@ def perplexity_plan(
         )
 
     rows = F.transform(tk.chunk_arrays(F.col("_ids"), chunks.chunk_size), row)
-    return emit(df, rows, C.PERPLEXITY, row_id)
+    return df, rows
 
 
+@planner(C.QUESTION_ANSWERING)
 def qa_plan(
     df: DataFrame,
     chunks: C.Chunks = C.Chunks(),
     tokens: C.Tokens = C.Tokens(),
     truncation: int | None = None,
     row_id: str = "row_id",
-) -> DataFrame:
+) -> tuple[DataFrame, Column]:
     """Prompt cut from the middle, then prompt and response chunked together.
 
     The first chunk never has loss; a later one has it when a scored position
-    remains after the shift.
+    remains after the shift. ``prompt_emptied`` tells that the response leaves
+    no room for the prompt.
     """
     n = chunks.chunk_size
     df = _ids(
@@ -174,24 +213,21 @@ def qa_plan(
             has_loss=scored,
             loss_kind=_with_loss(scored, "ce"),
             loss_denominator=_with_loss(scored, tk.total(mask)),
+            prompt_emptied=F.lit(False) if truncation is None else F.size("_response") >= truncation,
         )
 
     rows = F.transform(tk.chunk_starts(F.col("_ids"), n), row)
-    return emit(df, rows, C.QUESTION_ANSWERING, row_id)
-
-
-def prompt_emptied(df: DataFrame, tokens: C.Tokens, truncation: int) -> DataFrame:
-    """Rows whose response leaves no room for the prompt."""
-    return df.filter(F.size(tk.tokenize(F.col("response"), tokens)) >= truncation)
+    return df, rows
 
 
+@planner(C.AUTO_ENCODING)
 def copy_pair_plan(
     df: DataFrame,
     chunks: C.Chunks = C.Chunks(),
     tokens: C.Tokens = C.Tokens(),
     row_id: str = "row_id",
     strict: bool = False,
-) -> DataFrame:
+) -> tuple[DataFrame, Column]:
     """A prompt chunk, then a response chunk scored whole.
 
     The response is fed after a repeat token, so its labels are not shifted.
@@ -222,7 +258,8 @@ def copy_pair_plan(
             loss_denominator=F.size("_response"),
         ),
     )
-    return emit(df.filter(fits), rows, C.AUTO_ENCODING, row_id)
+    df = _ids(df, _fits=fits)
+    return df, F.when(F.col("_fits"), rows)
 
 
 def copy_pair_violations(
@@ -309,6 +346,7 @@ def _turns(df: DataFrame, lead: str, tokens: C.Tokens, width: Column | int, cap:
     )
 
 
+@planner(C.NEWS_V1)
 def news_plan_v1(
     df: DataFrame,
     chunks: C.Chunks = C.Chunks(),
@@ -317,7 +355,7 @@ def news_plan_v1(
     row_id: str = "row_id",
     seed: int = 42,
     compat: bool = False,
-) -> DataFrame:
+) -> tuple[DataFrame, Column]:
     """Story hidden among distractors, then questions and a summary request.
 
     The context budget is a random whole number of chunks up to
@@ -326,6 +364,7 @@ def news_plan_v1(
     ``compat`` the ``lm`` mask stays unshifted beside shifted labels, so the
     first reply token is counted but not scored.
     """
+    df = _plain_answers(df)
     n = chunks.chunk_size
     gain = hashing.draw_below(truncation // n, F.col(row_id), seed, "gain") + 1
     df = _ids(df, _budget=(gain * n).cast("int"))
@@ -358,9 +397,10 @@ def news_plan_v1(
         tk.chunk_arrays(F.col("_context"), n),
         lambda c: plan_row(segment="context", input_ids=c, forward_teacher=~lm),
     )
-    return emit(df, F.concat(context, F.transform("_turns", turn_row)), C.NEWS_V1, row_id)
+    return df, F.concat(context, F.transform("_turns", turn_row))
 
 
+@planner(C.NEWS_V2)
 def news_plan_v2(
     df: DataFrame,
     chunks: C.Chunks = C.Chunks(),
@@ -370,13 +410,14 @@ def news_plan_v2(
     high: int = 3584,
     row_id: str = "row_id",
     seed: int = 42,
-) -> DataFrame:
+) -> tuple[DataFrame, Column]:
     """As v1, with a budget in [low, high] of a fixed window.
 
     What the context leaves of the window bounds each turn. Every row runs the
     teacher and the loss blends KL and cross entropy; the summary carries the
     labels the blend needs.
     """
+    df = _plain_answers(df)
     n = chunks.chunk_size
     budget = hashing.draw_below(high - low + 1, F.col(row_id), seed, "budget") + low
     df = _ids(df, _budget=budget.cast("int"))
@@ -406,9 +447,10 @@ def news_plan_v2(
             loss_denominator=tk.total(t["mask"]),
         ),
     )
-    return emit(df, F.concat(context, turns), C.NEWS_V2, row_id)
+    return df, F.concat(context, turns)
 
 
+@planner(C.MEMORY_UTILIZATION)
 def memory_utilization_plan(
     df: DataFrame,
     chunks: C.Chunks = C.Chunks(),
@@ -417,7 +459,7 @@ def memory_utilization_plan(
     text: str = "text",
     row_id: str = "row_id",
     seed: int = 42,
-) -> DataFrame:
+) -> tuple[DataFrame, Column]:
     """The text, then random ids that only the memory could help to predict."""
     n = chunks.chunk_size
     if truncation % 2 or truncation // 2 != n:
@@ -440,12 +482,13 @@ def memory_utilization_plan(
             loss_denominator=n,
         ),
     )
-    return emit(df, rows, C.MEMORY_UTILIZATION, row_id)
+    return df, rows
 
 
+@planner(C.SHIFTED_LABELS)
 def shifted_label_plan(
     df: DataFrame, chunks: C.Chunks = C.Chunks(), row_id: str = "row_id"
-) -> DataFrame:
+) -> tuple[DataFrame, Column]:
     """Chunks of prepared samples with labels shifted over the whole sample.
 
     Cross entropy per chunk is divided by the valid labels of the sample;
@@ -475,9 +518,10 @@ def shifted_label_plan(
         )
 
     rows = F.transform(tk.chunk_starts(F.col("input_ids"), n), row)
-    return emit(df, rows, C.SHIFTED_LABELS, row_id)
+    return df, rows
 
 
+@planner(C.COPY_BACK)
 def copy_back_plan(
     df: DataFrame,
     chunks: C.Chunks = C.Chunks(),
@@ -485,7 +529,7 @@ def copy_back_plan(
     truncation: int | None = None,
     text: str = "text",
     row_id: str = "row_id",
-) -> DataFrame:
+) -> tuple[DataFrame, Column]:
     """Whole chunks of the text, then the same text again as labels after eos."""
     n = chunks.chunk_size
     df = _ids(df, _all=tk.tokenize(F.col(text), tokens))
@@ -509,7 +553,7 @@ def copy_back_plan(
             loss_denominator=F.col("_m"),
         ),
     )
-    return emit(df, F.concat(first, second), C.COPY_BACK, row_id)
+    return df, F.concat(first, second)
 
 
 def first_alternative(answers: Column) -> Column:
@@ -517,6 +561,16 @@ def first_alternative(answers: Column) -> Column:
     return F.transform(answers, lambda alternatives: F.get(alternatives, 0))
 
 
+def _plain_answers(df: DataFrame) -> DataFrame:
+    """Answers as they come from a corpus (lists of alternatives) or one each."""
+    kind = df.schema["answers"].dataType
+    nested = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType)
+    return df.withColumn("answers", first_alternative(F.col("answers"))) if nested else df
+
+
+_PLAN_TYPE = f"array<struct<{','.join(f'{n}:{kind}' for n, (kind, _) in FIELDS.items())}>>"
+
+
 def plan_tasks(
     df: DataFrame,
     chunks: C.Chunks = C.Chunks(),
@@ -527,37 +581,64 @@ def plan_tasks(
     row_id: str = "row_id",
     seed: int = 42,
 ) -> DataFrame:
-    """Plan a wide corpus by the tag of each row.
+    """Plan a wide corpus by the tag of each row, in one pass.
 
     ``override`` replaces every row's tag, as evaluation does. ``task_types``
-    names the tags that occur; each adds one filtered branch. A row with any
-    other tag is an error.
+    names the tags to plan; without it these are all tags whose columns the
+    table has and whose planner can work with ``truncation``. Each planner
+    adds one array to the row, null on rows of other tags; the arrays are
+    joined and exploded once. A row with any other tag is an error.
     """
-    planners = {
-        C.LANGUAGE_MODELING: lambda d: lm_plan(d, chunks, tokens, truncation, row_id=row_id),
-        C.PERPLEXITY: lambda d: perplexity_plan(d, chunks, tokens, truncation, row_id=row_id),
-        C.QUESTION_ANSWERING: lambda d: qa_plan(d, chunks, tokens, truncation, row_id=row_id),
-        C.AUTO_ENCODING: lambda d: copy_pair_plan(d, chunks, tokens, row_id=row_id),
-        C.NEWS_V1: lambda d: news_plan_v1(d, chunks, tokens, truncation, row_id=row_id, seed=seed),
-        C.NEWS_V2: lambda d: news_plan_v2(d, chunks, tokens, row_id=row_id, seed=seed),
-        C.MEMORY_UTILIZATION: lambda d: memory_utilization_plan(
-            d, chunks, tokens, truncation, row_id=row_id, seed=seed
+    common = {"chunks": chunks, "row_id": row_id}
+    cut = {**common, "tokens": tokens, "truncation": truncation}
+    n = chunks.chunk_size
+    text, pair = ("text",), ("prompt", "response")
+    news = ("disturb", "context", "questions", "answers", "summation")
+    # Planner, its settings, the columns it reads, and whether it can work.
+    known = {
+        C.LANGUAGE_MODELING: (lm_plan, cut, text, True),
+        C.PERPLEXITY: (perplexity_plan, cut, text, True),
+        C.QUESTION_ANSWERING: (qa_plan, cut, (*pair, "train_prompt"), True),
+        C.AUTO_ENCODING: (copy_pair_plan, {**common, "tokens": tokens}, pair, True),
+        C.NEWS_V1: (news_plan_v1, {**cut, "seed": seed}, (*news, "method"), (truncation or 0) >= n),
+        C.NEWS_V2: (news_plan_v2, {**common, "tokens": tokens, "seed": seed}, news, True),
+        C.MEMORY_UTILIZATION: (memory_utilization_plan, {**cut, "seed": seed}, text, truncation == 2 * n),
+        C.SHIFTED_LABELS: (
+            shifted_label_plan, common, ("input_ids", "labels", "attention_mask", "distill"), True
         ),
-        C.SHIFTED_LABELS: lambda d: shifted_label_plan(d, chunks, row_id=row_id),
-        C.COPY_BACK: lambda d: copy_back_plan(d, chunks, tokens, truncation, row_id=row_id),
-    }
+        C.COPY_BACK: (copy_back_plan, cut, text, True),
+    }
     if override is not None:
         df = df.withColumn("task_type", F.lit(override))
         task_types = (override,)
-    wanted = tuple(planners) if task_types is None else task_types
-    unknown = [t for t in wanted if t not in planners]
-    if unknown:
-        raise ValueError(f"no planner for task type {unknown}")
-    branches = [planners[t](df.filter(F.col("task_type") == t)) for t in wanted]
-    # Rows left over fail in a generator: unlike a filter or a column, it is
-    # neither moved nor pruned. With constant tags this branch folds away.
-    known = F.coalesce(F.col("task_type").isin(*wanted), F.lit(False))
-    failed = F.raise_error(F.concat(F.lit("no planner for task type "), F.col("task_type")))
-    rows = failed.cast(f"array<struct<{','.join(f'{n}:{kind}' for n, (kind, _) in FIELDS.items())}>>")
-    branches.append(emit(df.filter(~known), rows, "", row_id))
-    return reduce(lambda a, b: a.unionByName(b), branches)
+    if task_types is None:
+        have = set(df.columns)
+        wanted = [t for t, (_, _, needs, able) in known.items() if able and have.issuperset(needs)]
+    else:
+        wanted = list(task_types)
+        unknown = [t for t in wanted if t not in known]
+        if unknown:
+            raise ValueError(f"no planner for task type {unknown}")
+        unable = [t for t in wanted if not known[t][3]]
+        if unable:
+            raise ValueError(f"truncation {truncation} does not suit task type {unable}")
+    own, plans = df.columns, []
+    for k, tag in enumerate(wanted):
+        build, settings, _, _ = known[tag]
+        mine = F.coalesce(F.col("task_type") == tag, F.lit(False))
+        made, rows = build.rows(df.withColumn(_MINE, mine), **settings)
+        made = with_once(made, {f"_plan{k}": F.when(F.col(_MINE), rows).cast(_PLAN_TYPE)})
+        plans.append(f"_plan{k}")
+        df = made.select(*own, *plans)
+    failed = F.raise_error(
+        F.concat(F.lit("no planner for task type "), F.coalesce("task_type", F.lit("null")))
+    ).cast(_PLAN_TYPE)
+    planned = F.coalesce(F.col("task_type").isin(*wanted), F.lit(False))
+    rows = F.when(~planned, failed).otherwise(F.coalesce(*plans, F.lit(None).cast(_PLAN_TYPE)))
+    out = df.select(F.col(row_id).cast("bigint").alias("sample_id"), "task_type", F.posexplode(rows))
+    return out.select(
+        "sample_id",
+        "task_type",
+        F.col("pos").alias("seq"),
+        *[F.col("col")[name].alias(name) for name in FIELDS],
+    )

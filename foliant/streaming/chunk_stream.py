@@ -17,7 +17,8 @@ from foliant.operators.sizing import shared_dir
 _OUT = "{key} bigint, kind string, chunk_id bigint, turn bigint, input_ids array<int>"
 MAX_TRIGGER_BYTES = 4 * 1024**3
 _SLICE_ROWS = 10_000
-_STATE = "tail array<int>, chunks bigint, last_turn bigint"
+_PENDING = "array<struct<turn:bigint,ids:array<int>,closes:boolean>>"
+_STATE = f"tail array<int>, chunks bigint, next_turn bigint, waiting {_PENDING}"
 
 
 def _bounded(reader, max_bytes: int, max_files: int | None):
@@ -55,15 +56,19 @@ def emit_chunks(
     turn: str = "turn",
     ids: str = "input_ids",
     end: str | None = None,
+    first_turn: int = 0,
 ) -> DataFrame:
     """Full chunks of each key's tokens as they fill up, in turn order.
 
-    State per key is the tail (shorter than a chunk), the number of chunks and
-    the last turn. Rows of one micro-batch are taken in turn order; a turn not
-    after the last one seen comes out as a ``late`` row instead. A key's rows
-    of one micro-batch meet in one task as plain integer arrays, so the bound
-    on the micro-batch bounds a busy key; results leave in slices. A true
-    ``end`` column closes the key: its state is removed and the tail dropped.
+    Turns of a key count up from ``first_turn``. State per key is the tail
+    (shorter than a chunk), the number of chunks, the next turn, and turns that
+    came before their predecessor: those wait, so the chunks are the same
+    however arrivals are dealt to micro-batches. A turn that was there already
+    comes out as a ``late`` row. A true ``end`` column marks a key's last turn:
+    once it is reached the state is removed and the tail dropped.
+
+    Arrivals are taken as they come, one Arrow batch at a time; only turns out
+    of order are held. Results leave in slices.
     """
     size = chunk_size
     names = [key, "kind", "chunk_id", "turn", "input_ids"]
@@ -76,36 +81,37 @@ def emit_chunks(
     def step(
         group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        tail, chunks, last = state.get if state.exists else ([], 0, -1)
+        tail, chunks, wanted, held = state.get if state.exists else ([], 0, first_turn, [])
         tail = np.asarray(tail, dtype=np.int32)
-        arrived = [
-            (int(r.turn), np.asarray(r.input_ids, dtype=np.int32), bool(r.closes))
-            for batch in batches
-            for r in batch.itertuples(index=False)
-        ]
-        arrived.sort(key=lambda a: a[0])
+        waiting = {int(t): (np.asarray(i, dtype=np.int32), bool(c)) for t, i, c in held}
         out: list[tuple] = []
         closed = False
-        for turn_no, ids_now, closes_now in arrived:
-            if turn_no <= last:
-                out.append((group[0], "late", None, turn_no, ids_now))
-                continue
-            last, closed = turn_no, closes_now
-            tail = np.concatenate([tail, ids_now])
-            full = len(tail) // size
-            for c in range(full):
-                out.append((group[0], "chunk", chunks + c, turn_no, tail[c * size : (c + 1) * size]))
-            chunks += full
-            tail = tail[full * size :]
-            if closed:
-                tail, chunks, last = tail[:0], 0, -1
-            if len(out) >= _SLICE_ROWS:
-                yield frame(out)
-                out = []
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                now = int(r.turn)
+                ids_now = np.asarray(r.input_ids, dtype=np.int32)
+                if closed or now < wanted or now in waiting:
+                    out.append((group[0], "late", None, now, ids_now))
+                else:
+                    waiting[now] = (ids_now, bool(r.closes))
+                while not closed and wanted in waiting:
+                    ids_now, closed = waiting.pop(wanted)
+                    tail = np.concatenate([tail, ids_now])
+                    full = len(tail) // size
+                    for c in range(full):
+                        out.append((group[0], "chunk", chunks + c, wanted, tail[c * size : (c + 1) * size]))
+                    chunks += full
+                    tail = tail[full * size :]
+                    wanted += 1
+                    if len(out) >= _SLICE_ROWS:
+                        yield frame(out)
+                        out = []
         if closed:
             state.remove()
+            out += [(group[0], "late", None, t, i) for t, (i, _) in sorted(waiting.items())]
         else:
-            state.update((tail.tolist(), chunks, last))
+            left = [(t, i.tolist(), c) for t, (i, c) in sorted(waiting.items())]
+            state.update((tail.tolist(), chunks, wanted, left))
         if out:
             yield frame(out)
 

@@ -163,7 +163,7 @@ def _news_v1_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = samples.news_rows(rows, "lm").withColumn(
         "method", F.when(F.col("row_id") % 2 == 0, "lm").otherwise("distill")
     )
-    return rows.withColumn("answers", planners.first_alternative(F.col("answers")))
+    return rows
 
 
 def _news_v2_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -171,9 +171,7 @@ def _news_v2_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = mixing.distractor_at_random(
         _news(spark, folder), books, min_chars=2000, cap=2000, seed=SEED
     )
-    return samples.news_rows(rows).withColumn(
-        "answers", planners.first_alternative(F.col("answers"))
-    )
+    return samples.news_rows(rows)
 
 
 def _copy_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -614,6 +612,13 @@ def news_plan_v1(spark, folder):
     )
 
 
+@query(optional=PLAN_OPTIONAL)
+def catalog_news_plan(spark, folder):
+    """Rows as the corpus has them, with alternative answers, through the dispatcher."""
+    rows = _news_v1_rows(spark, folder)
+    return _plan(planners.plan_tasks(rows, CHUNKS, TOKENS, 512, override=C.NEWS_V1, seed=SEED))
+
+
 @query(optional=PLAN_OPTIONAL)
 def news_plan_v2(spark, folder):
     return _plan(
@@ -860,14 +865,6 @@ def context_state(spark, folder):
     return context.context_state(turns, C.Chunks(64, 2))
 
 
-@query(optional=("clear_cache",))
-def probe_turns(spark, folder):
-    turns = _arrivals(spark, folder).select(
-        "conv_id", "turn", "n_tokens", (F.col("role") == "user").alias("probe")
-    )
-    return context.probe_turns(turns, C.Chunks(64, 2))
-
-
 @query
 def emitted_chunks(spark, folder):
     return context.emitted_chunks(_arrivals(spark, folder), 64)
@@ -885,36 +882,6 @@ def stream_chunk_emit(spark, folder):
     return rows.filter(F.col("kind") == "chunk").select("conv_id", "chunk_id", "input_ids")
 
 
-@query
-def slot_coverage(spark, folder):
-    chunks = planners.explode_chunks(_ids(_docs(spark, folder)), 128, keep=("row_id",))
-    sized = chunks.withColumn("n_tokens", F.size("input_ids"))
-    return context.slot_coverage(sized, CHUNKS, keep=("row_id", "chunk_id"))
-
-
-@query
-def slot_summary(spark, folder):
-    chunks = planners.explode_chunks(_ids(_docs(spark, folder)), 128, keep=("row_id",))
-    return context.slot_summaries(chunks, CHUNKS, keep=("row_id", "chunk_id"))
-
-
-@query
-def slot_vectors(spark, folder):
-    """Vectors as the tokens of chunks of ten; five slots of two tokens each."""
-    rows = _logits(spark, folder)
-    return context.slot_vector_means(
-        rows, C.Chunks(10, 5), ("sample_id",), vector="logits"
-    )
-
-
-@query
-def compression_report(spark, folder):
-    sized = _ids(_docs(spark, folder)).withColumn("n_tokens", F.size("input_ids"))
-    narrow = context.compression_report(sized, CHUNKS, keep=("row_id",))
-    wide = context.compression_report(sized, CHUNKS_WIDE, keep=("row_id",))
-    return narrow.unionByName(wide)
-
-
 # --- vectors ---------------------------------------------------------------
 
 

@@ -80,7 +80,8 @@ def test_qa_plan_truncates_the_prompt(spark):
     rows = collected(planners.qa_plan(df, SMALL, truncation=8))
     p, r = ids_of(spark, text(9)), ids_of(spark, "x y")
     assert sum((x.input_ids for x in rows), []) == p[:2] + p[-3:] + r
-    assert planners.prompt_emptied(df, C.Tokens(), 3).count() == 1
+    assert not any(x.prompt_emptied for x in rows)
+    assert all(x.prompt_emptied for x in collected(planners.qa_plan(df, SMALL, truncation=3)))
 
 
 def test_copy_pair_plan(spark):
@@ -287,3 +288,56 @@ def test_contracts(spark):
     assert samples.flag("true") and not samples.flag("false")
     with pytest.raises(ValueError):
         samples.flag("yes")
+
+
+def wide(spark):
+    """Two rows of each tag, with the columns of all tags."""
+    n = SMALL.chunk_size
+    words = [f"w{k}" for k in range(40)]
+    plain = {
+        "text": " ".join(words), "prompt": " ".join(words[: n - 1]), "response": " ".join(words[: n - 2]),
+        "train_prompt": True, "disturb": " ".join(words * 3), "context": "a story", "summation": "the end",
+        "method": "lm", "distill": False,
+    }
+    rows = []
+    tags = [
+        C.LANGUAGE_MODELING, C.PERPLEXITY, C.QUESTION_ANSWERING, C.AUTO_ENCODING, C.NEWS_V1, C.NEWS_V2,
+        C.MEMORY_UTILIZATION, C.SHIFTED_LABELS, C.COPY_BACK,
+    ]
+    for k, tag in enumerate(tags * 2):
+        ids = list(range(5, 5 + 2 * n + k % 3))
+        rows.append(
+            {"row_id": k, "task_type": tag, **plain, "questions": ["why", "how"], "answers": [["so"], ["thus", "x"]],
+             "input_ids": ids, "labels": ids, "attention_mask": [1] * len(ids)}
+        )
+    kinds = {
+        "row_id": "bigint", "train_prompt": "boolean", "distill": "boolean", "questions": "array<string>",
+        "answers": "array<array<string>>", "input_ids": "array<int>", "labels": "array<int>", "attention_mask": "array<int>",
+    }
+    schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in rows[0])
+    return spark.createDataFrame([tuple(r.values()) for r in rows], schema), tags
+
+
+def test_dispatch_over_all_tags_is_one_pass(spark, tmp_path):
+    df, tags = wide(spark)
+    df.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    cut = 2 * SMALL.chunk_size
+    plan = planners.plan_tasks(df, SMALL, truncation=cut)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = collected(plan)
+    assert {r.task_type for r in got} == set(tags)
+    for tag in tags:
+        alone = collected(planners.plan_tasks(df.filter(F.col("task_type") == tag), SMALL, truncation=cut, override=tag))
+        assert sorted(map(str, alone)) == sorted(str(r) for r in got if r.task_type == tag), tag
+
+
+def test_dispatch_without_truncation(spark):
+    df, tags = wide(spark)
+    cut_only = [C.NEWS_V1, C.MEMORY_UTILIZATION]
+    rest = df.filter(~F.col("task_type").isin(*cut_only))
+    assert {r.task_type for r in collected(planners.plan_tasks(rest, SMALL))} == set(tags) - set(cut_only)
+    with pytest.raises(PySparkException):
+        planners.plan_tasks(df, SMALL).count()
+    texts = rest.filter(F.col("task_type") == C.LANGUAGE_MODELING).select("row_id", "task_type", "text")
+    assert planners.plan_tasks(texts, SMALL).count() > 0

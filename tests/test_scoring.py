@@ -175,7 +175,6 @@ def test_buffer_fixture(spark):
     rows = context.context_state(df, C.Chunks(64, 2)).orderBy("turn").collect()
     assert [r.chunks_done for r in rows] == [0, 1, 2]
     assert [r["tail"] for r in rows] == [50, 16, 12]
-    assert [r.visible for r in rows] == [50, 18, 16]
 
 
 @pytest.mark.parametrize("shifts", [(14,), (1, 2)])
@@ -185,34 +184,6 @@ def test_emitted_chunks(spark, shifts):
     assert [r.input_ids for r in got] == [list(range(i, i + 8)) for i in range(0, 56, 8)]
 
 
-def test_probe_turns(spark):
-    df = arrivals(spark, [10, 3, 4, 60]).withColumn("probe", F.col("turn").isin(1, 2))
-    rows = context.probe_turns(df.drop("input_ids"), C.Chunks(64, 2)).orderBy("turn").collect()
-    assert [r.total_tokens for r in rows] == [10, 10, 10, 70]
-    assert [r.visible for r in rows] == [10, 13, 14, 8]
-    assert [r.clear_cache for r in rows] == [None, None, 3, 4]
-
-
-def test_slots(spark):
-    df = spark.createDataFrame([(8, list(range(8)))], "n_tokens int, input_ids array<int>")
-    rows = context.slot_coverage(df, C.Chunks(8, 2)).collect()
-    assert [(r.slot, r.cover_end, r.position) for r in rows] == [(0, 4, 4), (1, 8, 8)]
-    summed = context.slot_summaries(df, C.Chunks(8, 2)).collect()
-    assert [(r.distinct_tokens, r.mean_id) for r in summed] == [(4, 1.5), (8, 3.5)]
-    vectors = spark.createDataFrame(
-        [(1, p, [float(p), 1.0]) for p in range(9)], "k int, pos int, vector array<double>"
-    )
-    means = context.slot_vector_means(vectors, C.Chunks(8, 2), ("k",)).filter("dim = 0")
-    assert [r["mean"] for r in means.orderBy("slot").collect()] == [1.5, 3.5]
-
-
-def test_compression(spark):
-    df = spark.createDataFrame([(130,)], "n_tokens int")
-    row = context.compression_report(df, C.Chunks(64, 2)).first()
-    assert (row.chunks_done, row.visible, row.nominal_ratio) == (2, 6, 32.0)
-    assert C.CHUNKS_32X.ratio == 32 and C.CHUNKS_8X.ratio == 8
-
-
 # --- vectors ---------------------------------------------------------------
 
 

@@ -72,13 +72,29 @@ def test_stream_equals_batch(spark, folder):
     assert len(got) == 4 + 2
 
 
-def test_late_turns_come_out_beside(spark, folder):
-    batches(folder, [(1, 5, text(0, 3), False)], [(1, 4, text(9, 11), False), (1, 6, text(3, 4), False)])
+def test_any_order_and_any_bound_give_the_same(spark, folder):
+    files = [
+        [(1, 2, text(9, 10), False), (2, 1, text(2, 9), False)],
+        [(1, 3, text(10, 17), False)],
+        [(1, 1, text(3, 9), False), (1, 0, text(0, 3), False), (2, 0, text(0, 2), False)],
+    ]
+    batches(folder, *files)
+    seen = []
+    for bound in ({"max_files": 1}, {"max_bytes": 1}, {}):
+        turns = cs.read_json_stream(spark, str(folder), SCHEMA, **bound)
+        ids = turns.select("conv_id", "turn", "closes", tk.tokenize(F.col("text"), add_bos=False).alias("input_ids"))
+        rows = cs.run_to_table(cs.emit_chunks(ids, 4)).collect()
+        seen.append(sorted((r.conv_id, r.kind, r.chunk_id, r.input_ids) for r in rows))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 4 + 2
+
+
+def test_repeated_turns_come_out_beside(spark, folder):
+    batches(folder, [(1, 0, text(0, 3), False)], [(1, 0, text(9, 11), False), (1, 1, text(3, 4), False)])
     got = run(spark, folder).collect()
     late = [r for r in got if r.kind == "late"]
     chunks = [r for r in got if r.kind == "chunk"]
-    assert [(r.turn, len(r.input_ids)) for r in late] == [(4, 2)]
-    assert len(chunks) == 1 and chunks[0].turn == 6
+    assert [(r.turn, len(r.input_ids)) for r in late] == [(0, 2)]
+    assert len(chunks) == 1 and chunks[0].turn == 1
 
 
 def test_end_removes_the_state(spark, folder):

@@ -12,10 +12,8 @@ from pyspark.sql import types as T
 from foliant import config as C
 from foliant.functions import hashing
 from foliant.operators.ordered import ID_SHIFTS, id_positions, shuffled_positions
-from foliant.operators.sizing import broadcast_if_small
 
 _MIN_KEYS = 4096
-MAX_CONFIG_ROWS = 10_000
 
 
 # --- distractor joins ------------------------------------------------------
@@ -105,8 +103,6 @@ TASK_SCHEMA = T.StructType(
 
 
 def tasks_frame(spark: SparkSession, tasks: Sequence[C.Task]) -> DataFrame:
-    if len(tasks) > MAX_CONFIG_ROWS:
-        raise ValueError(f"more than {MAX_CONFIG_ROWS} tasks")
     rows = [
         (i, t.task_type, t.task_name, t.num_instance, t.truncation) for i, t in enumerate(tasks)
     ]
@@ -118,12 +114,11 @@ def task_samples(
 ) -> DataFrame:
     """Every task over the first ``num_instance`` rows of its corpus.
 
-    A task list checked to be small is broadcast, so the corpus is not
-    shuffled. The task's tag replaces the row's.
+    The task's tag replaces the row's.
     """
     first = F.col("num_instance").isNull() | (F.col(row_no) <= F.col("num_instance"))
     kept = corpus.drop("task_type") if "task_type" in corpus.columns else corpus
-    return kept.join(broadcast_if_small(tasks, MAX_CONFIG_ROWS), name).filter(first)
+    return kept.join(tasks, name).filter(first)
 
 
 def numbered_rows(df: DataFrame, row_id: str, out: str = "row_no") -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions import hashing
-from foliant.operators.sizing import broadcast_if_small
 
 # 16 bits of a digest: at most 65,536 buckets per key.
 _BUCKET_DIGITS = 4
@@ -138,7 +137,7 @@ def shuffled_positions(
     ``first`` keeps exactly the first N positions of each key. Buckets that
     start beyond N are dropped by the offset join, before the rows are ranked.
     The offset table is broadcast when the number of keys is known
-    (``known_keys``) or checked to be small; otherwise it is joined on
+    (``known_keys``) to be small; otherwise it is joined on
     (key, bucket), which splits a hot key as well.
     """
     by = list(by)
@@ -165,9 +164,6 @@ def shuffled_positions(
         offsets = F.broadcast(offsets) if few_keys else offsets
         return ranked.join(offsets, [*by, "_bucket"]).select(*columns, position)
     offsets = offsets.filter(F.col("_offset") < first)
-    if few_keys:
-        offsets = F.broadcast(offsets)
-    else:
-        offsets = broadcast_if_small(offsets, _BROADCAST_KEYS * BUCKETS)
+    offsets = F.broadcast(offsets) if few_keys else offsets
     kept = rows.join(offsets, [*by, "_bucket"]).withColumn("_rank", F.row_number().over(inside))
     return kept.select(*columns, position).filter(F.col(out) < first)

@@ -24,8 +24,10 @@ from foliant.operators.ordered import shuffled_positions
 # --- shapes of raw rows ----------------------------------------------------
 
 
-def lm_rows(df: DataFrame, text: str = "text", tag: str = C.LANGUAGE_MODELING) -> DataFrame:
-    keep = [c for c in ("row_id",) if c in df.columns]
+def lm_rows(
+    df: DataFrame, text: str = "text", tag: str = C.LANGUAGE_MODELING, keep: Sequence[str] = ()
+) -> DataFrame:
+    keep = [*[c for c in ("row_id",) if c in df.columns], *keep]
     return df.select(*keep, F.col(text).alias("text"), F.lit(tag).alias("task_type"))
 
 
@@ -41,10 +43,12 @@ def flag(text: str) -> bool:
     return text == "true"
 
 
-def qa_rows(df: DataFrame, prompt: str, response: str, train_prompt: bool = True) -> DataFrame:
+def qa_rows(
+    df: DataFrame, prompt: str, response: str, train_prompt: bool = True, keep: Sequence[str] = ()
+) -> DataFrame:
     if not isinstance(train_prompt, bool):
         raise ValueError("train_prompt must be True or False")
-    keep = [c for c in ("row_id",) if c in df.columns]
+    keep = [*[c for c in ("row_id",) if c in df.columns], *keep]
     return df.select(
         *keep,
         F.col(prompt).alias("prompt"),
@@ -85,7 +89,12 @@ def split_violations(df: DataFrame, required: Sequence[str]) -> tuple[DataFrame,
 
 
 def sft_words(
-    df: DataFrame, conf: C.Tokens, max_length: int, prompt: str = "input", output: str = "output"
+    df: DataFrame,
+    conf: C.Tokens,
+    max_length: int,
+    prompt: str = "input",
+    output: str = "output",
+    char_bound: int | None = None,
 ) -> DataFrame:
     """Add the truncated prompt words and the output words of an instruction row.
 
@@ -93,7 +102,8 @@ def sft_words(
     The two halves are joined without a blank, so the words on either side of
     the cut become one word, as they do when decoded text is tokenized again.
     With room for no half the whole prompt stays. ``_fits`` is false for rows
-    whose output is empty or alone too long.
+    whose output is alone too long, ``_answered`` for those with an empty one.
+    ``char_bound`` cuts prompts to that many characters per token beforehand.
     """
     bos = 1 if conf.add_bos else 0
     room = F.lit(max_length) - F.size("_out")
@@ -102,14 +112,18 @@ def sft_words(
         df,
         {
             "_in": tk.words(
-                tx.middle_truncate_chars(
-                    tx.strip(F.col(prompt)), C.CHARS_PER_TOKEN_BOUND * max_length
-                )
+                tx.strip(F.col(prompt))
+                if char_bound is None
+                else tx.middle_truncate_chars(tx.strip(F.col(prompt)), char_bound * max_length)
             ),
             "_out": tk.words(tx.strip(F.col(output))),
         },
     )
-    df = df.withColumns({"_half": half, "_fits": F.size("_out").between(1, max_length)})
+    df = df.withColumns({
+            "_half": half,
+            "_fits": F.size("_out") <= max_length,
+            "_answered": F.size("_out") > 0,
+        })
     # bos is the first token of the first half.
     head = tk.first_n(F.col("_in"), F.col("_half") - bos)
     tail = tk.last_n(F.col("_in"), F.col("_half"))
@@ -133,9 +147,14 @@ def lm_samples(
     text: str = "text",
     row_id: str = "row_id",
     keep: Sequence[str] = (),
+    char_bound: int | None = None,
 ) -> DataFrame:
-    """Language-modelling samples: labels are the ids themselves."""
-    capped = tx.cap_chars(F.col(text), C.CHARS_PER_TOKEN_BOUND * max_length)
+    """Language-modelling samples: labels are the ids themselves.
+
+    ``char_bound`` cuts a text to that many characters per token before it is
+    tokenized. With tokens that are words this shortens samples; it is off.
+    """
+    capped = tx.cap_chars(F.col(text), None if char_bound is None else char_bound * max_length)
     ids = tk.head_truncate(tk.tokenize(capped, conf), max_length)
     out = with_once(df.select(row_id, *keep, text), {"input_ids": ids})
     out = out.filter(tk.length_between(F.col("input_ids"), min_length, None))
@@ -154,6 +173,7 @@ def sft_samples(
     with_labels: bool = True,
     seed: int = 42,
     keep_text: bool = False,
+    char_bound: int | None = None,
 ) -> DataFrame:
     """Instruction samples: only the output (and the eos) carries labels.
 
@@ -161,8 +181,10 @@ def sft_samples(
     labels and without a minimum length. ``keep_text`` adds the joined text
     with its random separator, for tokenizers that see blanks.
     """
-    df = sft_words(df, conf, max_length, prompt, output).filter("_fits")
-    if not with_labels:
+    df = sft_words(df, conf, max_length, prompt, output, char_bound).filter("_fits")
+    if with_labels:
+        df = df.filter("_answered")
+    else:
         out = df.select(F.col(row_id), *keep, tk.word_ids(F.col("_prompt"), conf).alias("input_ids"))
         return _finish(out, row_id, keep, None)
     ids = tk.word_ids(F.concat("_prompt", "_out"), conf)
@@ -228,6 +250,7 @@ def mixed_samples(
     row_id: str = "row_id",
     keep: Sequence[str] = (),
     with_labels: bool = True,
+    char_bound: int | None = None,
 ) -> DataFrame:
     """Samples from a wide table whose rows have one of three shapes.
 
@@ -245,8 +268,8 @@ def mixed_samples(
         .when(is_ids, "ids")
         .otherwise(F.raise_error(F.lit("row has neither text, input nor input_ids")))
     )
-    words = sft_words(df.withColumn("_shape", shape), conf, max_length)
-    capped = tx.cap_chars(F.col("text"), C.CHARS_PER_TOKEN_BOUND * max_length)
+    words = sft_words(df.withColumn("_shape", shape), conf, max_length, char_bound=char_bound)
+    capped = tx.cap_chars(F.col("text"), None if char_bound is None else char_bound * max_length)
     lm, sft = F.col("_shape") == "lm", F.col("_shape") == "sft"
     words_of_sft = F.concat("_prompt", "_out") if with_labels else F.col("_prompt")
     ids = (
@@ -254,8 +277,9 @@ def mixed_samples(
         .when(sft, tk.word_ids(words_of_sft, conf))
         .otherwise(F.col("input_ids"))
     )
+    usable = F.col("_fits") & F.col("_answered") if with_labels else F.col("_fits")
     shaped = with_once(
-        words.filter(~sft | F.col("_fits")), {"_ids": ids, "_answer": F.size("_out")}
+        words.filter(~sft | usable), {"_ids": ids, "_answer": F.size("_out")}
     ).withColumnRenamed("labels", "_labels")
     long_enough = tk.length_between(F.col("_ids"), min_length, None)
     shaped = shaped.filter(
@@ -343,9 +367,29 @@ def concatenate(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
+def after(rows: DataFrame, earlier: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """``rows`` numbered on from the last id of ``earlier``; ``part_row`` is the old id.
+
+    One running index over both, dense if both are. The last id is a scalar
+    subquery over one column, so no row moves.
+    """
+    last = earlier.agg((F.coalesce(F.max(row_id), F.lit(-1)) + 1).alias("n")).scalar()
+    return rows.withColumns({"part_row": F.col(row_id), row_id: F.col(row_id) + last})
+
+
 def two_part_corpus(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Language-modelling rows, then question-answer rows with a hidden prompt."""
-    return concatenate([lm_rows(texts), qa_rows(pairs, "input", "output", False)])
+    """Language-modelling rows, then question-answer rows with a hidden prompt.
+
+    ``row_id`` runs on over both parts, ``part_row`` counts within its part.
+    """
+    first = texts.withColumn("part_row", F.col("row_id"))
+    second = after(pairs, texts)
+    return concatenate(
+        [
+            lm_rows(first, keep=("part_row",)),
+            qa_rows(second, "input", "output", False, keep=("part_row",)),
+        ]
+    )
 
 
 def sampled_corpus(
@@ -358,13 +402,18 @@ def sampled_corpus(
     distill: bool = False,
     seed: int = 42,
 ) -> DataFrame:
-    """Token samples of both parts, each part cut to an exact random number."""
+    """Token samples of both parts, each part cut to an exact random number.
+
+    ``row_id`` runs on over the raw rows of both parts.
+    """
     parts = [
         lm_samples(texts, conf, min_length, max_length).withColumn("part", F.lit(0))
     ]
     if pairs is not None:
         parts.append(
-            sft_samples(pairs, conf, min_length, max_length, seed=seed).withColumn("part", F.lit(1))
+            sft_samples(after(pairs, texts), conf, min_length, max_length, seed=seed).withColumn(
+                "part", F.lit(1)
+            )
         )
     both = reduce(lambda a, b: a.unionByName(b), parts)
     kept = sample_per_source(both, per_source, "part", "row_id", seed, known_sources=2)

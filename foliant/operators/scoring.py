@@ -15,13 +15,12 @@ from pyspark.sql import functions as F
 from foliant import config as C
 from foliant.functions import tokens as tk
 from foliant.functions import vectors as vx
-from foliant.operators.sizing import broadcast_if_small, settle
+from foliant.operators.sizing import settle
 
 # A bigram counted at least total / HOT_SHARE times is hot: there can be at
 # most HOT_SHARE of them, which bounds what is broadcast and what is repeated.
 HOT_SHARE = 10_000
 HOT_SALTS = 64
-MAX_BROADCAST_TOKENS = 1_000_000
 
 
 # --- per position ----------------------------------------------------------
@@ -152,11 +151,14 @@ def kl_masked(
     temperature: float = 1.0,
     out: str = "kl",
 ) -> DataFrame:
-    """KL(teacher || student) summed over masked-in positions, per such position."""
-    df = df.filter(F.col(mask) == 1)
+    """KL(teacher || student) summed over masked-in positions, per such position.
+
+    A sample without such a position has a null result.
+    """
     df = vx.with_log_sum_exp(df, teacher, "_tl", temperature)
     df = vx.with_log_sum_exp(df, student, "_sl", temperature)
     row = vx.kl(F.col(teacher), F.col("_tl"), F.col(student), F.col("_sl"), temperature)
+    row = F.when(F.col(mask) == 1, row)
     return df.withColumn("_kl", row).groupBy(*keys).agg(F.avg("_kl").alias(out))
 
 
@@ -206,8 +208,7 @@ def fit_bigrams(chunks: DataFrame, ids: str = "input_ids") -> DataFrame:
     V counts the distinct tokens of all pairs. Pairs are combined before the
     shuffle, so a frequent pair costs one row per task. The counts are used
     four times below and in scoring; they are written out once, since they are
-    far smaller than the text they come from. n(a) has one row per token id
-    and is broadcast when it is checked to be small.
+    far smaller than the text they come from.
     """
     counts = settle(
         chunk_pairs(chunks, ids=ids).groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("n"))
@@ -215,7 +216,6 @@ def fit_bigrams(chunks: DataFrame, ids: str = "input_ids") -> DataFrame:
     firsts = counts.groupBy("prev").agg(F.sum("n").alias("n_prev"))
     ends = counts.select(F.explode(F.array("prev", "tok")).alias("t"))
     vocab = ends.agg(F.count_distinct("t").alias("v")).scalar()
-    firsts = broadcast_if_small(firsts, MAX_BROADCAST_TOKENS)
     return counts.join(firsts, "prev").select(
         "prev", "tok", "n", F.log((F.col("n") + 1) / (F.col("n_prev") + vocab)).alias("logprob")
     )

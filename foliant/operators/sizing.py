@@ -11,16 +11,6 @@ from pyspark.sql import functions as F
 SMALL_SCAN_BYTES = 256 * 1024 * 1024
 
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """Whether a table has at most ``max_rows`` rows; reads no more than needed."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint for a table checked to be small; else left to the planner."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a small scan one partition per core.
 

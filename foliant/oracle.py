@@ -73,14 +73,13 @@ SAMPLE_COLUMNS = f"""{join('i')} AS input_ids, {join('l')} AS labels,
   {join(fill(1, 'len(i)'))} AS attention_mask, len(i)::BIGINT AS length, row_id AS index"""
 
 
-def lm_sample_rows(low: int, high: int) -> str:
+def lm_sample_rows(low: int, high: int, text: str = "text") -> str:
     return f"""SELECT doc_id AS row_id, i, i AS l FROM (
-      SELECT doc_id, ({bos_ids(f'substr(text, 1, {5 * high})')})[1:{high}] AS i FROM documents)
+      SELECT doc_id, ({bos_ids(text)})[1:{high}] AS i FROM documents)
     WHERE len(i) >= {low}"""
 
 
-def sft_prompt_rows(limit: int) -> str:
-    half = 5 * limit // 2
+def sft_prompt_rows(limit: int, least: int = 1) -> str:
     return f"""SELECT row_id, o, CASE WHEN len(w) + 1 > room AND half > 0 THEN
         CASE WHEN len(h) = 0 THEN t
         ELSE list_concat(list_concat(h[1:len(h) - 1], [h[len(h)] || t[1]]), t[2:]) END
@@ -88,10 +87,8 @@ def sft_prompt_rows(limit: int) -> str:
     FROM (SELECT *, w[1:greatest(half - 1, 0)] AS h, w[greatest(len(w) - half, 0) + 1:len(w)] AS t
       FROM (SELECT *, {limit} - len(o) AS room, greatest(({limit} - len(o)) // 2, 0) AS half
         FROM (SELECT row_id, {words(f'trim(output, {STRIP})')} AS o,
-            {words(f'''CASE WHEN length(trim(input, {STRIP})) > {5 * limit}
-              THEN substr(trim(input, {STRIP}), 1, {half}) || right(trim(input, {STRIP}), {5 * limit - half})
-              ELSE trim(input, {STRIP}) END''')} AS w
-          FROM pairs) WHERE len(o) BETWEEN 1 AND {limit}))"""
+            {words(f'trim(input, {STRIP})')} AS w
+          FROM pairs) WHERE len(o) BETWEEN {least} AND {limit}))"""
 
 
 def sft_sample_rows(low: int, limit: int) -> str:
@@ -272,12 +269,15 @@ SQL["equal_lengths"] = f"""SELECT row_id, 1::BIGINT AS labels_match,
 
 SQL["lm_samples"] = f"SELECT row_id, {SAMPLE_COLUMNS} FROM ({lm_sample_rows(50, 512)})"
 
+SQL["lm_samples_bounded"] = f"""SELECT row_id, {SAMPLE_COLUMNS}
+  FROM ({lm_sample_rows(50, 512, 'substr(text, 1, 2560)')})"""
+
 SQL["sft_samples"] = f"""WITH {PAIRS} SELECT row_id, {SAMPLE_COLUMNS}
   FROM ({sft_sample_rows(16, 256)})"""
 
 SQL["sft_eval_samples"] = f"""WITH {PAIRS} SELECT row_id, {join('i')} AS input_ids,
   {join(fill(1, 'len(i)'))} AS attention_mask, len(i)::BIGINT AS length, row_id AS index
-  FROM (SELECT row_id, list_concat([1], {ids_of('p')}) AS i FROM ({sft_prompt_rows(256)}))"""
+  FROM (SELECT row_id, list_concat([1], {ids_of('p')}) AS i FROM ({sft_prompt_rows(256, 0)}))"""
 
 SQL["pretokenized_filter"] = f"""SELECT row_id, {SAMPLE_COLUMNS} FROM (
   SELECT row_id, i, list_concat(i[2:], [-100]) AS l FROM ({DOC_IDS}) WHERE len(i) BETWEEN 50 AND 512)"""
@@ -290,7 +290,7 @@ SELECT row_id, part::BIGINT AS part, {SAMPLE_COLUMNS} FROM s"""
 
 SQL["mixed_eval_samples"] = f"""WITH {PAIRS}, s AS (
   SELECT 0 AS part, * FROM ({lm_sample_rows(16, 256)})
-  UNION ALL SELECT 1, row_id, list_concat([1], {ids_of('p')}), NULL FROM ({sft_prompt_rows(256)})
+  UNION ALL SELECT 1, row_id, list_concat([1], {ids_of('p')}), NULL FROM ({sft_prompt_rows(256, 0)})
   UNION ALL SELECT 2, row_id, i, i FROM ({DOC_IDS}) WHERE lang = 'en' AND len(i) BETWEEN 16 AND 256)
 SELECT row_id, part::BIGINT AS part, {SAMPLE_COLUMNS} FROM s"""
 
@@ -304,14 +304,15 @@ SQL["capped_per_source"] = """SELECT doc_id AS row_id, source, text FROM (
   WHERE place <= 30"""
 
 SQL["two_part_corpus"] = f"""WITH {PAIRS}
-SELECT doc_id AS row_id, text, 'language modeling' AS task_type, 0::BIGINT AS part,
+SELECT doc_id AS row_id, doc_id AS part_row, text, 'language modeling' AS task_type, 0::BIGINT AS part,
   NULL::VARCHAR AS prompt, NULL::VARCHAR AS response, NULL::DOUBLE AS train_prompt FROM documents
 UNION ALL
-SELECT row_id, NULL, 'question answering', 1, input, output, 0 FROM pairs"""
+SELECT row_id + (SELECT max(doc_id) + 1 FROM documents), row_id, NULL, 'question answering', 1, input, output, 0
+FROM pairs"""
 
 SQL["sampled_corpus"] = f"""WITH {PAIRS}, s AS (
   SELECT 0 AS part, * FROM ({lm_sample_rows(50, 512)})
-  UNION ALL SELECT 1, * FROM ({sft_sample_rows(50, 512)})),
+  UNION ALL SELECT 1, row_id + (SELECT max(doc_id) + 1 FROM documents), i, l FROM ({sft_sample_rows(50, 512)})),
 k AS (SELECT *, row_number() OVER (PARTITION BY part
   ORDER BY md5(concat_ws('|', part, row_id, 42)), row_id) AS place FROM s)
 SELECT row_id, part::BIGINT AS part, {SAMPLE_COLUMNS}, 0::BIGINT AS distill,
@@ -646,7 +647,7 @@ div AS (SELECT *, list_sum(list_transform(range(1, len(e) + 1),
     lambda k: (e[k] - se[k]) * (e[k] - se[k]))) AS sq FROM sides)"""
 
 SQL["kl_masked"] = f"""WITH {_TWO_SIDES} SELECT sample_id, round(avg(kl), 6) AS kl
-  FROM div WHERE mask = 1 GROUP BY sample_id"""
+  FROM (SELECT sample_id, CASE WHEN mask = 1 THEN kl END AS kl FROM div) GROUP BY sample_id"""
 
 SQL["mse_masked"] = f"""WITH {_TWO_SIDES} SELECT sample_id,
   round(sum(CASE WHEN mask = 1 THEN sq ELSE 0 END) / sum(len(e)), 6) AS mse
@@ -658,7 +659,7 @@ c AS (SELECT *, CASE WHEN label = -100 THEN 0.0 ELSE sz - se[label + 1] END AS n
 g AS (SELECT sample_id, avg(CASE WHEN mask = 1 THEN kl END) AS kl,
   sum(CASE WHEN pos >= first THEN nll ELSE 0 END) / nullif(sum(mask), 0) AS ce
   FROM c GROUP BY sample_id)
-SELECT sample_id, round(0.9 * kl + 0.1 * ce, 6) AS loss FROM g WHERE kl IS NOT NULL"""
+SELECT sample_id, round(0.9 * kl + 0.1 * ce, 6) AS loss FROM g"""
 
 _BIGRAMS = f"""pairs AS (SELECT sample_id, p, i[p] AS prev, i[p + 1] AS tok
   FROM (SELECT sample_id, i, unnest(range(1, len(i))) AS p FROM {_DOC_LISTS}) WHERE p % 128 <> 0),

@@ -479,6 +479,14 @@ def lm_samples(spark, folder):
     return samples.lm_samples(_docs(spark, folder), TOKENS, MIN_LENGTH, MAX_LENGTH)
 
 
+@query
+def lm_samples_bounded(spark, folder):
+    """Texts cut to five characters per token before they are tokenized."""
+    return samples.lm_samples(
+        _docs(spark, folder), TOKENS, MIN_LENGTH, MAX_LENGTH, char_bound=C.CHARS_PER_TOKEN_BOUND
+    )
+
+
 @query
 def sft_samples(spark, folder):
     return samples.sft_samples(_pairs(spark, folder), TOKENS, SFT_MIN, SFT_MAX, seed=SEED)

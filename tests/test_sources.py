@@ -85,10 +85,6 @@ def test_settle_writes_to_the_shared_folder(spark):
     assert sizing.shared_dir(spark) in df.inputFiles()[0]
 
 
-def test_size_checks(spark):
-    assert sizing.is_small(spark.range(5), 5) and not sizing.is_small(spark.range(6), 5)
-
-
 # --- catalog ---------------------------------------------------------------
 
 LONG = "word " * 40000

@@ -17,6 +17,7 @@ from foliant.llm import (
     secret_scan,
     sharding,
     substring_dedup,
+    surrogates,
     warc_archive,
 )
 
@@ -38,6 +39,12 @@ def op2_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with surrogates for personal data."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.pseudonymize(docs)
+
+
 def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of all documents on two-word shingles."""
     return near_dedup.groups(table(spark, folder, "documents").select("doc_id", "text"), size=2, percent=80)
@@ -95,6 +102,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_warc_archive": op2_warc_archive,
+    "op3_surrogates": op3_surrogates,
     "op4_near_dedup": op4_near_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_substring_dedup": op6_substring_dedup,

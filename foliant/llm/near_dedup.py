@@ -99,15 +99,12 @@ def signatures(docs: DataFrame, size: int, row_id: str = "doc_id", text: str = "
     return rows.mapInArrow(sign, _SIGNATURE)
 
 
-def confirm(
-    pairs: DataFrame, docs: DataFrame, size: int, percent: int, row_id: str, text: str
-) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets reach the similarity."""
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(BLOCKS)).alias("block"))
     needs = dealt.select(F.col("b").alias("doc_id"), "a", "block", F.lit(1).alias("part")).unionByName(
         dealt.select(F.col("a").alias("doc_id"), "a", "block", F.lit(0).alias("part")).distinct()
     )
-    texts = docs.select(F.col(row_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows = needs.join(texts, "doc_id").select("a", "block", "part", "doc_id", "text")
     rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", "part", "doc_id")
 
@@ -195,9 +192,7 @@ class _Block:
                 yield min(rep, int(reps[k])), max(rep, int(reps[k]))
 
 
-def _open_pairs(
-    open_: DataFrame, found: DataFrame, docs: DataFrame, size: int, percent: int, row_id: str, text: str
-) -> DataFrame:
+def _open_pairs(open_: DataFrame, found: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs of one bucket that no link joins yet and that may be similar."""
     labelled = open_.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     labelled = settle(labelled.withColumn("component", F.coalesce("component", "rep")))
@@ -213,9 +208,8 @@ def _open_pairs(
     rows = labelled.join(mixed, "key").withColumn("outside", F.col("component") != F.col("main"))
     rows = settle(rows.drop("main"))
     reps = settle(rows.select("rep").distinct())
-    texts = docs.select(F.col(row_id).cast("bigint").alias("rep"), F.col(text).alias("text"))
     digests = settle(
-        texts.join(reps, "rep", "left_semi").mapInArrow(
+        texts.withColumnRenamed("doc_id", "rep").join(reps, "rep", "left_semi").mapInArrow(
             lambda batches: _digests(batches, size), "rep bigint, n bigint, digests binary"
         ).filter("n > 0")
     )
@@ -268,7 +262,11 @@ def groups(
     # Members of buckets with two sets or more; the rest have no partner.
     open_ = settle(members.join(buckets, "key"))
     stars = settle(open_.filter("a <> rep").select("a", F.col("rep").alias("b")).distinct())
-    links = settle(confirm(stars, docs, size, percent, row_id, text))
+    # Only these are read again: one text of each class that shares a bucket.
+    texts = docs.select(F.col(row_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    wanted = settle(open_.select(F.col("rep").alias("doc_id")).distinct())
+    texts = settle(texts.join(wanted, "doc_id", "left_semi"))
+    links = settle(confirm(stars, texts, size, percent))
 
     # One id with several texts ties their classes together.
     several = sets.join(classes, "set_id").groupBy("doc_id").agg(
@@ -278,8 +276,7 @@ def groups(
     links = settle(links.unionByName(ties))
     found = settle(components(links))
 
-    more = confirm(_open_pairs(open_, found, docs, size, percent, row_id, text), docs, size, percent, row_id, text)
-    more = settle(more)
+    more = settle(confirm(_open_pairs(open_, found, texts, size, percent), texts, size, percent))
     if not more.isEmpty():
         links = settle(links.unionByName(more))
         found = settle(components(links))

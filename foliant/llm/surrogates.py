@@ -291,13 +291,12 @@ def pseudonymize(
         F.collect_list(F.struct("first", "last", "kind", "surface", "surrogate")).alias("spots")
     )
     by_text = settle(by_text).withColumnsRenamed({"doc_id": "_spot_id", "tid": "_spot_tid"})
-    same = F.col(row_id).cast("bigint").eqNullSafe(F.col("_spot_id")) & (F.xxhash64(body) == F.col("_spot_tid"))
-    rest = [c for c in docs.columns if c != text]
-    joined = docs.join(by_text, same, "left").select(
-        F.col(text).cast("string").alias("text"),
-        "spots",
-        F.struct(*rest).alias("row"),
-        F.coalesce(F.size("spots"), F.lit(0)).cast("bigint").alias("counts"),
+    # Rows travel as one column, so that no name of theirs meets one of ours.
+    rest = [F.col(c) for c in docs.columns if c != text] or [F.lit(None).alias("none")]
+    packed = docs.select(*ids, F.col(text).cast("string").alias("text"), F.struct(*rest).alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("_spot_id")) & (F.col("tid") == F.col("_spot_tid"))
+    joined = packed.join(by_text, same, "left").select(
+        "text", "spots", "row", F.coalesce(F.size("spots"), F.lit(0)).cast("bigint").alias("counts")
     )
     kind = joined.schema["row"].dataType.simpleString()
     made = joined.mapInArrow(_replaced, f"text string, row {kind}, counts bigint")

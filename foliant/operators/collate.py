@@ -15,11 +15,13 @@ from foliant.operators.ordered import shuffled_positions
 from foliant.operators.sizing import settle
 
 
+# What fills an array column that the caller names no fill for.
+FILLS = {"attention_mask": 0, "labels": C.IGNORE, "label": C.IGNORE}
+
+
 def pad_value(column: str, pad: int = C.PAD) -> int:
-    """Fill of a column by its name."""
-    if "attention_mask" in column:
-        return 0
-    return C.IGNORE if "label" in column else pad
+    """Default fill of a column; prefixes such as ``teacher_`` do not count."""
+    return next((fill for name, fill in FILLS.items() if column.endswith(name)), pad)
 
 
 def batch_lengths(
@@ -76,24 +78,28 @@ def collate(
     pad: int = C.PAD,
     side: str = "right",
     add_position_ids: bool = False,
+    fills: dict[str, int] | None = None,
 ) -> DataFrame:
     """Rows in shuffled batches, every array column padded to the batch maximum.
 
     Batches are laid out on a narrow table of ids and sizes; the arrays are
-    joined to it once. Columns that are not arrays pass through.
+    joined to it once. Columns that are not arrays pass through. ``fills``
+    names other fills than the default ones.
     """
     arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
     layout = batch_lengths(df, arrays, batch_size, row_id, seed)
     joined = df.join(layout, row_id)
     padded = [
-        tk.pad_to(F.col(c), F.col(f"_len_{c}"), pad_value(c, pad), side).alias(c) for c in arrays
+        tk.pad_to(
+            F.col(c), F.col(f"_len_{c}"), (fills or {}).get(c, pad_value(c, pad)), side
+        ).alias(c)
+        for c in arrays
     ]
     others = [c for c in df.columns if c not in arrays]
     out = joined.select("batch_id", "place", *others, *padded)
     if add_position_ids:
-        for c in arrays:
-            if "attention_mask" in c:
-                out = with_position_ids(out, c, c.replace("attention_mask", "position_ids"))
+        for mask in (c for c in arrays if c.endswith("attention_mask")):
+            out = with_position_ids(out, mask, mask.removesuffix("attention_mask") + "position_ids")
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -43,6 +45,7 @@ class Corpora:
         self.tokens = tokens
         self.min_length = min_length
         self.per_source = per_source
+        # The names of corpora; what follows a name are its reader's arguments.
         self._named: dict[str, Callable[..., DataFrame]] = {
             "minipile": self._minipile,
             "wikitext103": self._articles,
@@ -70,14 +73,17 @@ class Corpora:
         return list(self._named)
 
     def read(self, spec: str) -> DataFrame:
-        """Case and blanks do not matter; the parts after the name are options."""
-        name, *options = spec.lower().replace(" ", "").split(".")
-        if name not in self._named:
+        """A name and its options, parted by dots; case and blanks do not matter."""
+        name, _, tail = re.sub(r"\s", "", spec).casefold().partition(".")
+        reader = self._named.get(name)
+        if reader is None:
             raise ValueError(f"unknown corpus {name!r}; known are {self.names}")
+        options = tail.split(".") if tail else []
         try:
-            return self._named[name](*options)
+            inspect.signature(reader).bind(*options)
         except TypeError as e:
             raise ValueError(f"wrong options for corpus {name!r}: {options}") from e
+        return reader(*options)
 
     # --- inputs ------------------------------------------------------------
 

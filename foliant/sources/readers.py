@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,38 +53,46 @@ def read_json_lines(
     """One JSON object per line from a file, a glob or a list of either.
 
     ``source`` is the file a row came from. ``numbered`` adds ``row_id``, the
-    dense position in file order.
+    dense position in the order of the list, then of file names.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = spark.read.schema(schema).json(paths)
     cols = [F.col(f.name) for f in schema.fields]
-    rows = raw.select(
-        *cols,
-        F.col("_metadata.file_path").alias("source"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_order"),
-    )
+
+    def one(place: int, path: str) -> DataFrame:
+        return spark.read.schema(schema).json(path).select(
+            *cols,
+            F.col("_metadata.file_path").alias("source"),
+            F.lit(place).alias("_place"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_order"),
+        )
+
+    rows = reduce(DataFrame.unionByName, [one(i, p) for i, p in enumerate(paths)])
     if not numbered:
-        return rows.drop("_start", "_order")
+        return rows.drop("_place", "_start", "_order")
     return _number_by_split(rows)
 
 
 def _number_by_split(rows: DataFrame) -> DataFrame:
     """Number rows inside their input split and add the rows of earlier splits.
 
-    A split is one read task, so no window is larger than one task's input,
-    and the table of splits has one row per read task.
+    Files count in the order of the list, those of one pattern by name. A
+    split is read by one task from its start to its end, so a row's rank in it
+    is the distance from its first row, and no row moves. The table of splits
+    has one row per split, which the driver that plans them holds anyway; it
+    is broadcast.
     """
-    split = ["source", "_start"]
-    sizes = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"))
+    split = ["_place", "source", "_start"]
+    sizes = rows.groupBy(*split).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_first")
+    )
     earlier = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*split, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*split).orderBy("_order")
-    ranked = rows.withColumn("_rank", F.row_number().over(inside))
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    offsets = sizes.select(*split, (before - F.col("_first")).alias("_shift"))
     return (
-        ranked.join(offsets, split)
-        .withColumn("row_id", F.col("_before") + F.col("_rank") - 1)
-        .drop("_start", "_order", "_rank", "_before")
+        rows.join(F.broadcast(offsets), split)
+        .withColumn("row_id", F.col("_shift") + F.col("_order"))
+        .drop("_place", "_start", "_order", "_shift")
     )
 
 

@@ -41,6 +41,17 @@ def test_numbering_over_several_splits_of_a_file(spark, tmp_path):
     assert sorted((r.row_id, int(r.text[:6])) for r in rows) == [(i, i) for i in range(4000)]
 
 
+def test_a_list_keeps_its_order(spark, tmp_path):
+    for name, count in (("a", 3), ("b", 2)):
+        (tmp_path / f"{name}.json").write_text("".join(f'{{"text": "{name}{k}"}}\n' for k in range(count)))
+    rows = readers.read_json_lines(spark, [str(tmp_path / "b.json"), str(tmp_path / "a.json")])
+    assert [r["text"] for r in rows.orderBy("row_id").collect()] == ["b0", "b1", "a0", "a1", "a2"]
+    assert sorted(r["row_id"] for r in rows.collect()) == list(range(5))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    # Texts stay where they are read; only the table of splits is exchanged.
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "text#" in x]
+
+
 def test_split_json(spark, tmp_path):
     pairs = {s: [{"prompt": f"{s}{i}", "response": "r"} for i in range(3)] for s in ("train", "test")}
     path = tmp_path / "pairs.json"

@@ -159,6 +159,36 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ch, run ORDER BY i) AS p
 SELECT doc_id AS row_id, string_agg(ch, '' ORDER BY i) AS text FROM r
 WHERE regexp_matches(ch, '[a-zA-Z0-9]') OR place <= 4 GROUP BY doc_id"""
 
+
+def collapsed(source: str) -> str:
+    """Rows (row_id, text) with repeated units collapsed.
+
+    A match never leaves a maximal alphanumeric run, so distinct runs are
+    worked off from left to right: at a place the shortest unit that repeats
+    is kept once and its repeats are passed over; without one a character is.
+    """
+    return f"""(WITH RECURSIVE src AS {source},
+parts AS (SELECT row_id, unnest(l) AS part, generate_subscripts(l, 1) AS i
+  FROM (SELECT row_id, regexp_extract_all(text, '[a-zA-Z0-9]+|[^a-zA-Z0-9]+') AS l FROM src)),
+runs AS (SELECT DISTINCT part AS run FROM parts WHERE length(part) >= 6 AND regexp_matches(part, '^[a-zA-Z0-9]')),
+walk AS (SELECT run, 1 AS place, '' AS made FROM runs UNION ALL
+  SELECT run, place + CASE WHEN u IS NULL THEN 1 ELSE u * list_max(list_filter(
+      range(1, (length(run) - place + 1) // u + 1), lambda k: substr(run, place, u * k) = repeat(substr(run, place, u), k))) END,
+    made || substr(run, place, coalesce(u, 1))
+  FROM (SELECT *, list_filter(range(3, (length(run) - place + 1) // 2 + 1),
+      lambda u: substr(run, place, u) = substr(run, place + u, u))[1] AS u FROM walk WHERE place <= length(run))),
+short AS (SELECT run, made FROM walk WHERE place > length(run) AND made <> run),
+joined AS (SELECT row_id, string_agg(coalesce(made, part), '' ORDER BY i) AS text
+  FROM parts LEFT JOIN short ON part = run GROUP BY row_id)
+SELECT src.row_id, coalesce(joined.text, '') AS text FROM src LEFT JOIN joined USING (row_id))"""
+
+
+SQL["collapse_repeats"] = f"SELECT * FROM {collapsed('(SELECT doc_id AS row_id, text FROM documents)')}"
+
+SQL["clean_then_cap"] = (
+    f"SELECT row_id, substr(text, 1, 131072) AS text FROM {collapsed('(' + SQL['squeeze_symbols'] + ')')}"
+)
+
 SQL["strip_text"] = f"SELECT doc_id AS row_id, trim(text, {STRIP}) AS text FROM documents"
 
 _PLAIN = f"translate(lower(text), {_lit(C.PUNCTUATION)}, '')"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from foliant.llm import secret_scan
+
 _WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = (
     "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -76,8 +78,70 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
 FROM r
 """
 
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _matches(kind: int, pattern: str, group: int, least: int) -> str:
+    p = _quoted(pattern)
+    return f"""SELECT doc_id, {kind} AS kind, {least} AS least, string_split_regex(text, {p}) AS gaps,
+    regexp_extract_all(text, {p}) AS hits, regexp_extract_all(text, {p}, {group}) AS own FROM t"""
+
+
+_KINDS = " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(secret_scan.KINDS))
+_SUSPECT = " AND ".join(f"NOT regexp_matches(body, {_quoted(p)})" for p in secret_scan.ALLOWED)
+_MATCHES = " UNION ALL ".join(
+    [
+        *[_matches(k, p, g, n) for k, (_, p, g, n) in enumerate(secret_scan.PATTERNS)],
+        _matches(3, secret_scan.CANDIDATE, 0, secret_scan.WINDOW),
+    ]
+)
+_W = secret_scan.WINDOW
+
+SECRET_SCAN = f"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), m AS ({_MATCHES}), e AS (
+  SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM m
+), f AS (
+  SELECT doc_id, kind, hits[k] AS body, list_sum(list_transform(gaps[1 : k], lambda x: length(x)))
+    + coalesce(list_sum(list_transform(hits[1 : k - 1], lambda x: length(x))), 0) AS start
+  FROM e WHERE length(own[k]) >= least
+), base AS (
+  SELECT doc_id, kind, start, start + length(body) AS stop FROM f WHERE kind < 3
+), windows AS (
+  SELECT doc_id, start, body, unnest(range(0, length(body) - {_W - 1})) AS o FROM f WHERE kind = 3 AND {_SUSPECT}
+), letters AS (
+  SELECT doc_id, start, body, o, substr(body, o + i, 1) AS c
+  FROM (SELECT *, unnest(range(1, {_W + 1})) AS i FROM windows)
+), sums AS (
+  SELECT doc_id, start, body, o, sum(n * log2(n)) AS s
+  FROM (SELECT doc_id, start, body, o, c, count(*) AS n FROM letters GROUP BY ALL) GROUP BY ALL
+), high AS (
+  SELECT doc_id, 3 AS kind, start + min(o) AS start, start + max(o) + {_W} AS stop FROM sums
+  WHERE s <= {_W} * (log2({_W}) - CASE WHEN regexp_matches(body, '^[0-9a-f]+$')
+    THEN {secret_scan.HEX_BITS} ELSE {secret_scan.KEY_BITS} END) + 1e-9
+  GROUP BY doc_id, sums.start, body
+), spans AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM high h WHERE NOT EXISTS (
+    SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND b.start < h.stop AND h.start < b.stop)
+), said AS (
+  SELECT *, CASE kind {_KINDS} END || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS word FROM spans
+), by_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
+    string_agg(word, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(word, ',' ORDER BY start, kind) AS spans
+  FROM said GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN by_doc USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op2_warc_archive": WARC_ARCHIVE,
     "op4_near_dedup": NEAR_DEDUP,
+    "op5_secret_scan": SECRET_SCAN,
     "op6_substring_dedup": SUBSTRING_DEDUP,
 }

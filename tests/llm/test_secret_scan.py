@@ -85,3 +85,18 @@ def test_plan_and_empty(documents):
     assert "Python" not in plan and "Exchange" not in plan
     assert op.scan(df.limit(0)).count() == 0
     assert op.scan(df).select(op.digest_text(F.col("secrets"))).first()[0] == ""
+
+
+def test_sql_twin_on_odd_texts(documents):
+    import duckdb
+    import pandas as pd
+
+    from foliant.llm import oracle
+
+    rows = list(enumerate([*random_texts(), None, ""]))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    theirs = {r[0]: r[5] for r in con.execute(oracle.SQL["op5_secret_scan"]).fetchall()}
+    ours = op.scan(documents(rows)).select("doc_id", op.digest_text(F.col("secrets")).alias("spans")).collect()
+    assert any("entropy" in x for x in theirs.values())
+    assert {r["doc_id"]: r["spans"] for r in ours} == theirs

@@ -127,8 +127,12 @@ def numbered_rows(df: DataFrame, row_id: str, out: str = "row_no") -> DataFrame:
 
 
 def first_rows(df: DataFrame, n: int, row_id: str = "row_id", require: bool = False) -> DataFrame:
-    """The first n rows in order; ``require`` makes a shorter corpus an error."""
-    kept = df.orderBy(row_id).limit(n)
+    """The first n rows in order; ``require`` makes a shorter corpus an error.
+
+    The first ids are found alone, so whole rows meet in no task.
+    """
+    first = df.select(row_id).orderBy(row_id).limit(n)
+    kept = df.join(first, row_id, "left_semi").orderBy(row_id)
     if require:
         found = df.limit(n).count()
         if found < n:

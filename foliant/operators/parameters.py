@@ -15,13 +15,24 @@ def mix_vectors(
     name: str,
     vector: str,
     weight: str | None = None,
+    model: str | None = None,
+    fixed: str | None = None,
 ) -> DataFrame:
     """Weighted sum of all vectors of a name, element by element.
 
+    With ``model``, every model must have every name; with ``fixed``, its
+    values must agree wherever a name occurs. Both are checked at once.
+
     Without a weight column every vector of a name has weight 1 / count. The
     sums are combined before the shuffle, so a name that owns most vectors
     costs one row per task and element.
     """
+    if model is not None:
+        check_mix(df, model, name, None)
+    if fixed is not None:
+        odd = disagreeing_names(df, name, fixed).limit(5).collect()
+        if odd:
+            raise ValueError(f"fixed values differ for {[r[0] for r in odd]}")
     cells = df.select(
         name,
         (F.col(weight) if weight else F.lit(1.0)).alias("_w"),
@@ -51,9 +62,15 @@ def assemble(cells: DataFrame, name: str) -> DataFrame:
 
 
 def disagreeing_names(df: DataFrame, name: str, value: str) -> DataFrame:
-    """Names whose unmixable values are not the same everywhere."""
-    agreed = df.groupBy(name).agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    return agreed.filter(F.col("low") != F.col("high")).select(name)
+    """Names whose unmixable values are not the same everywhere; null is a value."""
+    agreed = df.groupBy(name).agg(
+        F.min(value).alias("low"),
+        F.max(value).alias("high"),
+        F.count(value).alias("given"),
+        F.count(F.lit(1)).alias("all"),
+    )
+    partly = (F.col("given") > 0) & (F.col("given") < F.col("all"))
+    return agreed.filter((F.col("low") != F.col("high")) | partly).select(name)
 
 
 def norm_report(

@@ -17,7 +17,7 @@ def training_feed(
     corpora: dict[str, DataFrame],
     mix: Sequence[C.MixEntry],
     iters: int,
-    tags: dict[str, tuple[str, ...]],
+    tags: dict[str, tuple[str, ...]] | None = None,
     chunks: C.Chunks = C.Chunks(),
     tokens: C.Tokens = C.Tokens(),
     k: int = 2,
@@ -26,7 +26,8 @@ def training_feed(
 ) -> DataFrame:
     """Mixture, plan and reservoir in one: rows keyed by (step, seq).
 
-    ``tags`` names the task types of each corpus. A step is one drawn
+    ``tags`` names the task types of each corpus, all that it can be planned
+    for without. A step is one drawn
     document, so it serves as the sample id of its chunks.
     """
     parts = mixing.mixture_parts(corpora, mix, iters, row_id, seed)
@@ -36,7 +37,7 @@ def training_feed(
             chunks,
             tokens,
             m.truncation,
-            tags[m.name],
+            tags[m.name] if tags else None,
             row_id="step",
             seed=seed,
         )

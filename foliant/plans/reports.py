@@ -110,8 +110,9 @@ def perplexity_report(
 ) -> DataFrame:
     """The report of every perplexity task; each corpus is scored once.
 
-    A task with ``num_instance`` covers the first rows of its corpus. When all
-    tasks of a corpus do, only those rows are read further.
+    A task with ``num_instance`` covers the first rows of its corpus; a corpus
+    with fewer is an error. When all tasks of a corpus do, only those rows are
+    read further.
     """
     other = [t.task_type for t in tasks if t.task_type != C.PERPLEXITY]
     if other:
@@ -125,7 +126,7 @@ def perplexity_report(
         limits = [t.num_instance for t in own]
         selected, row_no = docs, None
         if None not in limits and max(limits) <= _MAX_BROADCAST_INSTANCES:
-            first = mixing.first_rows(docs.select(row_id), max(limits), row_id)
+            first = mixing.first_rows(docs.select(row_id), max(limits), row_id, require=True)
             row_no = F.broadcast(mixing.numbered_rows(first, row_id))
             selected = docs.join(row_no.select(row_id), row_id, "left_semi")
         elif any(n is not None for n in limits):

@@ -83,11 +83,12 @@ def records(
         "sha1",
         "size",
     )
-    first = latest.select("digest", F.col("latest").alias("page_id"))
-    holders = rows.select("page_id", digest, "payload")
-    matched = (F.col("x.digest") == F.col("y.digest")) & F.col("x.page_id").eqNullSafe(F.col("y.page_id"))
-    payloads = holders.alias("x").join(first.alias("y"), matched, "left_semi")
-    return heads.withColumn("head", _head()), payloads.select("digest", "payload").dropDuplicates(["digest"])
+    # Plain keys for null ids too, so that one exchange serves the join and the distinct rows.
+    key = F.coalesce("page_id", F.lit(-(2**63))).alias("holder")
+    first = latest.select("digest", F.col("latest").alias("page_id")).select("digest", key)
+    payloads = rows.select(digest, key, "payload").join(first, ["digest", "holder"], "left_semi")
+    payloads = payloads.dropDuplicates(["digest", "holder"]).select("digest", "payload")
+    return heads.withColumn("head", _head()), payloads
 
 
 def _head() -> Column:

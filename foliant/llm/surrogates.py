@@ -295,7 +295,8 @@ def pseudonymize(
     rest = [F.col(c) for c in docs.columns if c != text] or [F.lit(None).alias("none")]
     packed = docs.select(*ids, F.col(text).cast("string").alias("text"), F.struct(*rest).alias("row"))
     same = F.col("doc_id").eqNullSafe(F.col("_spot_id")) & (F.col("tid") == F.col("_spot_tid"))
-    joined = packed.join(by_text, same, "left").select(
+    # What is to be replaced grows with the texts: one plan at every size, no broadcast.
+    joined = packed.join(by_text.hint("merge"), same, "left").select(
         "text", "spots", "row", F.coalesce(F.size("spots"), F.lit(0)).cast("bigint").alias("counts")
     )
     kind = joined.schema["row"].dataType.simpleString()

@@ -265,7 +265,7 @@ def groups(
     # Only these are read again: one text of each class that shares a bucket.
     texts = docs.select(F.col(row_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     wanted = settle(open_.select(F.col("rep").alias("doc_id")).distinct())
-    texts = settle(texts.join(wanted, "doc_id", "left_semi"))
+    texts = settle(texts.join(wanted.hint("merge"), "doc_id", "left_semi"))
     links = settle(confirm(stars, texts, size, percent))
 
     # One id with several texts ties their classes together.

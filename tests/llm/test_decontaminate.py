@@ -71,6 +71,44 @@ def test_recall_against_all_windows(spark, documents):
     assert exact <= set(got)
 
 
+def fully_edited(rng, words, vocabulary, kind):
+    """A fifth of the words edited: replaced, inserted and deleted in turn, or any of them."""
+    count, out = len(words) // 5, list(words)
+    if kind == "mixed":
+        return edited(rng, words, vocabulary, count)
+    if kind == "replaced":
+        for at in rng.sample(range(len(out)), count):
+            out[at] = rng.choice(vocabulary)
+        return out
+    for k in range(count):
+        at = rng.randrange(len(out))
+        out[at : at + k % 2] = [] if k % 2 else [rng.choice(vocabulary)]
+    return out
+
+
+def test_recall_by_item_length(spark, documents):
+    rng = random.Random(34)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    lengths, kinds, each = (1, 3, 4, 5, 7, 8, 9, 10, 11, 12, 14, 15, 16, 18, 20, 24, 25, 30, 40, 60), ("replaced", "shifted", "mixed"), 100
+    items, rows, truth = [], [], {}
+    for n in lengths:
+        for _ in range(each):
+            items.append((len(items), rng.choices(vocabulary, k=n)))
+            for kind in kinds:
+                text = rng.choices(vocabulary, k=40)
+                at = rng.randint(0, len(text))
+                text[at:at] = fully_edited(rng, items[-1][1], vocabulary, kind)
+                truth[len(rows), items[-1][0]] = (n, kind, brute(items[-1][1], text))
+                rows.append((len(rows), text))
+    got = found(documents([(i, " ".join(t)) for i, t in rows]), items_of(spark, [(k, " ".join(t)) for k, t in items]))
+    assert all(got[x] == truth[x][2] for x in truth if x in got)
+    share = {(n, kind): 0.0 for n in lengths for kind in kinds}
+    for x, (n, kind, _) in truth.items():
+        share[n, kind] += (x in got) / each
+    assert min(share.values()) >= 0.9, share
+    assert min(v for (n, _), v in share.items() if n < 5) > 0.999
+
+
 def test_cases(spark, documents, monkeypatch):
     passage = " ".join(f"p{k}" for k in range(20))
     rows = [

@@ -8,6 +8,11 @@ classes have thresholds of their own; an allow list suppresses identifiers,
 counting sequences and placeholders. Entropy spans that overlap a base span
 are not repeated.
 
+``scan`` takes the class and the allow list by candidate, as its SQL twin does.
+Masking goes further: hex strings of either case or both have classes of their
+own and are found in any surroundings, and an allowed word suppresses only the
+windows that overlap it.
+
 Only DataFrame functions are used; a row's spans never leave its row, so there
 is no shuffle. Positions are code points, the end is exclusive.
 
@@ -18,6 +23,7 @@ scanned; extra columns are kept and may have any name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log2
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +60,15 @@ ALLOWED = (
     r"^[A-Za-z+/_=-]*$",
 )
 
+# Fixed values of masking: hex pieces, whatever stands around them; words that no window may overlap.
+MIXED_BITS = 3.2
+HEX_PIECES = (
+    (r"[0-9a-f]{20,}", HEX_ALPHABET, HEX_BITS),
+    (r"[0-9A-F]{20,}", HEX_ALPHABET.upper(), HEX_BITS),
+    (r"[0-9A-Fa-f]{20,}", HEX_ALPHABET + "ABCDEF", MIXED_BITS),
+)
+ALLOWED_WORDS = tuple(p.removeprefix("(?i)") for p in ALLOWED[:2])
+
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -152,10 +167,18 @@ def _suspect(string: Column) -> Column:
     return out
 
 
-def _entropy_spans(text: Column) -> Column:
+def _by_run(string: Column) -> Column:
+    return F.when(string.rlike("^[0-9a-f]+$"), _entropy_windows(string, HEX_ALPHABET, HEX_BITS)).otherwise(
+        _entropy_windows(string, KEY_ALPHABET, KEY_BITS)
+    )
+
+
+def _entropy_spans(
+    text: Column, candidate: str = CANDIDATE, windows: Callable[[Column], Column] = _by_run
+) -> Column:
     """Entropy spans of a text; candidates on the allow list are passed over."""
     kind = KINDS.index("entropy")
-    runs = _pieces(text, CANDIDATE, kind, 0, WINDOW)
+    runs = _pieces(text, candidate, kind, 0, WINDOW)
 
     def narrowed(run: Column) -> Column:
         string = F.substring(text, (run["start"] + 1).cast("int"), (run["end"] - run["start"]).cast("int"))
@@ -163,11 +186,7 @@ def _entropy_spans(text: Column) -> Column:
             F.array(string),
             lambda s: F.transform(
                 F.array(
-                    F.when(
-                        _suspect(s),
-                        F.when(s.rlike("^[0-9a-f]+$"), _entropy_windows(s, HEX_ALPHABET, HEX_BITS))
-                        .otherwise(_entropy_windows(s, KEY_ALPHABET, KEY_BITS)),
-                    )
+                    F.when(_suspect(s), windows(s))
                 ),
                 lambda w: F.struct(
                     (run["start"] + w["first"]).alias("start"),
@@ -178,22 +197,47 @@ def _entropy_spans(text: Column) -> Column:
         )[0]
 
     found = F.filter(F.transform(runs, narrowed), lambda x: x["start"].isNotNull())
-    return F.when(text.rlike(CANDIDATE), found).otherwise(_none())
+    return F.when(text.rlike(candidate), found).otherwise(_none())
+
+
+def _without_allowed(text: Column) -> Column:
+    """The text with as many blanks in place of every allowed word, so that places stay."""
+    blank = text
+    for word in "|".join(ALLOWED_WORDS).split("|"):
+        blank = F.regexp_replace(blank, f"(?i){word}", " " * len(word))
+    return F.when(text.rlike(f"(?i){'|'.join(ALLOWED_WORDS)}"), blank).otherwise(text)
+
+
+def _hex_spans(text: Column) -> Column:
+    """Entropy spans of hex pieces, each class with its alphabet and threshold."""
+    return F.concat(
+        *[
+            _entropy_spans(text, piece, lambda s, alphabet=alphabet, bits=bits: _entropy_windows(s, alphabet, bits))
+            for piece, alphabet, bits in HEX_PIECES
+        ]
+    )
+
 
+def scan(docs: DataFrame, text: str = "text", out: str = "secrets", wide: bool = False) -> DataFrame:
+    """Add an array of spans (start, kind number, end), in order of start and kind.
 
-def scan(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
-    """Add an array of spans (start, kind number, end), in order of start and kind."""
+    ``wide`` is what masking needs: its spans may overlap.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
-    names = {"text": "_secret_text", "base": "_secret_base", "more": "_secret_more"}
+    names = {"text": "_secret_text", "base": "_secret_base", "more": "_secret_more", "open": "_secret_open"}
     df = with_once(docs, {names["text"]: whole})
     body = F.col(names["text"])
     base = F.concat(*[find(body, p, k, g, n) for k, (_, p, g, n) in enumerate(PATTERNS)])
-    df = with_once(df, {names["base"]: base, names["more"]: _entropy_spans(body)})
+    if wide:
+        df = with_once(df, {names["open"]: _without_allowed(body)})
+    seen = F.col(names["open"]) if wide else body
+    df = with_once(df, {names["base"]: base, names["more"]: _entropy_spans(seen)})
     apart = F.filter(
         names["more"],
         lambda e: ~F.exists(names["base"], lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])),
     )
-    df = with_once(df, {out: F.sort_array(F.concat(F.col(names["base"]), apart))})
+    spans = [F.col(names["base"]), apart, *([_hex_spans(seen)] if wide else [])]
+    df = with_once(df, {out: F.sort_array(F.concat(*spans))})
     return df.drop(*names.values())
 
 
@@ -238,7 +282,7 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
 def mask_secrets(docs: DataFrame, text: str = "text", size: str | None = "n_chars") -> DataFrame:
     """``docs`` with secrets masked; a column ``size`` is the new length."""
-    found = scan(docs, text, out="_secret_spans")
+    found = scan(docs, text, out="_secret_spans", wide=True)
     found = found.withColumn(text, redact(F.col(text), F.col("_secret_spans")))
     if size in docs.columns:
         found = found.withColumn(size, F.length(text).cast(docs.schema[size].dataType))

@@ -79,6 +79,30 @@ def test_masking(documents):
     ]
 
 
+def test_masking_hex_of_any_case_and_allowed_words(documents):
+    rng = random.Random(7)
+    hexes = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    upper, lower, mixed = "0123456789ABCDEF", "0123456789abcdef", "0123456789abcdefABCDEF"
+    rows, secrets = [], []
+    for alphabet, sizes in ((upper, (24, 32, 40, 64)), (mixed, (24, 32, 40)), (lower, (20, 23, 32))):
+        for n in sizes:
+            for before in ("", "id=", "key_", "see "):
+                secrets.append(hexes(alphabet, n))
+                rows.append((len(rows), f"a {before}{secrets[-1]} b"))
+    bare = "9x4Kq7ZtLw2Vb8RnYp5Mh3Gs6Jd"
+    for text in (f"example_{bare}", f"{bare}/sample", f"x-PLACEHOLDER-{bare}"):
+        secrets.append(bare)
+        rows.append((len(rows), text))
+    quiet = ["your_example_key_goes_here_1", "this-is-0123456789abcdefgh-x", "A" * 30 + "1", "12345678901234567890123",
+             "ABCDEFABCDEFABCDEFABCDEF", "550e8400-e29b-41d4-a716-446655440000", "changeme1changeme2changeme3"]
+    got = {r["doc_id"]: r["text"] for r in op.mask_secrets(documents(rows + list(enumerate(quiet, 1000)))).collect()}
+    # The windows of high entropy may leave a few characters at the ends.
+    left = [(i, got[i]) for i, s in enumerate(secrets) if any(s[k : k + 12] in got[i] for k in range(len(s) - 11))]
+    assert len(left) <= 0.02 * len(secrets), left
+    assert [got[1000 + k] for k in range(len(quiet))] == quiet
+    assert all(w in got[len(rows) - 3 + k] for k, w in enumerate(("example", "sample", "PLACEHOLDER")))
+
+
 def test_plan_and_empty(documents):
     df = documents([(1, "x")])
     plan = op.scan(df)._jdf.queryExecution().executedPlan().toString()

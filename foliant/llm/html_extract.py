@@ -18,8 +18,9 @@ line. Line breaks and table cells are white space, character references are
 decoded.
 
 Defined cases: null, empty and pure boilerplate pages give an empty text;
-markup that is not closed ends with its container or the page; text outside
-any tag is a block; repeated rows are each extracted; extra columns are
+markup that is not closed ends with its container or the page, an open head
+with the first element that is no part of one; an article inside a form
+and a main inside a form or a badly named wrapper start from a fresh score; text outside any tag is a block; repeated rows are each extracted; extra columns are
 ignored.
 """
 
@@ -51,6 +52,12 @@ BLOCK = frozenset(
 SPACED = frozenset("br td th".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p blockquote pre".split()) | HEADING
+#: What an open head may hold; anything else ends it.
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
+#: Elements that start from a fresh score when nothing but wrappers is around them.
+#: Comments and teasers are articles as well, so an article keeps a bad name's weight.
+FRESH = {"article": 2, "main": 1}
+WRAPPERS = frozenset("html body div form section span center main".split())
 #: A new one of these ends an open one within the same container.
 CLOSES = {
     "li": frozenset(["li"]),
@@ -83,6 +90,8 @@ GOOD_NAME = re.compile(
     r"body-?text|text|prose|blog-?post)(?=$|[\s_-])",
     re.I,
 )
+#: Names that say what a wrapper has beside its text.
+LAYOUT_NAME = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[_-][\w-]*", re.I)
 COMMENT = re.compile(r"(?:^|\s)(?:comment|reply|comment-body)(?=$|\s)", re.I)
 OWN_HEADER = re.compile(r"(?:entry|article|post|story)[\w-]*header", re.I)
 BAD_ROLE = frozenset(
@@ -101,13 +110,19 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SENTENCE_END = re.compile(r"[.!?。！？…][\"'”’)\]]*$")
 
 
+def _names(held: dict[str, str | None]) -> str:
+    return LAYOUT_NAME.sub("", f"{held.get('class') or ''} {held.get('id') or ''}")
+
+
 class _Node:
-    __slots__ = ("tag", "up", "score", "good", "depth", "silent", "link")
+    __slots__ = ("tag", "up", "score", "good", "depth", "silent", "link", "wrapped")
 
     def __init__(self, tag: str, up: _Node | None, score: float, good: float, silent: bool) -> None:
         self.tag, self.up, self.score, self.good, self.silent = tag, up, score, good, silent
         self.depth = up.depth + 1 if up else 0
         self.link = tag == "a" or bool(up and up.link)
+        #: 2 inside wrappers only, 1 if one has a bad name, 0 inside anything else.
+        self.wrapped = 0 if up else 2
 
 
 class _Blocks(HTMLParser):
@@ -132,12 +147,14 @@ class _Blocks(HTMLParser):
     def _scores(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[float, float, bool]:
         up = self.at
         bad, good, silent = up.score, up.good, up.silent or tag in SILENT
+        if up.wrapped >= FRESH.get(tag, 3):
+            bad = 0.0
         weight = TAG_WEIGHTS.get(tag, 0.0)
         if tag == "header" and good >= TAG_WEIGHTS["article"]:
             weight = 0.0
         held = dict(attrs)
         if held:
-            names = f"{held.get('class') or ''} {held.get('id') or ''}"
+            names = _names(held)
             if tag not in ("html", "body") and names != " ":
                 bad_name = BAD_NAME.search(names)
                 if tag in ("article", "main"):
@@ -156,6 +173,8 @@ class _Blocks(HTMLParser):
         return bad + min(0.0, weight), good + max(0.0, weight), silent
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in HEAD_TAGS:
+            self._leave_head()
         if tag in VOID:
             if tag in SPACED:
                 self.parts.append(" ")
@@ -170,6 +189,16 @@ class _Blocks(HTMLParser):
             self._imply(tag)
         bad, good, silent = self._scores(tag, attrs)
         self.at = _Node(tag, self.at, bad, good, silent)
+        held = dict(attrs)
+        if tag not in WRAPPERS or held.get("role") in BAD_ROLE:
+            self.at.wrapped = 0
+        else:
+            self.at.wrapped = min(self.at.up.wrapped, 1 if BAD_NAME.search(_names(held)) else 2)
+
+    def _leave_head(self) -> None:
+        """Close a head without end tag at the first element that is no part of one."""
+        if self.at.tag == "head":
+            self.at = self.at.up
 
     def _imply(self, tag: str) -> None:
         """Close what a block-level start tag ends: an open paragraph, an open item."""

@@ -67,6 +67,34 @@ def test_odd_pages():
     assert op.main_text(f"<article><p>{long}</p></article>") == long.strip()
 
 
+LONG = "This is a sentence of the article that says a little more than the one before it. " * 12
+
+
+def test_head_left_open():
+    for body in ("<body>", "", "<body class=x>"):
+        page = f"<html><head><meta charset=utf-8><title>t</title><style>p{{}}</style>{body}<article><p>{LONG}</p></article>"
+        assert op.main_text(page) == LONG.strip()
+    assert op.main_text(f"<head><title>t</title><script>var a;</script></head><p>{LONG}</p>") == LONG.strip()
+
+
+def test_article_below_badly_named_wrappers_and_forms():
+    article = f"<article><h1>The title</h1><p>{LONG}</p><p>{LONG}</p></article>"
+    want = "\n\n".join(["The title", LONG.strip(), LONG.strip()])
+    nav = "<nav><a href=/>Home</a></nav><div class=related><p>Read this other story too, it is good.</p></div>"
+    for before, after in (
+        ("<div class='content has-sidebar'>", "</div>"), ("<div class='with-sidebar'>", "</div>"),
+        ("<form action=/>", "</form>"), ("<div class=no-header><form><div class=has-widgets>", "</div></form></div>"),
+    ):
+        assert op.main_text(f"<body>{before}{nav}{article}{after}</body>") == want
+        assert op.main_text(f"<body>{before}{nav}<main>{article}</main>{after}</body>") == want
+    assert op.main_text(f"<div class='page sidebar'>{nav}<main>{article}</main></div>") == want
+    teasers = "<article><p>A short teaser of something else, told elsewhere.</p></article>" * 3
+    assert op.main_text(f"{article}<div class=related-posts>{teasers}</div><section id=comments>{teasers}</section>") == want
+    for outer in ("aside", "nav", "footer"):
+        assert op.main_text(f"<{outer}><article><p>A short teaser of something else.</p></article></{outer}>") == ""
+    assert op.main_text(f"<article><p>{LONG}</p><div class=comments><article class=comment><p>I like it very much.</p></article></div></article>") == LONG.strip()
+
+
 def test_given_pages(spark):
     rows = spark.read.parquet(f"{MEDIUM}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in op.extract(rows).collect()}

@@ -175,7 +175,9 @@ def draw(key: str, kind: str, bare: str, attempt: int) -> str:
     if kind == "ip":
         octets = list(map(int, bare.split(".")))
         private = (octets[0] == 10) + 2 * (octets[:2] == [192, 168]) + 2 * (octets[0] == 172 and 16 <= octets[1] < 32)
-        kept = octets[:private]
+        # A small private network can hold more addresses than it has surrogates: later
+        # attempts leave it for 10.*, and that for public addresses.
+        kept = octets[:private] if attempt < 4 else [10] if private and attempt < 12 else []
         made = kept + [1 + d.below(254) for _ in octets[len(kept) :]]
         if not kept:
             public = [x for x in range(11, 224) if x not in (127, 172, 192)]

@@ -126,3 +126,18 @@ def test_given_documents(spark):
             old, fresh = op._bare(k, r["text"][a:b]), op._bare(k, out[hit[0] : hit[1]])
             assert real.setdefault((k, old), fresh) == fresh and made.setdefault((k, fresh), old) == old and old != fresh
             shift += (hit[1] - hit[0]) - (b - a)
+
+
+def test_private_addresses_never_run_out():
+    real = {f"192.168.{a}.{b}" for a in range(160) for b in range(256)}
+    left, used, attempt = real, set(), 0
+    while left and attempt < 20:
+        again = set()
+        for bare in sorted(left):
+            made = op.draw("key", "ip", bare, attempt)
+            assert not made.startswith("192.168.") or attempt < 4
+            if made in real or made in used:
+                again.add(bare)
+            used.add(made)
+        left, attempt = again, attempt + 1
+    assert not left

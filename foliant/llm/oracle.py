@@ -139,9 +139,57 @@ SELECT t.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesc
 FROM t LEFT JOIN by_doc USING (doc_id)
 """
 
+# Fixed value: the reversed polynomial of CRC-32.
+_CRC = (
+    "xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, len({text}) + 1), "
+    "lambda i: ascii(substr({text}, i, 1))::BIGINT), lambda c, b: list_reduce([xor(c, b)] || range(8), "
+    "lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"
+)
+
+PERIODIC_RUNS = f"""
+WITH w AS (
+  SELECT doc_id, {_ALL_WORDS} AS own FROM documents
+), g AS (
+  SELECT doc_id, own, len(own) AS n, h % 10 = 0 AND len(own) > 0 AS changed, h // 10 AS g
+  FROM (SELECT *, {_CRC.format(text="CAST(doc_id AS VARCHAR)")} AS h FROM w)
+), a AS (
+  SELECT *, CASE WHEN changed THEN g % n END AS a, CASE WHEN changed THEN 1 + (n - g % n) // (3 + g % 8) END AS p
+  FROM g
+), t AS (
+  SELECT doc_id, n, CASE WHEN changed THEN list_transform(range(0, n), lambda i:
+    own[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE own END AS ws FROM a
+), x AS (
+  SELECT doc_id, n, i, ws[i + 1] AS word FROM (SELECT *, unnest(range(0, n)) AS i FROM t)
+), same AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM x JOIN x y ON x.doc_id = y.doc_id AND x.word = y.word
+    AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT doc_id, q, min(i) AS s, max(i) + 1 + q AS e
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same)
+  GROUP BY doc_id, q, k
+), runs AS (
+  SELECT doc_id, s AS start, e - s AS length, min(q) AS period FROM stretches
+  WHERE e - s >= greatest(6, 4 * q) GROUP BY doc_id, s, e
+), gone AS (
+  SELECT doc_id, list(DISTINCT i) AS lost
+  FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS i FROM runs) GROUP BY doc_id
+), by_doc AS (
+  SELECT doc_id, count(*) AS n_runs,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS body,
+    first(struct_pack(s := start, l := length, q := period) ORDER BY length DESC, start, period) AS best
+  FROM runs GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period,
+  1000 * best.l // best.q AS exponent_milli, sha256(coalesce(body, '')) AS runs_sha256,
+  sha256(CASE WHEN lost IS NULL THEN array_to_string(ws, ' ') ELSE array_to_string(list_transform(
+    list_filter(range(0, n), lambda i: NOT list_contains(lost, i)), lambda i: ws[i + 1]), ' ') END) AS collapsed_sha256
+FROM t LEFT JOIN by_doc USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op2_warc_archive": WARC_ARCHIVE,
     "op4_near_dedup": NEAR_DEDUP,
     "op5_secret_scan": SECRET_SCAN,
     "op6_substring_dedup": SUBSTRING_DEDUP,
+    "op12_periodic_runs": PERIODIC_RUNS,
 }

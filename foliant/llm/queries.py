@@ -13,6 +13,7 @@ from foliant.llm import (
     html_extract,
     near_dedup,
     packing,
+    periodic_runs,
     quality_rules,
     secret_scan,
     sharding,
@@ -99,6 +100,21 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of every document's words, a tenth of them with planted tails."""
+    found = periodic_runs.find_runs(table(spark, folder, "documents"), changed=True)
+    return found.select(
+        "doc_id",
+        "n_runs",
+        "start",
+        "length",
+        "period",
+        "exponent_milli",
+        F.sha2(periodic_runs.listing(), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_warc_archive": op2_warc_archive,
@@ -110,4 +126,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op12_periodic_runs": op12_periodic_runs,
 }

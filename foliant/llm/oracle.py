@@ -186,10 +186,33 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length,
 FROM t LEFT JOIN by_doc USING (doc_id) LEFT JOIN gone USING (doc_id)
 """
 
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS alike,
+    CAST(list_dot_product(a.c, r.c) AS BIGINT) AS score
+  FROM (FROM v WHERE vec_id % 100 = 0) a JOIN v r ON a.vec_id <> r.vec_id
+), positives AS (
+  SELECT * FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM positives p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike
+  AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
+
 SQL: dict[str, str] = {
     "op2_warc_archive": WARC_ARCHIVE,
     "op4_near_dedup": NEAR_DEDUP,
     "op5_secret_scan": SECRET_SCAN,
     "op6_substring_dedup": SUBSTRING_DEDUP,
     "op12_periodic_runs": PERIODIC_RUNS,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }

@@ -21,6 +21,9 @@ COLUMNS = {
     "op12_periodic_runs": {
         "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256",
     },
+    "op13_hard_negatives": {
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score",
+    },
     "op10_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
 }
 PER_ROW = {"op1_html_extract": "pages", "op2_warc_archive": "pages"} | {

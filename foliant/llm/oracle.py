@@ -139,6 +139,34 @@ SELECT t.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesc
 FROM t LEFT JOIN by_doc USING (doc_id)
 """
 
+SOURCE_MIXING = f"""
+WITH f AS (
+  SELECT doc_id, source, len({_ALL_WORDS}) AS size, md5(doc_id || '|42') AS d FROM documents
+), own AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+  FROM f GROUP BY source
+), rising AS (
+  SELECT *, sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sharing
+  FROM own WINDOW o AS (ORDER BY source_size / w, source NULLS LAST)
+), met AS (
+  SELECT *, 3 * source_size * sharing <= w * rest AS met FROM rising
+), level AS (
+  SELECT arg_min(rest, source_size / w) FILTER (NOT met) AS rest, arg_min(sharing, source_size / w) FILTER (NOT met) AS sharing
+  FROM met
+), t AS (
+  SELECT m.source, m.source_size, CASE WHEN m.met THEN CAST(3 * m.source_size AS DOUBLE)
+    ELSE CAST(CAST(m.w * l.rest AS BIGINT) AS DOUBLE) / CAST(l.sharing AS DOUBLE) END AS target
+  FROM met m, level l
+), p AS (
+  SELECT f.doc_id, f.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
+    coalesce(sum(f.size) OVER (PARTITION BY f.source ORDER BY d, f.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM f JOIN t ON f.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CAST(list_sum(list_transform([0, 1, 2],
+  lambda k: greatest(0, least(size, quota - before - k * source_size)))) AS BIGINT) AS taken FROM p
+"""
+
 # Fixed value: the reversed polynomial of CRC-32.
 _CRC = (
     "xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, len({text}) + 1), "
@@ -213,6 +241,7 @@ SQL: dict[str, str] = {
     "op4_near_dedup": NEAR_DEDUP,
     "op5_secret_scan": SECRET_SCAN,
     "op6_substring_dedup": SUBSTRING_DEDUP,
+    "op11_source_mixing": SOURCE_MIXING,
     "op12_periodic_runs": PERIODIC_RUNS,
     "op13_hard_negatives": HARD_NEGATIVES,
 }

@@ -18,6 +18,7 @@ from foliant.llm import (
     quality_rules,
     secret_scan,
     sharding,
+    source_mixing,
     substring_dedup,
     surrogates,
     warc_archive,
@@ -101,6 +102,14 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document, and its source's target."""
+    mixed = source_mixing.mix(table(spark, folder, "documents"))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", source_mixing.taken_words().alias("taken")
+    )
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of every document's words, a tenth of them with planted tails."""
     found = periodic_runs.find_runs(table(spark, folder, "documents"), changed=True)
@@ -134,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op11_source_mixing": op11_source_mixing,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_hard_negatives": op13_hard_negatives,
 }

@@ -18,6 +18,7 @@ COLUMNS = {
     "op9_quality_rules": {
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
     },
+    "op11_source_mixing": {"doc_id", "size", "source_size", "target", "taken"},
     "op12_periodic_runs": {
         "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256",
     },
@@ -28,7 +29,7 @@ COLUMNS = {
 }
 PER_ROW = {"op1_html_extract": "pages", "op2_warc_archive": "pages"} | {
     k: "documents"
-    for k in ("op4_near_dedup", "op5_secret_scan", "op6_substring_dedup", "op9_quality_rules", "op10_sharding", "op12_periodic_runs")
+    for k in ("op4_near_dedup", "op5_secret_scan", "op6_substring_dedup", "op9_quality_rules", "op10_sharding", "op11_source_mixing", "op12_periodic_runs")
 }
 
 

@@ -776,6 +776,22 @@ FROM {chunked('f', 64)} WHERE len(c) = 64"""
 
 SQL["stream_chunk_emit"] = SQL["emitted_chunks"]
 
+SQL["stream_gaps"] = f"""WITH {_ARRIVALS},
+l AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM a),
+p AS (SELECT conv_id, turn, i, lag(turn, 1, -1) OVER k AS prev,
+  sum(len(i)) OVER k AS upto FROM l WHERE turn % 3 <> 1 OR turn = last WINDOW k AS (PARTITION BY conv_id ORDER BY turn)),
+f AS (SELECT conv_id, flatten(list(i ORDER BY turn)) AS i FROM p GROUP BY conv_id),
+c AS (SELECT conv_id, chunk_id, i[64 * chunk_id + 1 : 64 * chunk_id + 64] AS c
+  FROM (SELECT *, unnest(range(0, len(i) // 64)) AS chunk_id FROM f))
+SELECT c.conv_id, 'chunk' AS kind, c.chunk_id::BIGINT AS chunk_id, min(p.turn)::BIGINT AS turn, {join('any_value(c.c)')} AS input_ids
+FROM c JOIN p ON p.conv_id = c.conv_id AND p.upto >= 64 * (c.chunk_id + 1) GROUP BY c.conv_id, c.chunk_id
+UNION ALL SELECT conv_id, 'gap', turn - prev - 1, prev + 1, NULL FROM p WHERE turn - prev > 1"""
+
+SQL["stream_reset"] = f"""WITH {_ARRIVALS},
+f AS (SELECT conv_id, max(turn) AS turn, flatten(list(i ORDER BY turn)) AS i FROM a GROUP BY conv_id)
+SELECT conv_id, (len(i) // 64)::BIGINT AS chunks, turn::BIGINT AS turn,
+  {join('i[64 * (len(i) // 64) + 1 :]')} AS tail FROM f"""
+
 # --- vectors ---------------------------------------------------------------
 
 _CELLS = """SELECT label::BIGINT AS label, vec_id, unnest(embedding::DOUBLE[]) AS x,

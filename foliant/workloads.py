@@ -890,6 +890,31 @@ def stream_chunk_emit(spark, folder):
     return rows.filter(F.col("kind") == "chunk").select("conv_id", "chunk_id", "input_ids")
 
 
+def _marked_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Arrivals of conversations as a stream; the last turn of each is marked as its end."""
+    table = _table(spark, folder, "conversations")
+    turns = chunk_stream.read_parquet_stream(spark, f"{folder}/conversations.parquet*", table.schema)
+    last = table.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    ids = tk.tokenize(F.col("text"), TOKENS, False).alias("input_ids")
+    return turns.join(last, "conv_id").select("conv_id", "turn", ids, (F.col("turn") == F.col("last")).alias("ends"))
+
+
+@query
+def stream_gaps(spark, folder):
+    """Conversations that lost every third turn: gaps are reported, the rest goes on."""
+    turns = _marked_stream(spark, folder).filter((F.col("turn") % 3 != 1) | F.col("ends"))
+    rows = chunk_stream.emit_chunks(turns, 64, end="ends", final_end=True)
+    return chunk_stream.run_to_table(rows, "gaps")
+
+
+@query
+def stream_reset(spark, folder):
+    """What is dropped when a conversation's last turn removes its state."""
+    rows = chunk_stream.emit_chunks(_marked_stream(spark, folder), 64, end="ends", report_end=True)
+    ended = chunk_stream.run_to_table(rows, "reset").filter(F.col("kind") == "end")
+    return ended.select("conv_id", F.col("chunk_id").alias("chunks"), "turn", F.col("input_ids").alias("tail"))
+
+
 # --- vectors ---------------------------------------------------------------
 
 

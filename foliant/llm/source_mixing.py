@@ -140,13 +140,17 @@ def hypergeometric(balls: Column, marked: Column, drawn: Column, uniform: Column
         lambda a, x: F.struct(grown(a["w"], x).alias("w"), (a["sum"] + grown(a["w"], x)).alias("sum")),
         lambda a: a["sum"],
     )
+    # The goal travels along, or every step would sum the weights again.
     found = F.aggregate(
         steps,
-        F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"), low.alias("x")),
+        F.struct(
+            F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"), low.alias("x"), (uniform * total).alias("goal")
+        ),
         lambda a, x: F.struct(
             grown(a["w"], x).alias("w"),
             (a["sum"] + grown(a["w"], x)).alias("sum"),
-            F.when(a["sum"] < uniform * total, x + 1).otherwise(a["x"]).alias("x"),
+            F.when(a["sum"] < a["goal"], x + 1).otherwise(a["x"]).alias("x"),
+            a["goal"].alias("goal"),
         ),
         lambda a: a["x"],
     )

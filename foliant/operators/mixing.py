@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant import config as C
 from foliant.functions import hashing
+from foliant.operators.once import with_once
 from foliant.operators.ordered import ID_SHIFTS, id_positions, shuffled_positions
 
 _MIN_KEYS = 4096
@@ -219,16 +220,14 @@ def mixture_feed(
 
 # --- chunk reservoir -------------------------------------------------------
 
+#: What a reservoir decides about one chunk.
+FATE = ("slot", "outcome", "released_at", "visit")
 
-def chunk_reservoir(
-    chunk_rows: DataFrame,
-    k: int = 2,
-    doc: str = "sample_id",
-    chunk: str = "seq",
-    seed: int = 42,
-    keep: Sequence[str] = (),
+
+def with_fates(
+    df: DataFrame, n_chunks: Column, k: int = 2, doc: str = "sample_id", seed: int = 42, out: str = "fates"
 ) -> DataFrame:
-    """Which chunks of each document a k-slot reservoir keeps, and when it lets go.
+    """Add the fate of every chunk of a document, by chunk number, from their count alone.
 
     Chunk c below k goes to slot c. A later one draws j in [0, c]: below k it
     replaces the holder of slot j, otherwise it is released at once. So the
@@ -238,44 +237,61 @@ def chunk_reservoir(
     slot down.
 
     ``outcome`` is kept, evicted or last; ``released_at`` is the chunk at
-    whose arrival an evicted one went; ``visit`` counts the survivors. The
-    windows hold the chunks of one document, which came from one row.
+    whose arrival an evicted one went; ``visit`` counts the survivors. All of it
+    is arrays of the document's row, sorted by slot: no shuffle and no window.
     """
-    j = hashing.draw_below(F.col(chunk) + 1, F.col(doc), F.col(chunk), seed, "slot")
-    slot = F.when(F.col(chunk) < k, F.col(chunk)).otherwise(j)
-    rows = chunk_rows.select(doc, chunk, *keep, slot.cast("bigint").alias("slot"))
-    # A chunk that never enters a slot is a lane of its own.
-    lane = F.when(F.col("slot") < k, F.col("slot")).otherwise(-1 - F.col(chunk))
-    # The document window comes first: its partitioning serves all three.
-    whole = Window.partitionBy(doc)
-    by_lane = Window.partitionBy(doc, "_lane").orderBy(chunk)
-    rows = rows.withColumn("_lane", lane).withColumn("_last", F.max(chunk).over(whole))
-    rows = rows.withColumn("_next", F.lead(chunk).over(by_lane))
-    inside = F.col("_lane") >= 0
-    is_last = F.col(chunk) == F.col("_last")
-    outcome = (
-        F.when(inside & F.col("_next").isNull(), F.when(is_last, "last").otherwise("kept"))
-        .when(is_last, "last")
-        .otherwise("evicted")
+    kept_names = [c for c in df.columns if c != out]
+    j = lambda c: hashing.draw_below(c.cast("bigint") + 1, F.col(doc), c, seed, "slot")
+    numbers = F.when(n_chunks > 0, F.sequence(F.lit(0), (n_chunks - 1).cast("int")))
+    numbers = F.coalesce(numbers, F.array().cast("array<int>"))
+    drawn = F.transform(
+        numbers,
+        lambda c: F.struct(F.when(c < k, c.cast("bigint")).otherwise(j(c)).alias("slot"), c.alias("c")),
     )
-    released = F.when(
-        F.col("outcome") == "evicted", F.when(inside, F.col("_next")).otherwise(F.col(chunk))
-    ).otherwise(F.when(~inside, F.col(chunk)))
-    rows = rows.withColumn("outcome", outcome).withColumn("released_at", released.cast("bigint"))
-    kept = F.col("outcome") == "kept"
-    # At most k rows of a document are kept, so their slots fit one array.
-    slots = F.array_sort(F.collect_list(F.when(kept, F.col("slot"))).over(whole))
-    visit = F.size("_slots") - F.array_position("_slots", F.col("slot")) + 1
-    return (
-        rows.withColumn("_slots", slots)
-        .withColumn("visit", F.when(kept, visit).cast("int"))
-        .select(
-            doc,
-            chunk,
-            *keep,
-            F.when(inside, F.col("slot")).alias("slot"),
-            "outcome",
-            "released_at",
-            "visit",
-        )
+    df = with_once(df, {"_drawn": drawn})
+    entered = F.array_sort(F.filter("_drawn", lambda d: d["slot"] < k))
+    df = with_once(df, {"_entered": entered, "_last": F.size("_drawn") - 1})
+
+    def lane(d: Column, i: Column) -> Column:
+        after = F.get("_entered", i + 1)
+        follower = F.when(after["slot"] == d["slot"], after["c"])
+        return F.struct(d["c"].alias("c"), d["slot"].alias("slot"), follower.alias("next"))
+
+    nothing = F.lit(None).cast("int")
+    passed = F.transform(
+        F.filter("_drawn", lambda d: d["slot"] >= k),
+        lambda d: F.struct(d["c"].alias("c"), nothing.cast("bigint").alias("slot"), nothing.alias("next")),
     )
+    df = with_once(df, {"_lanes": F.array_sort(F.concat(F.transform("_entered", lane), passed))})
+    stays = lambda r: r["slot"].isNotNull() & r["next"].isNull() & (r["c"] != F.col("_last"))
+    df = with_once(df, {"_kept": F.transform(F.filter("_lanes", stays), lambda r: r["slot"])})
+
+    def fate(r: Column) -> Column:
+        outcome = F.when(r["c"] == F.col("_last"), "last").when(stays(r), "kept").otherwise("evicted")
+        released = F.when(r["slot"].isNull(), r["c"]).otherwise(r["next"])
+        visit = F.size(F.filter("_kept", lambda s: s >= r["slot"]))
+        return F.struct(
+            r["slot"].alias("slot"),
+            outcome.alias("outcome"),
+            released.cast("bigint").alias("released_at"),
+            F.when(stays(r), visit).alias("visit"),
+        )
+
+    return df.select(*kept_names, F.transform("_lanes", fate).alias(out))
+
+
+def chunk_reservoir(
+    docs: DataFrame,
+    n_chunks: Column,
+    k: int = 2,
+    doc: str = "sample_id",
+    chunk: str = "seq",
+    seed: int = 42,
+) -> DataFrame:
+    """Which chunks of each document a k-slot reservoir keeps, and when it lets go.
+
+    One row in per document, one row out per chunk; see ``with_fates``.
+    """
+    decided = with_fates(docs.select(doc, n_chunks.alias("_n")), F.col("_n"), k, doc, seed)
+    out = decided.select(doc, F.posexplode("fates").alias(chunk, "_f"))
+    return out.select(doc, chunk, *[F.col("_f")[name].alias(name) for name in FATE])

@@ -18,9 +18,8 @@ from foliant.functions import vectors as vx
 from foliant.operators.sizing import settle
 
 # A bigram counted at least total / HOT_SHARE times is hot: there can be at
-# most HOT_SHARE of them, which bounds what is broadcast and what is repeated.
-HOT_SHARE = 10_000
-HOT_SALTS = 64
+# most HOT_SHARE of them, which bounds what is broadcast.
+HOT_SHARE = 200_000
 
 
 # --- per position ----------------------------------------------------------
@@ -191,32 +190,49 @@ def criterion(name: str) -> Callable[..., DataFrame]:
 # --- bigram scorer ---------------------------------------------------------
 
 
-def chunk_pairs(
-    chunks: DataFrame, keep: Sequence[str] = (), ids: str = "input_ids", pos: bool = False
+def token_pairs(
+    df: DataFrame,
+    chunk_size: int,
+    cuts: Sequence[int | None] = (None,),
+    keep: str = "sample_id",
+    ids: str = "input_ids",
 ) -> DataFrame:
-    """(prev, tok) rows of every chunk; ``pos`` adds the place of tok in its chunk."""
-    pairs = tk.adjacent_pairs(F.col(ids))
-    if pos:
-        out = chunks.select(*keep, F.posexplode(pairs).alias("pos", "_p"))
-        return out.select(*keep, (F.col("pos") + 1).alias("pos"), "_p.prev", "_p.tok")
-    return chunks.select(*keep, F.explode(pairs).alias("_p")).select(*keep, "_p.prev", "_p.tok")
+    """Adjacent tokens of every sample with their band: ``keep, band, prev, tok``.
+
+    A band holds the positions from the cut before it up to its own; the last
+    cut is ``None``. Chunks restart at multiples of ``chunk_size``, so the first token
+    of a chunk has no predecessor. A sample without pairs leaves one row with null
+    tokens.
+    """
+    known = F.coalesce(ids, F.array().cast("array<int>"))
+    pairs = F.arrays_zip(tk.drop_last(known).alias("prev"), tk.drop_first(known).alias("tok"))
+    rows = df.select(keep, F.posexplode_outer(pairs).alias("_at", "_p"))
+    at = F.coalesce("_at", F.lit(0)) + 1
+    valid = F.col("_at").isNotNull() & (at % chunk_size != 0)
+    band = F.lit(len(cuts) - 1)
+    for k, cut in reversed(list(enumerate(cuts))):
+        if cut is not None:
+            band = F.when(at < cut, F.lit(k)).otherwise(band)
+    return rows.filter(valid | (at == 1)).select(
+        keep, band.alias("band"), *[F.when(valid, F.col("_p")[n]).alias(n) for n in ("prev", "tok")]
+    )
 
 
-def fit_bigrams(chunks: DataFrame, ids: str = "input_ids") -> DataFrame:
+def fit_bigrams(pairs: DataFrame) -> DataFrame:
     """Add-one bigram model: ``ln((n(a, b) + 1) / (n(a) + V))`` per seen bigram.
 
-    V counts the distinct tokens of all pairs. Pairs are combined before the
-    shuffle, so a frequent pair costs one row per task. The counts are used
-    four times below and in scoring; they are written out once, since they are
-    far smaller than the text they come from.
+    ``pairs`` has ``prev`` and ``tok``; null ones do not count. V counts the distinct tokens
+    of all pairs. Pairs are combined before the shuffle, so a frequent pair costs one
+    row per task. The counts are written out once: they are used four times below and
+    in scoring, and are far smaller than the text they come from. Counts of first
+    tokens have a row per token of the vocabulary at most, and are broadcast.
     """
-    counts = settle(
-        chunk_pairs(chunks, ids=ids).groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("n"))
-    )
+    known = pairs.filter(F.col("prev").isNotNull())
+    counts = settle(known.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("n")))
     firsts = counts.groupBy("prev").agg(F.sum("n").alias("n_prev"))
     ends = counts.select(F.explode(F.array("prev", "tok")).alias("t"))
     vocab = ends.agg(F.count_distinct("t").alias("v")).scalar()
-    return counts.join(firsts, "prev").select(
+    return counts.join(F.broadcast(firsts), "prev").select(
         "prev", "tok", "n", F.log((F.col("n") + 1) / (F.col("n_prev") + vocab)).alias("logprob")
     )
 
@@ -224,26 +240,24 @@ def fit_bigrams(chunks: DataFrame, ids: str = "input_ids") -> DataFrame:
 def score_bigrams(pairs: DataFrame, model: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sum of log-probabilities and number of scored pairs per key.
 
-    Text has a few very frequent bigrams, and joining on them would send all
-    their occurrences to one task. Occurrences of hot bigrams are spread over
-    ``HOT_SALTS`` join keys, and those rows of the model are repeated as often.
-    The model is far smaller than the pairs, so its partitions are hashed and
-    the pairs are not sorted.
+    Bigrams that make up at least one in ``HOT_SHARE`` of all pairs are looked up in a
+    broadcast of their log-probabilities: there are ``HOT_SHARE`` of them at most, and
+    their occurrences meet no shuffle before they are summed. A bigram below that has
+    less than a ``HOT_SHARE``-th of all occurrences, so no task of the join is hot;
+    its occurrences pass by the hashed model and are not sorted. A key without pairs
+    has a null sum.
     """
     keys = list(keys)
     pair = ["prev", "tok"]
     total = model.agg(F.sum("n").alias("total")).scalar()
-    marked = model.withColumn("_hot", F.col("n") * HOT_SHARE >= total)
-    hot = F.broadcast(marked.filter("_hot").select(*pair, "_hot"))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*keys), F.lit(HOT_SALTS))).otherwise(0)
-    left = pairs.join(hot, pair, "left").select(*keys, *pair, salt.cast("int").alias("_salt"))
-    copies = F.when(F.col("_hot"), HOT_SALTS).otherwise(1)
-    right = marked.select(*pair, "logprob", F.explode(F.sequence(F.lit(0), copies - 1)).alias("_salt"))
-    return (
-        left.join(right.hint("shuffle_hash"), [*pair, "_salt"])
-        .groupBy(*keys)
-        .agg(F.sum("logprob").alias("logprob"), F.count("logprob").alias("pairs"))
-    )
+    is_hot = F.col("n") * HOT_SHARE >= total
+    hot = model.filter(is_hot).select(*pair, F.col("logprob").alias("_hot"))
+    looked = pairs.join(F.broadcast(hot), pair, "left")
+    rare = model.filter(~is_hot).select(*pair, F.col("logprob").alias("_hot"))
+    near = looked.filter(F.col("_hot").isNotNull() | F.col("prev").isNull())
+    far = looked.filter(F.col("_hot").isNull() & F.col("prev").isNotNull()).drop("_hot")
+    scored = near.unionByName(far.join(rare.hint("shuffle_hash"), pair))
+    return scored.groupBy(*keys).agg(F.sum("_hot").alias("logprob"), F.count("_hot").alias("pairs"))
 
 
 def perplexity(logprob: Column, pairs: Column) -> Column:

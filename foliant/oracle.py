@@ -704,12 +704,12 @@ SQL["bigram_perplexity"] = f"""WITH {_BIGRAMS} SELECT sample_id, NULL::DOUBLE AS
 
 SQL["ppl_report"] = f"""WITH {_BIGRAMS},
 t(task_id, truncation) AS (VALUES (0, 128), (1, 256), (2, 512), (3, 1024), (4, NULL)),
-s AS (SELECT task_id, truncation, sample_id, exp(-avg(lp)) AS ppl FROM lp JOIN t
-  ON truncation IS NULL OR p < truncation GROUP BY task_id, truncation, sample_id)
+s AS (SELECT task_id, truncation, d.doc_id AS sample_id, exp(-avg(lp)) AS ppl FROM documents d CROSS JOIN t
+  LEFT JOIN lp ON lp.sample_id = d.doc_id AND (truncation IS NULL OR p < truncation) GROUP BY task_id, truncation, d.doc_id)
 SELECT task_id::BIGINT AS task_id, 'documents' AS task_name, 'perplexity' AS task_type,
   NULL::DOUBLE AS num_instance, truncation::DOUBLE AS truncation, 128::BIGINT AS chunk_size,
-  count(*)::BIGINT AS samples, round(avg(ppl), 6) AS avg, round(max(ppl), 6) AS max,
-  round(min(ppl), 6) AS min FROM s GROUP BY task_id, truncation"""
+  count(ppl)::BIGINT AS samples, count(*) FILTER (ppl IS NULL)::BIGINT AS unscored, round(avg(ppl), 6) AS avg,
+  round(max(ppl), 6) AS max, round(min(ppl), 6) AS min FROM s GROUP BY task_id, truncation"""
 
 SQL["external_scorer"] = f"""SELECT sample_id, count(*)::BIGINT AS scored_tokens,
   round(exp(avg(CASE WHEN tok % 2 = 1 THEN 0.5 ELSE 1.5 END)), 6) AS perplexity

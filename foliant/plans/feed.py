@@ -28,7 +28,8 @@ def training_feed(
 
     ``tags`` names the task types of each corpus, all that it can be planned
     for without. A step is one drawn
-    document, so it serves as the sample id of its chunks.
+    document, so it serves as the sample id of its chunks. The reservoir decides in
+    the document's row, so nothing is shuffled between plan and feed.
     """
     parts = mixing.mixture_parts(corpora, mix, iters, row_id, seed)
     plans = [
@@ -40,10 +41,9 @@ def training_feed(
             tags[m.name] if tags else None,
             row_id="step",
             seed=seed,
+            reservoir=k,
         )
         for m in mix
     ]
     plan = reduce(lambda a, b: a.unionByName(b), plans)
-    rest = [c for c in planners.PLAN_COLUMNS if c not in ("sample_id", "seq")]
-    fate = mixing.chunk_reservoir(plan, k, "sample_id", "seq", seed, keep=rest)
-    return fate.withColumnRenamed("sample_id", "step")
+    return plan.withColumnRenamed("sample_id", "step")

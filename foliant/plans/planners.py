@@ -19,6 +19,7 @@ from foliant import config as C
 from foliant.functions import hashing
 from foliant.functions import text as tx
 from foliant.functions import tokens as tk
+from foliant.operators import mixing
 from foliant.operators.once import with_once
 
 # Fields of one chunk-plan row, in order, with their types and defaults.
@@ -580,6 +581,7 @@ def plan_tasks(
     override: str | None = None,
     row_id: str = "row_id",
     seed: int = 42,
+    reservoir: int | None = None,
 ) -> DataFrame:
     """Plan a wide corpus by the tag of each row, in one pass.
 
@@ -588,6 +590,8 @@ def plan_tasks(
     table has and whose planner can work with ``truncation``. Each planner
     adds one array to the row, null on rows of other tags; the arrays are
     joined and exploded once. A row with any other tag is an error.
+    ``reservoir`` adds what a reservoir of that many slots decides about each chunk
+    (``mixing.FATE``), in the row before it is exploded.
     """
     common = {"chunks": chunks, "row_id": row_id}
     cut = {**common, "tokens": tokens, "truncation": truncation}
@@ -635,10 +639,22 @@ def plan_tasks(
     ).cast(_PLAN_TYPE)
     planned = F.coalesce(F.col("task_type").isin(*wanted), F.lit(False))
     rows = F.when(~planned, failed).otherwise(F.coalesce(*plans, F.lit(None).cast(_PLAN_TYPE)))
+    fate: tuple[str, ...] = ()
+    if reservoir is not None:
+        fate = mixing.FATE
+        df = with_once(df.withColumn("_sample", F.col(row_id).cast("bigint")), {"_rows": rows})
+        count = F.coalesce(F.size("_rows"), F.lit(0))
+        df = mixing.with_fates(df.drop(*plans), count, reservoir, "_sample", seed, "_fates")
+        rows = F.transform(
+            "_rows",
+            lambda r, i: F.struct(
+                *[r[n].alias(n) for n in FIELDS], *[F.get("_fates", i)[n].alias(n) for n in fate]
+            ),
+        )
     out = df.select(F.col(row_id).cast("bigint").alias("sample_id"), "task_type", F.posexplode(rows))
     return out.select(
         "sample_id",
         "task_type",
         F.col("pos").alias("seq"),
-        *[F.col("col")[name].alias(name) for name in FIELDS],
+        *[F.col("col")[name].alias(name) for name in (*FIELDS, *fate)],
     )

@@ -11,32 +11,29 @@ from pyspark.sql import functions as F
 from foliant import config as C
 from foliant.functions import tokens as tk
 from foliant.operators import mixing, scoring
-from foliant.plans import planners
+from foliant.operators.sizing import settle
 
-_MAX_BROADCAST_INSTANCES = 1_000_000
 REPORT_KEYS = ("task_id", "task_name", "task_type", "num_instance", "truncation")
 
 
-def task_report(samples: DataFrame, chunk_size: int, value: str = "perplexity") -> DataFrame:
-    """Average, maximum and minimum over the samples of each task."""
+def task_report(
+    samples: DataFrame, chunk_size: int, value: str = "perplexity", unscored: bool = False
+) -> DataFrame:
+    """Average, maximum and minimum over the samples of each task.
+
+    ``unscored`` adds the number of samples without a value.
+    """
+    lost = [F.count_if(F.col(value).isNull()).alias("unscored")] if unscored else []
     return samples.groupBy(*REPORT_KEYS).agg(
         F.lit(chunk_size).alias("chunk_size"),
         F.count(value).alias("samples"),
+        *lost,
         F.avg(value).alias("avg"),
         F.max(value).alias("max"),
         F.min(value).alias("min"),
     )
 
 
-def _band(position, truncations: Sequence[int | None]):
-    """Index of the shortest truncation that still contains the position."""
-    out = F.lit(len(truncations) - 1)
-    for i, t in reversed(list(enumerate(truncations))):
-        if t is not None:
-            out = F.when(position < t, F.lit(i)).otherwise(out)
-    return out
-
-
 def perplexity_samples(
     docs: DataFrame,
     truncations: Sequence[int | None],
@@ -46,39 +43,44 @@ def perplexity_samples(
     row_id: str = "row_id",
     model: DataFrame | None = None,
     training: DataFrame | None = None,
+    only: DataFrame | None = None,
+    unscored: bool = False,
 ) -> DataFrame:
-    """Perplexity of each document at each truncation, all from one scoring pass.
+    """Perplexity of each document at each truncation, all from one tokenization.
 
     Chunks restart at fixed multiples, so a shorter truncation is a prefix of
     a longer one: every token is scored once, at the longest truncation, and
     falls into the band of the shortest truncation that contains it. A
-    truncation sums its own band and all shorter ones. The bigram model is
-    ``model``, or counted over the whole texts of ``training`` or ``docs``.
+    truncation sums its own band and all shorter ones.
+
+    Token ids are written once; the bigram model is fitted on the pairs in that table
+    and scores the same table. ``model`` is
+    another model, ``training`` other texts to fit on, and ``only`` the ids to score.
+    Documents without a scored token are left out, or kept with a null perplexity
+    (``unscored``).
     """
-    ordered = sorted({t for t in truncations if t is not None})
+    ordered: list[int | None] = sorted({t for t in truncations if t is not None})
     if None in truncations:
         ordered.append(None)
-    n = chunks.chunk_size
 
-    def scored_chunks(df: DataFrame, truncation: int | None) -> DataFrame:
-        """The chunks of the perplexity plan without its label columns."""
-        ids = tk.head_truncate(tk.tokenize(F.col(text), tokens), truncation)
-        cut = df.select(F.col(row_id).cast("bigint").alias("sample_id"), ids.alias("input_ids"))
-        return planners.explode_chunks(cut, n, keep=("sample_id",)).withColumnRenamed(
-            "chunk_id", "seq"
-        )
+    def ids_of(df: DataFrame) -> DataFrame:
+        ids = tk.tokenize(F.col(text), tokens).alias("input_ids")
+        return settle(df.select(F.col(row_id).cast("bigint").alias("sample_id"), ids))
 
+    # Beyond the longest truncation pairs are counted for the model alone.
+    cuts = ordered + ([] if ordered[-1] is None else [None])
+    n = chunks.chunk_size
+    if model is not None and only is not None:
+        docs = docs.join(only.select(row_id), row_id, "left_semi")
+    pairs = scoring.token_pairs(ids_of(docs), n, cuts)
     if model is None:
-        whole = scored_chunks(training if training is not None else docs, None)
-        model = scoring.fit_bigrams(whole)
-    pairs = scoring.chunk_pairs(scored_chunks(docs, ordered[-1]), ["sample_id", "seq"], pos=True)
-    banded = pairs.select(
-        "sample_id",
-        _band(F.col("seq") * n + F.col("pos"), ordered).alias("band"),
-        "prev",
-        "tok",
-    )
-    scored = scoring.score_bigrams(banded, model, ["sample_id", "band"])
+        own = pairs if training is None else scoring.token_pairs(ids_of(training), n)
+        model = scoring.fit_bigrams(own)
+    scorable = pairs.filter(F.col("band") < len(ordered))
+    if only is not None:
+        chosen = only.select(F.col(row_id).cast("bigint").alias("sample_id"))
+        scorable = scorable.join(chosen, "sample_id", "left_semi")
+    scored = scoring.score_bigrams(scorable, model, ["sample_id", "band"])
     per_truncation = F.array(
         *[
             F.struct(
@@ -90,11 +92,13 @@ def perplexity_samples(
         ]
     )
     rows = scored.groupBy("sample_id").agg(per_truncation.alias("_t"))
-    flat = rows.select("sample_id", F.inline("_t")).filter(F.col("scored_tokens") > 0)
+    flat = rows.select("sample_id", F.inline("_t"))
+    if not unscored:
+        flat = flat.filter(F.col("scored_tokens") > 0)
     return flat.select(
         "sample_id",
         "truncation",
-        "scored_tokens",
+        F.coalesce("scored_tokens", F.lit(0)).alias("scored_tokens"),
         scoring.perplexity(F.col("logprob"), F.col("scored_tokens")).alias("perplexity"),
     )
 
@@ -111,8 +115,9 @@ def perplexity_report(
     """The report of every perplexity task; each corpus is scored once.
 
     A task with ``num_instance`` covers the first rows of its corpus; a corpus
-    with fewer is an error. When all tasks of a corpus do, only those rows are
-    read further.
+    with fewer is an error, whatever the other tasks. When all tasks of a corpus
+    have one, only those rows are scored. ``unscored`` counts a task's samples
+    without a scored token; they are in no average.
     """
     other = [t.task_type for t in tasks if t.task_type != C.PERPLEXITY]
     if other:
@@ -123,26 +128,28 @@ def perplexity_report(
     for name in dict.fromkeys(t.task_name for t in tasks):
         docs = corpora[name]
         own = [t for t in tasks if t.task_name == name]
-        limits = [t.num_instance for t in own]
-        selected, row_no = docs, None
-        if None not in limits and max(limits) <= _MAX_BROADCAST_INSTANCES:
-            first = mixing.first_rows(docs.select(row_id), max(limits), row_id, require=True)
-            row_no = F.broadcast(mixing.numbered_rows(first, row_id))
-            selected = docs.join(row_no.select(row_id), row_id, "left_semi")
-        elif any(n is not None for n in limits):
-            row_no = mixing.numbered_rows(docs.select(row_id), row_id)
+        bounds = [t.num_instance for t in own if t.num_instance is not None]
+        numbered = only = None
+        if bounds:
+            found = docs.select(row_id).count()
+            if found < max(bounds):
+                raise ValueError(f"corpus {name!r} has {found} rows, {max(bounds)} are required")
+            numbered = mixing.numbered_rows(docs.select(row_id), row_id)
+            if len(bounds) == len(own):
+                only = numbered.filter(F.col("row_no") <= max(bounds))
         samples = perplexity_samples(
-            selected, [t.truncation for t in own], chunks, tokens, text, row_id, model, docs
+            docs, [t.truncation for t in own], chunks, tokens, text, row_id, model, only=only, unscored=True
         )
         mine = frame.filter(F.col("task_name") == name)
         # Null-safe: a task without truncation meets the untruncated scores.
         joined = samples.withColumnRenamed("truncation", "_t").join(
             mine, F.col("_t").eqNullSafe(F.col("truncation"))
         )
-        if row_no is not None:
-            numbered = row_no.select(F.col(row_id).cast("bigint").alias("sample_id"), "row_no")
-            joined = joined.join(numbered, "sample_id").filter(
+        if numbered is not None:
+            rows = numbered.select(F.col(row_id).cast("bigint").alias("sample_id"), "row_no")
+            joined = joined.join(rows, "sample_id").filter(
                 F.col("num_instance").isNull() | (F.col("row_no") <= F.col("num_instance"))
             )
         parts.append(joined.select(*REPORT_KEYS, "sample_id", "scored_tokens", "perplexity"))
-    return task_report(reduce(lambda a, b: a.unionByName(b), parts), chunks.chunk_size)
+    every = reduce(lambda a, b: a.unionByName(b), parts)
+    return task_report(every, chunks.chunk_size, unscored=True)

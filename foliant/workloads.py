@@ -719,9 +719,8 @@ def training_feed(spark, folder):
 
 @query(optional=("slot", "released_at", "visit"))
 def chunk_reservoir(spark, folder):
-    chunks = planners.explode_chunks(_ids(_docs(spark, folder)), 32, keep=("row_id",))
-    rows = chunks.select("row_id", "chunk_id")
-    return mixing.chunk_reservoir(rows, 2, "row_id", "chunk_id", SEED)
+    docs = _ids(_docs(spark, folder))
+    return mixing.chunk_reservoir(docs, F.ceil(F.size("input_ids") / 32), 2, "row_id", "chunk_id", SEED)
 
 
 # --- scores ----------------------------------------------------------------

@@ -81,11 +81,11 @@ def reservoir(doc, n, k, seed):
 @pytest.mark.parametrize("k", [1, 2, 5])
 def test_reservoir_is_the_loop(spark, k):
     sizes = {doc: doc for doc in range(1, 40)}
-    rows = [(d, c) for d, n in sizes.items() for c in range(n)]
-    df = spark.createDataFrame(rows, "sample_id bigint, seq bigint")
+    df = spark.createDataFrame([*sizes.items(), (99, 0), (100, None)], "sample_id bigint, n int")
     got = {}
-    for r in mixing.chunk_reservoir(df, k, seed=5).collect():
+    for r in mixing.chunk_reservoir(df, F.col("n"), k, seed=5).collect():
         got.setdefault(r.sample_id, []).append(r)
+    assert set(got) == set(sizes)
     for doc, n in sizes.items():
         kept, released = reservoir(doc, n, k, 5)
         mine = got[doc]
@@ -96,10 +96,10 @@ def test_reservoir_is_the_loop(spark, k):
 
 
 def test_reservoir_is_uniform(spark):
-    rows = spark.range(2000).select(
-        F.col("id").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("seq")
-    )
-    kept = mixing.chunk_reservoir(rows, 3).filter(F.col("slot").isNotNull() & F.col("released_at").isNull())
+    rows = spark.range(2000).withColumnRenamed("id", "sample_id")
+    fates = mixing.chunk_reservoir(rows, F.lit(10), 3)
+    assert "Exchange" not in fates._jdf.queryExecution().executedPlan().toString()
+    kept = fates.filter(F.col("slot").isNotNull() & F.col("released_at").isNull())
     counts = [r["count"] for r in kept.groupBy("seq").count().collect()]
     assert len(counts) == 10 and all(500 < c < 700 for c in counts)
 

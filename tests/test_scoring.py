@@ -1,6 +1,7 @@
 """Losses, perplexity, context accounting and vectors against numpy."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant import config as C
+from foliant.functions import tokens as tk
 from foliant.operators import context, parameters, samples, scoring, vocabulary
 from foliant.plans import planners, reports
 
@@ -149,6 +151,48 @@ def test_report_over_first_instances(spark):
         reports.perplexity_report({"d": docs}, [C.Task("copy", "d", 1, None)])
 
 
+@pytest.mark.parametrize("cuts", [(None,), (3, 6, None), (1, 2, 5, None)])
+@pytest.mark.parametrize("n", [1, 4])
+def test_pairs_and_their_bands(spark, cuts, n):
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(4) for _ in range(rng.randrange(30))]) for i in range(40)] + [(90, []), (91, [7]), (92, None)]
+    df = spark.createDataFrame(rows, "sample_id bigint, input_ids array<int>")
+    expected = Counter()
+    for i, ids in rows:
+        for p in range(1, len(ids or [])):
+            if p % n:
+                band = next(b for b, c in enumerate(cuts) if c is None or p < c)
+                expected[i, band, ids[p - 1], ids[p]] += 1
+    got = scoring.token_pairs(df, n, cuts).collect()
+    assert Counter(tuple(r) for r in got if r.prev is not None) == expected
+    # A sample without pairs keeps a row.
+    assert {r.sample_id for r in got} == {i for i, _ in rows}
+
+
+def test_unscored_samples_are_counted(spark):
+    docs = spark.createDataFrame([(0, "a b c"), (1, ""), (2, None), (3, "b c")], "row_id bigint, text string")
+    tasks = [C.Task(C.PERPLEXITY, "d", None, None), C.Task(C.PERPLEXITY, "d", 2, 1), C.Task(C.PERPLEXITY, "d", 3, 2)]
+    rows = reports.perplexity_report({"d": docs}, tasks, C.Chunks(4, 2)).orderBy("task_id").collect()
+    assert [(r.samples, r.unscored) for r in rows] == [(2, 2), (0, 2), (1, 2)]
+    assert rows[1].avg is None and rows[0].avg > 0
+
+
+@pytest.mark.parametrize("other", [5, None])
+def test_a_short_corpus_is_an_error_beside_any_task(spark, other):
+    docs = spark.createDataFrame(list(enumerate(DOCS)), "row_id bigint, text string")
+    tasks = [C.Task(C.PERPLEXITY, "d", 2_000_000, None), C.Task(C.PERPLEXITY, "d", other, 3)]
+    with pytest.raises(ValueError, match="required"):
+        reports.perplexity_report({"d": docs}, tasks, C.Chunks(4, 2))
+
+
+def test_one_tokenization_serves_fit_and_score(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(reports.tk, "tokenize", lambda *a, f=tk.tokenize: made.append(1) or f(*a))
+    docs = spark.createDataFrame(list(enumerate(DOCS)), "row_id bigint, text string")
+    plan = reports.perplexity_samples(docs, [3, None], C.Chunks(4, 2))._jdf.queryExecution().executedPlan()
+    assert len(made) == 1 and "regexp" not in plan.toString().lower()
+
+
 def test_vocabulary(spark):
     docs = spark.createDataFrame(list(enumerate(DOCS)), "row_id bigint, text string")
     vocab = vocabulary.build_vocabulary(docs, size=2)

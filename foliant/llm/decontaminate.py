@@ -252,5 +252,6 @@ def find(
 
 def clean(docs: DataFrame, items: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose id was found to hold an item."""
-    hits = find(docs, items, row_id, text).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, F.col(row_id).cast("bigint") == F.col("_hit"), "left_anti")
+    hits = find(docs, items, row_id, text).select("doc_id").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(row_id).cast("bigint").alias("of"))
+    return rows.join(hits, F.col("of") == F.col("doc_id"), "left_anti").select("row.*")

@@ -296,9 +296,26 @@ def groups(
 def keep_one(
     docs: DataFrame, size: int = 5, percent: int = 80, row_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``docs`` with one row of each group; rows without an id all stay."""
-    kept = groups(docs, size, percent, row_id, text).filter("kept AND doc_id IS NOT NULL")
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.filter(F.col(row_id).isNotNull())
-    named = named.join(kept, F.col(row_id).cast("bigint") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates([row_id]).unionByName(docs.filter(F.col(row_id).isNull()))
+    """``docs`` with one row of each group.
+
+    Rows without an id all stay. An id that stands for different texts names no text:
+    its rows take no part, and those that differ in text all stay. Of rows equal
+    in id and text one stays, that with the smallest digest of all its columns.
+    """
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(
+        F.col(row_id).cast("bigint").alias("id"),
+        F.xxhash64(body).alias("body"),
+        F.col(text).alias("text"),
+        F.struct(*docs.columns).alias("row"),
+    )
+    named = rows.filter(F.col("id").isNotNull())
+    texts = named.groupBy("id").agg(F.min("body").alias("a"), F.max("body").alias("z"))
+    several = settle(texts.filter("a <> z").select("id"))
+    single = named.join(several, "id", "left_anti")
+    kept = groups(single.select("id", "text"), size, percent, "id", "text").filter("kept")
+    chosen = single.join(kept.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    apart = chosen.unionByName(named.join(several, "id", "left_semi"))
+    first = F.min_by("row", F.xxhash64("row")).alias("row")
+    left = apart.groupBy("id", "body").agg(first).select("row")
+    return left.unionByName(rows.filter(F.col("id").isNull()).select("row")).select("row.*")

@@ -305,6 +305,9 @@ def reject(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str
     Rows are judged once on narrow columns; whole rows are only joined.
     """
     judged, _ = judge(docs, labels, row_id, text)
-    gone = judged.filter(~F.col("kept")).select(F.col(row_id).alias("_gone"), F.col("text_id").alias("_gone_text"))
-    same = F.col(row_id).eqNullSafe(F.col("_gone")) & (_text_id(text) == F.col("_gone_text"))
-    return docs.join(gone.distinct(), same, "left_anti")
+    gone = judged.filter(~F.col("kept")).select(F.col(row_id).alias("id"), F.col("text_id").alias("body"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(row_id).alias("of"), _text_id(text).alias("own")
+    )
+    same = F.col("of").eqNullSafe(F.col("id")) & (F.col("own") == F.col("body"))
+    return rows.join(gone.distinct(), same, "left_anti").select("row.*")

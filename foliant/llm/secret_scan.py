@@ -218,13 +218,21 @@ def _hex_spans(text: Column) -> Column:
     )
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of ``docs`` has, in either case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def scan(docs: DataFrame, text: str = "text", out: str = "secrets", wide: bool = False) -> DataFrame:
     """Add an array of spans (start, kind number, end), in order of start and kind.
 
     ``wide`` is what masking needs: its spans may overlap.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    names = {"text": "_secret_text", "base": "_secret_base", "more": "_secret_more", "open": "_secret_open"}
+    names = {part: _free(docs, f"_secret_{part}") for part in ("text", "base", "more", "open")}
     df = with_once(docs, {names["text"]: whole})
     body = F.col(names["text"])
     base = F.concat(*[find(body, p, k, g, n) for k, (_, p, g, n) in enumerate(PATTERNS)])
@@ -282,8 +290,9 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
 def mask_secrets(docs: DataFrame, text: str = "text", size: str | None = "n_chars") -> DataFrame:
     """``docs`` with secrets masked; a column ``size`` is the new length."""
-    found = scan(docs, text, out="_secret_spans", wide=True)
-    found = found.withColumn(text, redact(F.col(text), F.col("_secret_spans")))
+    spans = _free(docs, "_secret_spans")
+    found = scan(docs, text, out=spans, wide=True)
+    found = found.withColumn(text, redact(F.col(text), F.col(spans)))
     if size in docs.columns:
         found = found.withColumn(size, F.length(text).cast(docs.schema[size].dataType))
     return found.select(*docs.columns)

@@ -92,7 +92,15 @@ def test_nulls_repeats_and_empty(documents):
     assert op.groups(df.limit(0)).count() == 0
     one = op.keep_one(df, size=2)
     assert one.columns == df.columns
-    assert sorted(r["doc_id"] or 0 for r in one.collect()) == [0, 3, 7, 8, 9]
+    # Id 4 stands for two texts: it names neither, and both stay.
+    assert sorted(r["doc_id"] or 0 for r in one.collect()) == [0, 3, 4, 4, 7, 8, 9]
+
+
+def test_texts_under_one_id_all_stay(documents):
+    apart = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
+    rows = [(5, apart[0]), (5, apart[1]), (5, apart[1]), (9, apart[2]), (9, apart[2]), (2, apart[0])]
+    got = op.keep_one(documents(rows, extra=["_kept", "row", "id", "body"]), size=2).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted({(i, t) for i, t in rows})
 
 
 def test_one_group_of_a_third(documents):

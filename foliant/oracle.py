@@ -744,6 +744,22 @@ SQL["pad_batches"] = f"""WITH {_BATCHES} SELECT batch_id::BIGINT AS batch_id, pl
   {join(f"list_concat(i, {fill(-100, 'gap')})")} AS labels,
   {join(f"list_concat({fill(1, 'len(i)')}, {fill(0, 'gap')})")} AS attention_mask FROM b"""
 
+def _padded_chunks(part: str, value: int) -> str:
+    """Slices of 128 of ``i`` as ``part`` makes them, padded to ``m``, one after the other."""
+    return join(
+        f"""flatten(list_transform(range(0, n), lambda c: list_concat({part},
+  list_transform(range(0, m - least(128, len(i) - 128 * c)), lambda k: {value}))))"""
+    )
+
+
+SQL["pad_nested"] = f"""WITH {_BATCHES}, w AS (SELECT *, (len(i) + 127) // 128 AS n,
+  max(least(len(i), 128)) OVER (PARTITION BY batch_id) AS m FROM b)
+SELECT row_id, batch_id::BIGINT AS batch_id, n::BIGINT AS n,
+  {_padded_chunks('i[128 * c + 1 : 128 * c + 128]', 0)} AS chunks,
+  {_padded_chunks('i[128 * c + 1 : 128 * c + 128]', -100)} AS chunk_label_ids,
+  {_padded_chunks('list_transform(i[128 * c + 1 : 128 * c + 128], lambda x: 1)', 0)} AS chunk_attention_mask,
+  {_padded_chunks('range(0, least(128, len(i) - 128 * c))', 0)} AS chunk_position_ids FROM w"""
+
 SQL["stacked_batches"] = f"""WITH {_BATCHES}
 SELECT batch_id::BIGINT AS batch_id, string_agg(row_id::VARCHAR, ',' ORDER BY place) AS row_id,
   max(len(i))::BIGINT AS longest,

@@ -841,6 +841,19 @@ def pad_batches(spark, folder):
     return collate.collate(made, 8, seed=SEED, add_position_ids=False)
 
 
+@query
+def pad_nested(spark, folder):
+    """Chunks of samples as lists of lists, padded to the longest chunk of a batch."""
+    made = samples.lm_samples(_docs(spark, folder), TOKENS, MIN_LENGTH, MAX_LENGTH)
+    cut = {"chunks": "input_ids", "chunk_label_ids": "labels", "chunk_attention_mask": "attention_mask"}
+    nested = made.select(
+        "row_id", *[tk.chunk_arrays(F.col(c), CHUNKS.chunk_size).alias(name) for name, c in cut.items()]
+    )
+    padded = collate.collate(nested, 8, seed=SEED, add_position_ids=True)
+    names = [*cut, "chunk_position_ids"]
+    return padded.select("row_id", "batch_id", F.size("chunks").alias("n"), *[F.flatten(c).alias(c) for c in names])
+
+
 @query
 def stacked_batches(spark, folder):
     made = samples.lm_samples(_docs(spark, folder), TOKENS, MIN_LENGTH, MAX_LENGTH)

@@ -157,6 +157,33 @@ def test_collate(spark):
     assert len(batch) == 1 and sorted(batch[0].input_ids) == [[1, 2, 3], [4, 0, 0]]
 
 
+def test_fills_go_by_what_a_name_contains(spark):
+    names = {"label_ids": -100, "my_labels": -100, "label_attention_mask": 0, "attention_mask_2": 0, "ids": 9, "odd": 5}
+    df = spark.createDataFrame([(1, [1, 2, 3]), (2, [4])], "row_id bigint, a array<int>")
+    df = df.select("row_id", *[F.col("a").alias(n) for n in names])
+    rows = {r.row_id: r for r in collate.collate(df, 2, pad=9, fills={"odd": 5}).collect()}
+    assert {n: rows[2][n] for n in names} == {n: [4, v, v] for n, v in names.items()}
+
+
+def test_nested_lists(spark):
+    """Every innermost list of a batch gets the length of its longest one."""
+    rows = [(1, [[1, 2, 3], []], ["a"], [[[1]], [[2, 3], []]]), (2, [[4]], ["b", "c"], []), (3, [], [], [[[5, 6, 7]]])]
+    df = spark.createDataFrame(rows, "row_id bigint, x array<array<int>>, names array<string>, y array<array<array<int>>>")
+    df = df.withColumn("x_attention_mask", F.transform("x", lambda a: F.transform(a, lambda v: F.lit(1))))
+    right = {r.row_id: r for r in collate.collate(df, 3, add_position_ids=True).collect()}
+    assert right[1].x == [[1, 2, 3], [0, 0, 0]] and right[2].x == [[4, 0, 0]] and right[3].x == []
+    assert right[1].y == [[[1, 0, 0]], [[2, 3, 0], [0, 0, 0]]] and right[3].y == [[[5, 6, 7]]]
+    assert right[2].names == ["b", "c"]
+    assert right[1].x_position_ids == [[0, 1, 2], [0, 0, 0]]
+    left = {r.row_id: r for r in collate.collate(df, 3, side="left", add_position_ids=True).collect()}
+    assert left[2].x == [[0, 0, 4]] and left[2].x_position_ids == [[0, 0, 0]]
+
+
+def test_holes_in_nested_masks(spark):
+    df = spark.createDataFrame([(1, [[1, 0, 1, 1], [0, 1]])], "row_id bigint, attention_mask array<array<int>>")
+    assert collate.collate(df, 1, add_position_ids=True).first().position_ids == [[0, 0, 1, 2], [0, 0, 0, 0]]
+
+
 @pytest.mark.parametrize(
     "mask, expected",
     [

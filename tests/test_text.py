@@ -109,15 +109,11 @@ def test_article_fixture(spark):
     assert [r.text for r in got] == ["b text", "last \n"] == python_articles(lines)
 
 
-@pytest.mark.parametrize("block_bits", [14, 2])
-def test_articles_match_python_on_random_sources(spark, monkeypatch, block_bits):
-    """Blocks of four lines put block borders into every source."""
-    monkeypatch.setattr(articles, "_BLOCK_BITS", block_bits)
-    if block_bits == 2:
-        small = articles.running_sums
-        monkeypatch.setattr(
-            articles, "running_sums", lambda *a, **k: small(*a, **k, shifts=(2, 4))
-        )
+@pytest.mark.parametrize("block_bits, fan_bits", [(14, 10), (2, 1), (0, 1)])
+def test_articles_match_python_on_random_sources(spark, monkeypatch, block_bits, fan_bits):
+    """Blocks of four lines or one put block borders into every source, groups of two all levels."""
+    monkeypatch.setattr(articles, "BLOCK_BITS", block_bits)
+    monkeypatch.setattr(articles, "FAN_BITS", fan_bits)
     rng = random.Random(7)
     rows, expected = [], {}
     for s in range(300):

@@ -220,6 +220,13 @@ SQL["corpus_by_name"] = """SELECT md5(substr(text, 1, 131072)) AS digest,
 SQL["json_round_trip"] = """SELECT doc_id, md5(text) AS digest,
   (SELECT count(*) FROM documents)::BIGINT AS n_rows FROM documents"""
 
+SQL["file_list_order"] = """SELECT row_number() OVER (ORDER BY (doc_id + 1) % 3, doc_id) - 1 AS row_id,
+  doc_id, md5(text) AS digest FROM documents"""
+
+SQL["metrics_log"] = """SELECT run, 'report' AS command, 'none' AS model, lang, count(*)::BIGINT AS n,
+  round(avg(n_chars), 6) AS mean_chars FROM documents, (VALUES ('first'), ('second'), ('third')) AS r(run)
+GROUP BY run, lang"""
+
 SQL["bounded_rows"] = """SELECT doc_id AS row_id, text FROM documents ORDER BY doc_id LIMIT 100"""
 
 SQL["row_contract"] = """SELECT u.conv_id, u.turn,
@@ -315,13 +322,13 @@ SQL["pretokenized_filter"] = f"""SELECT row_id, {SAMPLE_COLUMNS} FROM (
 SQL["mixed_shape_samples"] = f"""WITH {PAIRS}, s AS (
   SELECT 0 AS part, * FROM ({lm_sample_rows(16, 256)})
   UNION ALL SELECT 1, * FROM ({sft_sample_rows(16, 256)})
-  UNION ALL SELECT 2, row_id, i, i FROM ({DOC_IDS}) WHERE lang = 'en' AND len(i) BETWEEN 16 AND 256)
+  UNION ALL SELECT 2, row_id, i, i FROM ({DOC_IDS}) WHERE len(i) BETWEEN 16 AND 256)
 SELECT row_id, part::BIGINT AS part, {SAMPLE_COLUMNS} FROM s"""
 
 SQL["mixed_eval_samples"] = f"""WITH {PAIRS}, s AS (
   SELECT 0 AS part, * FROM ({lm_sample_rows(16, 256)})
   UNION ALL SELECT 1, row_id, list_concat([1], {ids_of('p')}), NULL FROM ({sft_prompt_rows(256, 0)})
-  UNION ALL SELECT 2, row_id, i, i FROM ({DOC_IDS}) WHERE lang = 'en' AND len(i) BETWEEN 16 AND 256)
+  UNION ALL SELECT 2, row_id, i, i FROM ({DOC_IDS}) WHERE len(i) BETWEEN 16 AND 256)
 SELECT row_id, part::BIGINT AS part, {SAMPLE_COLUMNS} FROM s"""
 
 SQL["row_function"] = f"""SELECT doc_id AS row_id,
@@ -506,7 +513,7 @@ _LM = "sample_id % 2 = 0"
 SQL["news_plan_v1"] = (
     "WITH "
     + _news(
-        "SELECT doc_id, substr(text, 1, 131072) AS t FROM documents WHERE lang = 'fr'",
+        "SELECT doc_id, substr(text, 1, 131072) AS t FROM documents",
         "doc_id",
         C.NEWS_V1_PREFIX,
         f"({draw('doc_id', '42', repr('gain'))} % 4 + 1) * 128",
@@ -571,9 +578,9 @@ SELECT row_id, 'longdata copy', 2 * m // 128, m // 128, 2 * m FROM b WHERE m > 0
 
 SQL["distractor_mod_join"] = """WITH b AS (
   SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, substr(text, 1, 131072) AS t
-  FROM documents WHERE lang = 'de')
-SELECT d.doc_id AS row_id, md5(b.t) AS disturb
-FROM documents d JOIN b ON b.pos = d.doc_id % (SELECT count(*) FROM b)"""
+  FROM documents)
+SELECT d.doc_id + 7 AS row_id, md5(b.t) AS disturb
+FROM documents d JOIN b ON b.pos = (d.doc_id + 7) % (SELECT count(*) FROM b)"""
 
 SQL["distractor_random_join"] = f"""WITH b AS (
   SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, substr(text, 1, 2000) AS t

@@ -28,12 +28,28 @@ def write_feed(df: DataFrame, path: str, steps_per_file: int = 10_000) -> None:
     )
 
 
-def append_log(report: DataFrame, path: str, command: str, **extra: str) -> None:
-    """Append report rows with the time, the command and extra fields."""
+def append_log(
+    report: DataFrame, path: str, command: str, run: str | None = None, **extra: str
+) -> None:
+    """Append report rows with the time, the command and extra fields.
+
+    ``run`` names the job: its rows lie in a partition of their own, which the write
+    replaces when it commits. A job that is repeated, or was killed halfway and is
+    started again, then stands in the log once. Without it every call appends.
+    """
     stamped = report.select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd, HH:mm:ss").alias("logged_at"),
         F.lit(command).alias("command"),
         *[F.lit(v).alias(k) for k, v in extra.items()],
         *report.columns,
     )
-    stamped.write.mode("append").json(path)
+    if run is None:
+        stamped.write.mode("append").json(path)
+        return
+    (
+        stamped.withColumn("run", F.lit(run))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run")
+        .json(path)
+    )

@@ -1,7 +1,8 @@
 """Registered queries: each maps (spark, folder of tables) to a DataFrame.
 
 Sizes are scaled to the test tables (a chunk of 128 tokens rather than 1024);
-every query reads its tables whole.
+every query reads its tables whole. Where the number of draws is the feature
+(mixtures, exact samples, the bounded reader) it bounds the result.
 """
 
 from __future__ import annotations
@@ -158,7 +159,7 @@ def _news(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _news_v1_rows(spark: SparkSession, folder: str) -> DataFrame:
-    books = _docs(spark, folder).filter(F.col("lang") == "fr").select("row_id", "text")
+    books = _docs(spark, folder).select("row_id", "text")
     rows = mixing.distractor_by_position(_news(spark, folder), books)
     rows = samples.news_rows(rows, "lm").withColumn(
         "method", F.when(F.col("row_id") % 2 == 0, "lm").otherwise("distill")
@@ -294,6 +295,32 @@ def json_round_trip(spark, folder):
     return rows.select("doc_id", F.md5("text").alias("digest"), total.alias("n_rows"))
 
 
+@query
+def file_list_order(spark, folder):
+    """Documents in three folders of JSON lines, read as a list in another order."""
+    base = f"{shared_dir(spark).rstrip('/')}/listed-{uuid.uuid4().hex}"
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    parts = docs.withColumn("third", F.col("doc_id") % 3)
+    for third in range(3):
+        own = parts.filter(F.col("third") == third).drop("third")
+        sinks.write_json(own.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), f"{base}/{third}")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    rows = readers.read_json_lines(spark, [f"{base}/{third}" for third in (2, 0, 1)], schema)
+    return rows.select("row_id", "doc_id", F.md5("text").alias("digest"))
+
+
+@query
+def metrics_log(spark, folder):
+    """Reports of three runs, one of which was repeated: every run stands in the log once."""
+    path = f"{shared_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    report = _table(spark, folder, "documents").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("mean_chars")
+    )
+    for run in ("first", "second", "first", "third"):
+        sinks.append_log(report, path, "report", run=run, model="none")
+    return spark.read.json(path).select("run", "command", "model", "lang", "n", "mean_chars")
+
+
 @query
 def bounded_rows(spark, folder):
     """The first hundred documents in corpus order."""
@@ -506,11 +533,9 @@ def pretokenized_filter(spark, folder):
 
 
 def _mixed_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as text, instruction pairs, and English documents as ids."""
+    """Documents as text, instruction pairs, and documents as ids."""
     docs = _docs(spark, folder)
-    ids = _ids(docs.filter(F.col("lang") == "en")).select(
-        F.col("row_id"), "input_ids", F.col("input_ids").alias("labels")
-    )
+    ids = _ids(docs).select(F.col("row_id"), "input_ids", F.col("input_ids").alias("labels"))
     return samples.concatenate([docs.select("row_id", "text"), _pairs(spark, folder), ids])
 
 
@@ -658,9 +683,10 @@ def task_dispatch(spark, folder):
 
 @query
 def distractor_mod_join(spark, folder):
+    # Every document meets the one seven places on, counted in corpus order.
     docs = _docs(spark, folder)
-    books = docs.filter(F.col("lang") == "de").select("row_id", "text")
-    joined = mixing.distractor_by_position(docs.select("row_id"), books)
+    shifted = docs.select((F.col("row_id") + 7).alias("row_id"))
+    joined = mixing.distractor_by_position(shifted, docs.select("row_id", "text"))
     return joined.select("row_id", F.md5("disturb").alias("disturb"))
 
 

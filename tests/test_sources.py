@@ -255,3 +255,15 @@ def test_prepared_files(spark, tmp_path):
     assert [r["index"] for r in rows] == [1, 2, 3, 4, 5]
     assert rows[-1].labels is None and rows[-1].length == 3
     assert prepare.training_samples(spark, None) is None
+
+
+def test_a_repeated_run_is_logged_once(spark, tmp_path):
+    report = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "task string, avg double")
+    path = f"{tmp_path}/log"
+    for run, scale in (("one", 1), ("two", 1), ("one", 5)):
+        sinks.append_log(report.withColumn("avg", F.col("avg") * scale), path, "evaluate", run=run)
+    rows = spark.read.json(path).orderBy("run", "task").collect()
+    assert [(r.run, r.task, r.avg) for r in rows] == [("one", "a", 5.0), ("one", "b", 10.0), ("two", "a", 1.0), ("two", "b", 2.0)]
+    sinks.append_log(report, f"{tmp_path}/plain", "evaluate")
+    sinks.append_log(report, f"{tmp_path}/plain", "evaluate")
+    assert spark.read.json(f"{tmp_path}/plain").count() == 4

@@ -20,8 +20,9 @@ def mix_vectors(
 ) -> DataFrame:
     """Weighted sum of all vectors of a name, element by element.
 
-    With ``model``, every model must have every name; with ``fixed``, its
-    values must agree wherever a name occurs. Both are checked at once.
+    With ``model``, every model must have every name, and one weight that is the
+    same at all its names (if there are weights); with ``fixed``, its values must
+    agree wherever a name occurs. Both are checked at once.
 
     Without a weight column every vector of a name has weight 1 / count. The
     sums are combined before the shuffle, so a name that owns most vectors
@@ -29,6 +30,11 @@ def mix_vectors(
     """
     if model is not None:
         check_mix(df, model, name, None)
+        if weight:
+            given = F.count_distinct(weight) + F.count_if(F.col(weight).isNull())
+            odd = df.groupBy(model).agg(given.alias("n")).filter("n <> 1").limit(5).collect()
+            if odd:
+                raise ValueError(f"not one weight each for models {[r[0] for r in odd]}")
     if fixed is not None:
         odd = disagreeing_names(df, name, fixed).limit(5).collect()
         if odd:

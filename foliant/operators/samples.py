@@ -19,6 +19,7 @@ from foliant.functions import text as tx
 from foliant.functions import tokens as tk
 from foliant.operators.once import with_once
 from foliant.operators.ordered import shuffled_positions
+from foliant.operators.sizing import settle
 
 
 # --- shapes of raw rows ----------------------------------------------------
@@ -404,7 +405,9 @@ def sampled_corpus(
 ) -> DataFrame:
     """Token samples of both parts, each part cut to an exact random number.
 
-    ``row_id`` runs on over the raw rows of both parts.
+    ``row_id`` runs on over the raw rows of both parts. Samples are written once, so
+    that counting and choosing them does not tokenize twice; the choice reads ids of
+    what was written, and of the arrays only buckets that can hold chosen rows move.
     """
     parts = [
         lm_samples(texts, conf, min_length, max_length).withColumn("part", F.lit(0))
@@ -415,7 +418,7 @@ def sampled_corpus(
                 "part", F.lit(1)
             )
         )
-    both = reduce(lambda a, b: a.unionByName(b), parts)
+    both = settle(reduce(lambda a, b: a.unionByName(b), parts))
     kept = sample_per_source(both, per_source, "part", "row_id", seed, known_sources=2)
     return kept.withColumns(
         {"distill": F.lit(distill), "task_type": F.lit(C.SHIFTED_LABELS)}

@@ -217,6 +217,32 @@ SELECT source, article::BIGINT AS article, text FROM a WHERE article > 0 AND len
 SQL["corpus_by_name"] = """SELECT md5(substr(text, 1, 131072)) AS digest,
   'language modeling' AS task_type FROM documents"""
 
+_CLEANED = collapsed("(" + SQL["squeeze_symbols"] + ")")
+_NAMED = {
+    "minipile.train": "SELECT text AS body FROM documents",
+    "pg19.train": "SELECT text AS body FROM documents",
+    "pg19.test.256k": "SELECT substr(text, 1, 262144) AS body FROM documents",
+    "proof-pile.1m": "SELECT substr(text, 1, 1048576) AS body FROM documents",
+    "code-parrot.256k": "SELECT substr(text, 1, 262144) AS body FROM documents",
+    "redpajama arxiv sample.train.1m": "SELECT substr(text, 1, 1048576) AS body FROM documents WHERE doc_id % 2 = 0",
+    "redpajama book sample.train.128k": "SELECT substr(text, 1, 131072) AS body FROM documents LIMIT 10000",
+    "redpajama v2.train": "SELECT text AS body FROM documents WHERE lang = 'en'",
+    "longdata-corpus.128k": f"SELECT substr(text, 1, 131072) AS body FROM {_CLEANED}",
+    "longdata-corpus copy": f"SELECT text AS body FROM {_CLEANED}",
+    "longalpaca.train.true.deepspeed": "SELECT input || '|' || output AS body FROM pairs",
+}
+_TAGS = {"longdata-corpus copy": C.COPY_BACK, "longalpaca.train.true.deepspeed": C.QUESTION_ANSWERING}
+SQL["corpora_by_name"] = f"WITH {PAIRS} " + " UNION ALL ".join(
+    [
+        *[
+            f"SELECT '{name}' AS name, '{_TAGS.get(name, C.LANGUAGE_MODELING)}' AS task_type, md5(body) AS digest FROM ({rows})"
+            for name, rows in _NAMED.items()
+        ],
+        f"SELECT 'beacons', '{C.LANGUAGE_MODELING}', md5(text) FROM documents",
+        f"SELECT 'beacons', '{C.QUESTION_ANSWERING}', md5(input || '|' || output) FROM pairs",
+    ]
+)
+
 SQL["json_round_trip"] = """SELECT doc_id, md5(text) AS digest,
   (SELECT count(*) FROM documents)::BIGINT AS n_rows FROM documents"""
 

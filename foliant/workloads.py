@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -281,6 +282,57 @@ def corpus_by_name(spark, folder):
     return corpora.read("PG19. train .128k").select(F.md5("text").alias("digest"), "task_type")
 
 
+#: Corpora read in ``corpora_by_name``, with options.
+CORPUS_SPECS = (
+    "minipile.train",
+    "pg19.train",
+    "pg19.test.256k",
+    "proof-pile.1m",
+    "code-parrot.256k",
+    "redpajama arxiv sample.train.1m",
+    "redpajama book sample.train.128k",
+    "redpajama v2.train",
+    "longdata-corpus.128k",
+    "longdata-corpus copy",
+    "longalpaca.train.true.deepspeed",
+    "beacons",
+)
+
+
+@query
+def corpora_by_name(spark, folder):
+    """Twelve corpora by their names over the documents and the instruction pairs."""
+    base = f"{shared_dir(spark).rstrip('/')}/corpora-{uuid.uuid4().hex}"
+    docs, pairs = _table(spark, folder, "documents"), _pairs(spark, folder)
+    whole = f"{folder}/documents.parquet"
+    sinks.write_json(docs.select("text"), f"{base}/lines")
+    sinks.write_json(pairs.select("input", "output"), f"{base}/pairs")
+    pairs.select(F.col("input").alias("instruction"), "output").write.parquet(f"{base}/instructions")
+    docs.select(F.col("text").alias("raw_content"), "lang").write.parquet(f"{base}/web")
+    key = F.when(F.col("doc_id") % 2 == 0, "arxiv_id").otherwise("isbn")
+    meta = F.to_json(F.create_map(key, F.col("doc_id").cast("string")))
+    docs.select("text", meta.alias("meta")).write.parquet(f"{base}/papers")
+    corpora = Corpora(
+        spark,
+        {
+            **{name: whole for name in ("minipile", "pg19", "longdata-corpus")},
+            **{n: f"{base}/lines" for n in ("proof-pile", "code-parrot", "redpajama-book-sample", "redpajama-sample")},
+            "longalpaca-lines": f"{base}/pairs",
+            "longalpaca": f"{base}/instructions",
+            "redpajama-v2": f"{base}/web",
+            "redpajama-sample-1t": f"{base}/papers",
+        },
+    )
+    parts = []
+    for spec in CORPUS_SPECS:
+        rows = corpora.read(spec)
+        bodies = [F.col("text")] if "text" in rows.columns else []
+        if "prompt" in rows.columns:
+            bodies.append(F.concat_ws("|", "prompt", "response"))
+        parts.append(rows.select(F.lit(spec).alias("name"), "task_type", F.md5(F.coalesce(*bodies)).alias("digest")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def json_round_trip(spark, folder):
     """Documents written as JSON lines into the shared folder and read again."""

@@ -237,6 +237,11 @@ def test_mix_vectors(spark):
     even = parameters.assemble(parameters.mix_vectors(df, "name", "v"), "name")
     assert even.first().vector == [3.0, 4.0]
     assert parameters.assemble(parameters.mix_vectors(df, "name", "v", "w"), "name").first().vector == [4.0, 5.0]
+    assert parameters.mix_vectors(df, "name", "v", "w", model="model").count() == 2
+    for wrong in (F.lit(None).cast("double"), F.col("w") + F.size("v") * F.rand(1)):
+        several = df.unionByName(df.withColumn("name", F.lit("b"))).withColumn("w", wrong)
+        with pytest.raises(ValueError, match="weight"):
+            parameters.mix_vectors(several, "name", "v", "w", model="model")
     parameters.check_mix(df, "model", "name", [0.5, 0.5])
     with pytest.raises(ValueError):
         parameters.check_mix(df, "model", "name", [1.0])

@@ -19,21 +19,7 @@ def _strings(*names: str) -> T.StructType:
 
 
 TEXT = _strings("text")
-TEXT_META = _strings("text", "meta")
-WEB = _strings("raw_content", "lang")
 INSTRUCTION_LINES = _strings("input", "output")
-INSTRUCTION_TABLE = _strings("instruction", "output")
-ARTICLE_LINES = T.StructType(
-    [T.StructField("line_no", T.LongType()), T.StructField("text", T.StringType())]
-)
-NEWS = T.StructType(
-    [
-        T.StructField("story", T.StringType()),
-        T.StructField("questions", T.ArrayType(T.StringType())),
-        T.StructField("answers", T.ArrayType(T.ArrayType(T.StringType()))),
-        T.StructField("summary", T.StringType()),
-    ]
-)
 COPY_PAIRS = _strings("prompt", "response")
 MIXED_LINES = T.StructType(
     [
@@ -165,10 +151,6 @@ def read_mix(spark: SparkSession, path: str) -> list[C.MixEntry]:
     ]
 
 
-def read_job(spark: SparkSession, path: str) -> dict:
-    return _read_json(spark, path)
-
-
 def read_chunks(spark: SparkSession, path: str) -> C.Chunks:
     data = _read_json(spark, path)
     return C.Chunks(data["chunk_size"], data["num_memory"])

@@ -11,12 +11,6 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_parquet(
-    df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "errorifexists"
-) -> None:
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
-
-
 def write_feed(df: DataFrame, path: str, steps_per_file: int = 10_000) -> None:
     """A training feed as Parquet, ordered by step inside ranges of steps."""
     ranged = df.withColumn("step_range", F.expr(f"step div {steps_per_file}"))

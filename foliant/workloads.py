@@ -419,7 +419,7 @@ def vocab_topk(spark, folder):
 def vocab_encode(spark, folder):
     docs = _docs(spark, folder)
     vocab = vocabulary.build_vocabulary(docs, size=VOCABULARY)
-    return vocabulary.encode_with_vocabulary(docs, vocab, size=VOCABULARY)
+    return vocabulary.encode_with_vocabulary(docs, vocab)
 
 
 @query

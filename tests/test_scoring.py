@@ -197,11 +197,13 @@ def test_vocabulary(spark):
     docs = spark.createDataFrame(list(enumerate(DOCS)), "row_id bigint, text string")
     vocab = vocabulary.build_vocabulary(docs, size=2)
     assert [(r.word, r.token_id) for r in vocab.orderBy("token_id").collect()] == [("c", 4), ("b", 5)]
-    got = vocabulary.encode_with_vocabulary(docs, vocab, size=2)
+    docs = docs.unionByName(spark.createDataFrame([(99, None)], "row_id bigint, text string"))
+    got = vocabulary.encode_with_vocabulary(docs, vocab)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     ids = {r.row_id: r.input_ids for r in got.collect()}
-    big = vocabulary.encode_with_vocabulary(docs, vocab, size=2_000_000)
+    big = vocabulary.encode_with_vocabulary(docs, vocab, most=1)
     assert ids == {r.row_id: r.input_ids for r in big.collect()}
-    assert ids[1] == [3, 5, 4, 3] and ids[3] == []
+    assert ids[1] == [3, 5, 4, 3] and ids[3] == [] and ids[99] == []
 
 
 # --- context ---------------------------------------------------------------

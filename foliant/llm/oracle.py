@@ -83,10 +83,10 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _matches(kind: int, pattern: str, group: int, least: int) -> str:
+def _matches(kind: int, pattern: str, group: int, least: int, text: str = "text") -> str:
     p = _quoted(pattern)
-    return f"""SELECT doc_id, {kind} AS kind, {least} AS least, string_split_regex(text, {p}) AS gaps,
-    regexp_extract_all(text, {p}) AS hits, regexp_extract_all(text, {p}, {group}) AS own FROM t"""
+    return f"""SELECT doc_id, {kind} AS kind, {least} AS least, string_split_regex({text}, {p}) AS gaps,
+    regexp_extract_all({text}, {p}) AS hits, regexp_extract_all({text}, {p}, {group}) AS own FROM t"""
 
 
 _KINDS = " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(secret_scan.KINDS))
@@ -94,14 +94,19 @@ _SUSPECT = " AND ".join(f"NOT regexp_matches(body, {_quoted(p)})" for p in secre
 _MATCHES = " UNION ALL ".join(
     [
         *[_matches(k, p, g, n) for k, (_, p, g, n) in enumerate(secret_scan.PATTERNS)],
-        _matches(3, secret_scan.CANDIDATE, 0, secret_scan.WINDOW),
+        _matches(3, secret_scan.CANDIDATE, 0, secret_scan.WINDOW, "seen"),
+        *[_matches(4 + k, p, 0, secret_scan.WINDOW, "seen") for k, (p, _, _) in enumerate(secret_scan.HEX_PIECES)],
     ]
 )
 _W = secret_scan.WINDOW
+_SEEN = "text"
+for _word in "|".join(secret_scan.ALLOWED_WORDS).split("|"):
+    _SEEN = f"regexp_replace({_SEEN}, '(?i){_word}', '{' ' * len(_word)}', 'g')"
+_BITS_OF = " ".join(f"WHEN {4 + k} THEN {bits}" for k, (_, _, bits) in enumerate(secret_scan.HEX_PIECES))
 
 SECRET_SCAN = f"""
 WITH t AS (
-  SELECT doc_id, coalesce(text, '') AS text FROM documents
+  SELECT doc_id, text, {_SEEN} AS seen FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 ), m AS ({_MATCHES}), e AS (
   SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM m
 ), f AS (
@@ -111,18 +116,19 @@ WITH t AS (
 ), base AS (
   SELECT doc_id, kind, start, start + length(body) AS stop FROM f WHERE kind < 3
 ), windows AS (
-  SELECT doc_id, start, body, unnest(range(0, length(body) - {_W - 1})) AS o FROM f WHERE kind = 3 AND {_SUSPECT}
+  SELECT doc_id, kind, start, body, unnest(range(0, length(body) - {_W - 1})) AS o FROM f WHERE kind >= 3 AND {_SUSPECT}
 ), letters AS (
-  SELECT doc_id, start, body, o, substr(body, o + i, 1) AS c
+  SELECT doc_id, kind, start, body, o, substr(body, o + i, 1) AS c
   FROM (SELECT *, unnest(range(1, {_W + 1})) AS i FROM windows)
 ), sums AS (
-  SELECT doc_id, start, body, o, sum(n * log2(n)) AS s
-  FROM (SELECT doc_id, start, body, o, c, count(*) AS n FROM letters GROUP BY ALL) GROUP BY ALL
+  SELECT doc_id, kind, start, body, o, sum(n * log2(n)) AS s
+  FROM (SELECT doc_id, kind, start, body, o, c, count(*) AS n FROM letters GROUP BY ALL) GROUP BY ALL
 ), high AS (
-  SELECT doc_id, 3 AS kind, start + min(o) AS start, start + max(o) + {_W} AS stop FROM sums
-  WHERE s <= {_W} * (log2({_W}) - CASE WHEN regexp_matches(body, '^[0-9a-f]+$')
-    THEN {secret_scan.HEX_BITS} ELSE {secret_scan.KEY_BITS} END) + 1e-9
-  GROUP BY doc_id, sums.start, body
+  SELECT DISTINCT doc_id, 3 AS kind, start, stop FROM (
+    SELECT doc_id, start + min(o) AS start, start + max(o) + {_W} AS stop FROM sums
+    WHERE s <= {_W} * (log2({_W}) - CASE kind {_BITS_OF} ELSE CASE WHEN regexp_matches(body, '^[0-9a-f]+$')
+      THEN {secret_scan.HEX_BITS} ELSE {secret_scan.KEY_BITS} END END) + 1e-9
+    GROUP BY doc_id, sums.kind, sums.start, body)
 ), spans AS (
   SELECT * FROM base UNION ALL
   SELECT * FROM high h WHERE NOT EXISTS (
@@ -131,7 +137,7 @@ WITH t AS (
   SELECT *, CASE kind {_KINDS} END || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS word FROM spans
 ), by_doc AS (
   SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
-    string_agg(word, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(word, ',' ORDER BY start, kind) AS spans
+    string_agg(word, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(word, ',' ORDER BY start, kind, stop) AS spans
   FROM said GROUP BY doc_id
 )
 SELECT t.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,

@@ -1,17 +1,15 @@
 """Secrets in texts: three base patterns plus windows of high entropy.
 
-Entropy: every candidate string (a run of 20 or more key-like characters that
-holds letters and digits) is slid over with a window of 20 characters. The
+Entropy: every candidate string is slid over with a window of 20 characters. The
 counts of the window's characters change by one in and one out per step, and
 with them the sum of ``c * log2(c)`` from which the entropy follows. Character
-classes have thresholds of their own; an allow list suppresses identifiers,
-counting sequences and placeholders. Entropy spans that overlap a base span
-are not repeated.
+classes have candidates and thresholds of their own: runs of 20 or more key-like
+characters that hold letters and digits, and hex pieces of lower, of upper and of
+either case, whatever stands around them. An allow list suppresses identifiers and
+counting strings, and windows that overlap an allowed word, but nothing beside it.
 
-``scan`` takes the class and the allow list by candidate, as its SQL twin does.
-Masking goes further: hex strings of either case or both have classes of their
-own and are found in any surroundings, and an allowed word suppresses only the
-windows that overlap it.
+``scan`` lists each entropy span once and none that overlaps a base span. Masking
+keeps those too, so that what reaches beyond a base span is masked as well.
 
 Only DataFrame functions are used; a row's spans never leave its row, so there
 is no shuffle. Positions are code points, the end is exclusive.
@@ -60,7 +58,7 @@ ALLOWED = (
     r"^[A-Za-z+/_=-]*$",
 )
 
-# Fixed values of masking: hex pieces, whatever stands around them; words that no window may overlap.
+# Hex pieces, whatever stands around them; words that no window may overlap.
 MIXED_BITS = 3.2
 HEX_PIECES = (
     (r"[0-9a-f]{20,}", HEX_ALPHABET, HEX_BITS),
@@ -229,23 +227,22 @@ def _free(docs: DataFrame, name: str) -> str:
 def scan(docs: DataFrame, text: str = "text", out: str = "secrets", wide: bool = False) -> DataFrame:
     """Add an array of spans (start, kind number, end), in order of start and kind.
 
-    ``wide`` is what masking needs: its spans may overlap.
+    ``wide`` keeps entropy spans that overlap base spans, as masking needs them.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     names = {part: _free(docs, f"_secret_{part}") for part in ("text", "base", "more", "open")}
     df = with_once(docs, {names["text"]: whole})
-    body = F.col(names["text"])
+    body, seen = F.col(names["text"]), F.col(names["open"])
     base = F.concat(*[find(body, p, k, g, n) for k, (_, p, g, n) in enumerate(PATTERNS)])
-    if wide:
-        df = with_once(df, {names["open"]: _without_allowed(body)})
-    seen = F.col(names["open"]) if wide else body
-    df = with_once(df, {names["base"]: base, names["more"]: _entropy_spans(seen)})
+    df = with_once(df, {names["open"]: _without_allowed(body)})
+    high = F.array_distinct(F.concat(_entropy_spans(seen), _hex_spans(seen)))
+    df = with_once(df, {names["base"]: base, names["more"]: high})
     apart = F.filter(
         names["more"],
         lambda e: ~F.exists(names["base"], lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])),
     )
-    spans = [F.col(names["base"]), apart, *([_hex_spans(seen)] if wide else [])]
-    df = with_once(df, {out: F.sort_array(F.concat(*spans))})
+    spans = F.concat(names["base"], F.col(names["more"]) if wide else apart)
+    df = with_once(df, {out: F.sort_array(spans)})
     return df.drop(*names.values())
 
 

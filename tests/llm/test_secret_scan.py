@@ -23,17 +23,21 @@ def brute(text):
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
-    more = []
-    for m in re.finditer(op.CANDIDATE, text):
-        if any(re.search(p, m[0]) for p in op.ALLOWED):
-            continue
-        bits = op.HEX_BITS if re.fullmatch("[0-9a-f]+", m[0]) else op.KEY_BITS
-        high = [i for i in range(len(m[0]) - op.WINDOW + 1) if entropy(m[0][i : i + op.WINDOW]) >= bits - 1e-9]
-        if high:
-            span = (m.start() + high[0], 3, m.start() + high[-1] + op.WINDOW)
-            if not any(a < span[2] and span[0] < b for a, _, b in base):
-                more.append(span)
-    return sorted(base + more)
+    seen = text
+    for word in "|".join(op.ALLOWED_WORDS).split("|"):
+        seen = re.sub(word, " " * len(word), seen, flags=re.I | re.A)
+    more = set()
+    for pattern, bits in [(op.CANDIDATE, None), *[(p, b) for p, _, b in op.HEX_PIECES]]:
+        for m in re.finditer(pattern, seen):
+            if any(re.search(p, m[0]) for p in op.ALLOWED):
+                continue
+            least = bits or (op.HEX_BITS if re.fullmatch("[0-9a-f]+", m[0]) else op.KEY_BITS)
+            high = [i for i in range(len(m[0]) - op.WINDOW + 1) if entropy(m[0][i : i + op.WINDOW]) >= least - 1e-9]
+            if high:
+                span = (m.start() + high[0], 3, m.start() + high[-1] + op.WINDOW)
+                if not any(a < span[2] and span[0] < b for a, _, b in base):
+                    more.add(span)
+    return sorted(base + list(more))
 
 
 def random_texts():
@@ -103,6 +107,22 @@ def test_masking_hex_of_any_case_and_allowed_words(documents):
     assert all(w in got[len(rows) - 3 + k] for k, w in enumerate(("example", "sample", "PLACEHOLDER")))
 
 
+def test_share_found_by_class(documents):
+    """Bare random strings of every class, beside other characters and allowed words."""
+    rng = random.Random(3)
+    make = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    lower, upper = "0123456789abcdef", "0123456789ABCDEF"
+    classes = {
+        "upper 32": lambda: make(upper, 32), "upper 40": lambda: make(upper, 40), "upper 64": lambda: make(upper, 64),
+        "mixed 40": lambda: make(lower + "ABCDEF", 40), "id= lower 22": lambda: "id=" + make(lower, 22),
+        "key beside example": lambda: "example_" + make(string.ascii_letters + string.digits, 32),
+    }
+    texts = [(name, f"see {one()} there") for name, one in classes.items() for _ in range(60)]
+    got = spans_of(documents(list(enumerate(t for _, t in texts))))
+    found = Counter(texts[i][0] for i, spans in got.items() if spans)
+    assert {name: found[name] / 60 >= 0.95 for name in classes} == dict.fromkeys(classes, True)
+
+
 def test_plan_and_empty(documents):
     df = documents([(1, "x")])
     plan = op.scan(df)._jdf.queryExecution().executedPlan().toString()

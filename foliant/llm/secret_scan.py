@@ -9,7 +9,7 @@ either case, whatever stands around them. An allow list suppresses identifiers a
 counting strings, and windows that overlap an allowed word, but nothing beside it.
 
 ``scan`` lists each entropy span once and none that overlaps a base span. Masking
-keeps those too, so that what reaches beyond a base span is masked as well.
+keeps hex pieces that do, so that what reaches beyond a base span is masked as well.
 
 Only DataFrame functions are used; a row's spans never leave its row, so there
 is no shuffle. Positions are code points, the end is exclusive.
@@ -227,7 +227,7 @@ def _free(docs: DataFrame, name: str) -> str:
 def scan(docs: DataFrame, text: str = "text", out: str = "secrets", wide: bool = False) -> DataFrame:
     """Add an array of spans (start, kind number, end), in order of start and kind.
 
-    ``wide`` keeps entropy spans that overlap base spans, as masking needs them.
+    ``wide`` is what masking needs: hex pieces that overlap base spans, too.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     names = {part: _free(docs, f"_secret_{part}") for part in ("text", "base", "more", "open")}
@@ -235,14 +235,15 @@ def scan(docs: DataFrame, text: str = "text", out: str = "secrets", wide: bool =
     body, seen = F.col(names["text"]), F.col(names["open"])
     base = F.concat(*[find(body, p, k, g, n) for k, (_, p, g, n) in enumerate(PATTERNS)])
     df = with_once(df, {names["open"]: _without_allowed(body)})
-    high = F.array_distinct(F.concat(_entropy_spans(seen), _hex_spans(seen)))
-    df = with_once(df, {names["base"]: base, names["more"]: high})
+    runs, pieces = _entropy_spans(seen), _hex_spans(seen)
+    more = runs if wide else F.array_distinct(F.concat(runs, pieces))
+    df = with_once(df, {names["base"]: base, names["more"]: more})
     apart = F.filter(
         names["more"],
         lambda e: ~F.exists(names["base"], lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])),
     )
-    spans = F.concat(names["base"], F.col(names["more"]) if wide else apart)
-    df = with_once(df, {out: F.sort_array(spans)})
+    spans = [F.col(names["base"]), apart, *([pieces] if wide else [])]
+    df = with_once(df, {out: F.sort_array(F.concat(*spans))})
     return df.drop(*names.values())
 
 

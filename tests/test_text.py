@@ -3,6 +3,7 @@
 import random
 import re
 import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,31 @@ def test_symbol_runs(evaluate, before, after):
     assert evaluate(tx.squeeze_symbols(F.col("t")), t=(before, "string")) == after
 
 
+def test_symbol_runs_of_every_kind_of_character(evaluate):
+    """All ASCII characters, then letters, digits, blanks and signs beyond ASCII, one outside the BMP."""
+    chars = [chr(c) for c in range(1, 0x300)] + list("\u0661\u0430\u2003\u2028\uff21\U0001f600\U00010400")
+    text = "x".join(c * n for c in chars for n in (4, 5, 9))
+    assert evaluate(tx.squeeze_symbols(F.col("t")), t=(text, "string")) == squeeze(text)
+
+
+def test_squeezing_costs_little_more_than_splitting(spark):
+    """Both look at every character once; with a negated class in the group squeezing took far longer."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.substring(F.md5((F.col("id") + i).cast("string")), 1, 6))
+    texts = spark.range(0, 4000, 1, 2).select(F.array_join(words, " ").alias("t")).cache()
+    texts.count()
+
+    def seconds(column):
+        began = time.perf_counter()
+        texts.agg(F.sum(F.length(column))).collect()
+        return time.perf_counter() - began
+
+    text = F.col("t")
+    split = min(seconds(F.concat_ws("", F.split(text, "[ \t]"))) for _ in range(3))
+    squeezed = min(seconds(tx.squeeze_symbols(text)) for _ in range(3))
+    texts.unpersist()
+    assert squeezed < 2.5 * split
+
+
 @pytest.mark.parametrize(
     "before, after", [("abcabcabc", "abc"), ("aaaaaa", "aaa"), ("xyxyxy", "xyxyxy")]
 )

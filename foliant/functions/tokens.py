@@ -47,6 +47,43 @@ def tokenize(text: Column, conf: C.Tokens = C.Tokens(), add_bos: bool | None = N
     return word_ids(words(text), conf, add_bos)
 
 
+def first_words(text: Column, most: int) -> Column:
+    """The first ``most`` words; what follows them is not split."""
+    pieces = F.split(text, _BLANK + "+", max(most, 0) + 2)
+    return first_n(F.filter(pieces, lambda w: w != ""), most)
+
+
+def first_ids(
+    text: Column,
+    n: Column | int,
+    most: int,
+    conf: C.Tokens = C.Tokens(),
+    add_bos: bool | None = None,
+) -> Column:
+    """``first_n(tokenize(text), n)`` for an n up to ``most``; words behind it are not hashed."""
+    if conf.encoder is not None:
+        return first_n(tokenize(text, conf, add_bos), n)
+    return first_n(word_ids(first_n(first_words(text, most), n), conf, add_bos), n)
+
+
+def counted_ids(
+    text: Column, n: Column | int, conf: C.Tokens = C.Tokens(), add_bos: bool | None = None
+) -> Column:
+    """Struct of the number of ids (``size``) and the first n of them (``ids``).
+
+    All words are split and counted; those behind the first n are not hashed.
+    """
+    bos = 1 if (conf.add_bos if add_bos is None else add_bos) else 0
+    if conf.encoder is not None:
+        made, size, ids = tokenize(text, conf, add_bos), F.size, lambda a: first_n(a, n)
+    else:
+        made, size = words(text), lambda a: F.size(a) + bos
+        ids = lambda a: first_n(word_ids(first_n(a, n), conf, add_bos), n)
+    # The array goes through a lambda so that it is made once.
+    both = F.transform(F.array(made), lambda a: F.struct(size(a).alias("size"), ids(a).alias("ids")))
+    return F.get(both, F.lit(0))
+
+
 def decode(word_array: Column) -> Column:
     """Text of a word array; specials are not in it."""
     return F.array_join(word_array, " ")

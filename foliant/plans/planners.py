@@ -276,21 +276,29 @@ def copy_pair_violations(
     return sized.filter((F.col("prompt_length") != n) | (F.col("response_length") != n - 1))
 
 
-def _place_story(df: DataFrame, prefix: str, tokens: C.Tokens, position: Callable[[Column], Column]) -> DataFrame:
+def _place_story(
+    df: DataFrame, prefix: str, tokens: C.Tokens, position: Callable[[Column], Column], most: int
+) -> DataFrame:
     """Add ``_context``: the story inside distractor tokens, ``_budget`` long.
 
     ``position`` maps the number of distractor tokens to the insertion point.
     The prefix stands once before the distractors and once before the story.
-    A story that fills the budget by itself is cut to it.
+    A story that fills the budget by itself is cut to it. No budget is above
+    ``most``. The words of a story are all counted; only those of story and
+    distractor that the budget has room for are turned into ids.
     """
+    story = tx.news_context(F.col("context"), prefix)
     df = _ids(
         df,
-        _noise=tk.tokenize(F.col("disturb"), tokens, add_bos=False),
-        _story=tk.tokenize(tx.news_context(F.col("context"), prefix), tokens, add_bos=False),
+        _counted=tk.counted_ids(story, F.col("_budget"), tokens, add_bos=False),
         _prefix=tk.tokenize(F.lit(prefix), tokens),
     )
-    df = _ids(df, _room=F.col("_budget") - F.size("_story") - F.size("_prefix"))
-    df = _ids(df, _extra=tk.first_n(F.col("_noise"), F.col("_room")))
+    df = _ids(df, _room=F.col("_budget") - F.col("_counted.size") - F.size("_prefix"))
+    df = _ids(
+        df,
+        _story=F.col("_counted.ids"),
+        _extra=tk.first_ids(F.col("disturb"), F.col("_room"), most, tokens, add_bos=False),
+    )
     df = _ids(df, _at=F.coalesce(position(F.size("_extra")), F.lit(0)).cast("int"))
     inside = F.concat(
         F.col("_prefix"),
@@ -302,10 +310,13 @@ def _place_story(df: DataFrame, prefix: str, tokens: C.Tokens, position: Callabl
     return _ids(df, _context=F.when(F.col("_room") > 0, inside).otherwise(alone))
 
 
-def _turns(df: DataFrame, lead: str, tokens: C.Tokens, width: Column | int, cap: int) -> DataFrame:
+def _turns(
+    df: DataFrame, lead: str, tokens: C.Tokens, width: Column | int, cap: int, most: int
+) -> DataFrame:
     """Add ``_turns``: structs of ids, mask and the length of the turn before.
 
-    The turns are the questions with their answers and, last, the summary.
+    The turns are the questions with their answers and, last, the summary. No
+    ``width`` is above ``most``.
     """
     asked = F.transform(F.arrays_zip(F.col("questions"), F.col("answers")), lambda z: F.struct(
         tx.question_text(z["questions"], lead).alias("ask"),
@@ -317,14 +328,17 @@ def _turns(df: DataFrame, lead: str, tokens: C.Tokens, width: Column | int, cap:
         F.struct(F.lit(lead + C.SUMMARY_REQUEST).alias("ask"), F.col("summation").alias("reply"))
     )
 
+    def encoded(z):
+        # Made once per turn, in a transform of its own: both arrays of the turn read them.
+        return F.struct(*[tk.first_ids(z[side], width, most, tokens).alias(side) for side in ("ask", "reply")])
+
     def turn(z):
-        ask, reply = tk.tokenize(z["ask"], tokens), tk.tokenize(z["reply"], tokens)
         return F.struct(
-            tk.first_n(F.concat(ask, reply), width).alias("ids"),
-            tk.first_n(F.concat(tk.zeros(ask), tk.ones(reply)), width).alias("mask"),
+            tk.first_n(F.concat(z["ask"], z["reply"]), width).alias("ids"),
+            tk.first_n(F.concat(tk.zeros(z["ask"]), tk.ones(z["reply"])), width).alias("mask"),
         )
 
-    df = _ids(df, _bare=F.transform(F.concat(asked, summary), turn))
+    df = _ids(df, _bare=F.transform(F.transform(F.concat(asked, summary), encoded), turn))
     before = F.transform(
         F.col("_bare"),
         lambda t, i: F.when(
@@ -374,8 +388,9 @@ def news_plan_v1(
         C.NEWS_V1_PREFIX,
         tokens,
         lambda size: hashing.draw_below(size, F.col(row_id), seed, "place"),
+        truncation,
     )
-    df = _turns(df, "", tokens, n, n)
+    df = _turns(df, "", tokens, n, n, n)
     lm = F.col("method") == "lm"
 
     def turn_row(t):
@@ -427,8 +442,9 @@ def news_plan_v2(
         C.NEWS_V2_PREFIX,
         tokens,
         lambda size: hashing.draw_below(size - 2, F.col(row_id), seed, "place") + 1,
+        high,
     )
-    df = _turns(df, C.V2_LEAD, tokens, F.lit(window) - F.col("_budget"), n)
+    df = _turns(df, C.V2_LEAD, tokens, F.lit(window) - F.col("_budget"), n, window - low)
     context = F.transform(
         tk.chunk_arrays(F.col("_context"), n),
         lambda c: plan_row(segment="context", input_ids=c, forward_teacher=True),

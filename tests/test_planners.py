@@ -1,5 +1,7 @@
 """Samples and chunk plans on hand-worked rows."""
 
+import re
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -185,6 +187,13 @@ def test_news_plan_v1_long_story_fills_the_budget(spark):
     assert ids[: len(prefix)] == prefix and ids[len(prefix) : 2 * len(prefix) - 1] == prefix[1:]
 
 
+@pytest.mark.parametrize("plan", [planners.news_plan_v1, planners.news_plan_v2])
+def test_news_hashes_a_question_and_an_answer_once(spark, plan):
+    """Ids and mask of a turn come from one encoding, as do prefix, story and distractor."""
+    made = plan(news(spark, 3000), C.Chunks(64, 2))._jdf.queryExecution().analyzed().toString()
+    assert len(re.findall(r"md5\(cast\(lambda", made)) == 5
+
+
 def test_news_plan_v2(spark):
     rows = collected(
         planners.news_plan_v2(news(spark), C.Chunks(64, 2), window=256, low=192, high=224)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant import config as C
 from foliant.functions import tokens as tk
+from foliant.operators import scoring
 
 INTS = "array<int>"
 
@@ -124,3 +125,23 @@ def test_random_ids_repeat_and_stay_below_the_vocabulary(evaluate):
     again = evaluate(tk.random_ids(F.lit(5), 200, 50), a=ints([]))
     assert made == again and len(made) == 200
     assert min(made) >= 0 and max(made) < 49 and len(set(made)) > 30
+
+
+@pytest.mark.parametrize("encoded", [False, True])
+def test_first_ids_are_the_start_of_all_ids(spark, encoded):
+    texts = ["", None, " ", "a", " a b", "a  b\t\n c ", "\n\x0b a\x0cb\r\rc d e f g ", "x\u00a0y \u2003 z " * 9]
+    df = spark.createDataFrame([(t, n) for t in texts for n in (None, -1, 0, 1, 2, 3, 5, 40)], "t string, n int")
+    encoder = scoring.text_encoder(lambda: lambda t: [len(w) + 10 for w in t.split()])
+    conf = C.Tokens(encoder=encoder) if encoded else C.Tokens()
+    n = F.col("n")
+    for bos in (False, True):
+        ids = tk.tokenize(F.col("t"), conf, bos)
+        counted = tk.counted_ids(F.col("t"), n, conf, bos)
+        rows = df.select(
+            F.struct(tk.first_n(ids, n), F.size(ids), tk.first_n(ids, n)).alias("expected"),
+            F.struct(tk.first_ids(F.col("t"), n, 40, conf, bos), counted["size"], counted["ids"]).alias("got"),
+        ).collect()
+        assert len(rows) == 64 and all(tuple(r.got) == tuple(r.expected) for r in rows)
+    for most in (0, 1, 2, 3):
+        rows = df.select(tk.first_words(F.col("t"), most).alias("got"), tk.first_n(tk.words(F.col("t")), most).alias("all"))
+        assert all(r.got == r["all"] for r in rows.collect())

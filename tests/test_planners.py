@@ -194,6 +194,16 @@ def test_news_hashes_a_question_and_an_answer_once(spark, plan):
     assert len(re.findall(r"md5\(cast\(lambda", made)) == 5
 
 
+def test_dispatched_news_hash_as_little(spark):
+    rows = news(spark, 3000).withColumn("answers", F.transform("answers", lambda a: F.array(a, F.lit("other"))))
+    rows = rows.withColumn("task_type", F.lit(C.NEWS_V1))
+    planned = planners.plan_tasks(rows, C.Chunks(64, 2), C.Tokens(), 192, override=C.NEWS_V1, seed=42)
+    made = planned._jdf.queryExecution().analyzed().toString()
+    assert len(re.findall(r"md5\(cast\(lambda", made)) == 5
+    alone = planners.news_plan_v1(news(spark, 3000), C.Chunks(64, 2), truncation=192)
+    assert [r.input_ids for r in collected(planned)] == [r.input_ids for r in collected(alone)]
+
+
 def test_news_plan_v2(spark):
     rows = collected(
         planners.news_plan_v2(news(spark), C.Chunks(64, 2), window=256, low=192, high=224)

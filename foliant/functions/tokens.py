@@ -7,6 +7,12 @@ empty array for ``slice(a, -k, n)`` with k above the size, and
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,6 +90,32 @@ def counted_ids(
     return F.get(both, F.lit(0))
 
 
+def word_encoder(vocab_size: int) -> Callable[[Column], Column]:
+    """The word tokenizer over Arrow batches, as an ``encoder`` of ``C.Tokens``.
+
+    The ids are those of ``word_ids`` without bos. A word is hashed once per batch,
+    not once per occurrence; the words of a batch are forgotten after it.
+    """
+
+    def ids_of(found: pa.Array) -> np.ndarray:
+        digests = (hashlib.md5(w).digest() for w in found.cast(pa.binary()).to_pylist())
+        made = (int.from_bytes(d[:3], "big") % vocab_size + 3 for d in digests)
+        return np.fromiter(made, np.int32, len(found))
+
+    @F.arrow_udf("array<int>")
+    def encode(text: pa.Array) -> pa.Array:
+        pieces = pc.ascii_split_whitespace(text)
+        coded = pieces.values.dictionary_encode()
+        # Blanks at either end leave an empty piece.
+        word = pc.binary_length(pieces.values).to_numpy(zero_copy_only=False) > 0
+        ids = ids_of(coded.dictionary)[coded.indices.to_numpy()][word]
+        before = np.concatenate([[0], np.cumsum(word)]).astype(np.int32)
+        ends = pa.array(before[pieces.offsets.to_numpy()])
+        return pa.ListArray.from_arrays(ends, pa.array(ids), mask=text.is_null())
+
+    return encode
+
+
 def decode(word_array: Column) -> Column:
     """Text of a word array; specials are not in it."""
     return F.array_join(word_array, " ")

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant import config as C
 from foliant.functions import tokens as tk
@@ -21,6 +24,9 @@ from foliant.operators.sizing import settle
 # most HOT_SHARE of them, which bounds what is broadcast.
 HOT_SHARE = 200_000
 
+# Pairs a task combines at a time, and tokens per bucket of the counts.
+COMBINED, BUCKET = 1 << 21, 1 << 20
+
 
 # --- per position ----------------------------------------------------------
 
@@ -204,31 +210,104 @@ def token_pairs(
     of a chunk has no predecessor. A sample without pairs leaves one row with null
     tokens.
     """
-    known = F.coalesce(ids, F.array().cast("array<int>"))
-    pairs = F.arrays_zip(tk.drop_last(known).alias("prev"), tk.drop_first(known).alias("tok"))
-    rows = df.select(keep, F.posexplode_outer(pairs).alias("_at", "_p"))
+    known = df.select(keep, F.coalesce(ids, F.array().cast("array<int>")).alias("_ids"))
+    # The array stays beside its positions: structs of two tokens would be made for every pair.
+    rows = known.select(keep, "_ids", F.posexplode_outer("_ids").alias("_at", "_prev"))
     at = F.coalesce("_at", F.lit(0)) + 1
-    valid = F.col("_at").isNotNull() & (at % chunk_size != 0)
+    valid = F.col("_at").isNotNull() & (at < F.size("_ids")) & (at % chunk_size != 0)
     band = F.lit(len(cuts) - 1)
     for k, cut in reversed(list(enumerate(cuts))):
         if cut is not None:
             band = F.when(at < cut, F.lit(k)).otherwise(band)
     return rows.filter(valid | (at == 1)).select(
-        keep, band.alias("band"), *[F.when(valid, F.col("_p")[n]).alias(n) for n in ("prev", "tok")]
+        keep,
+        band.alias("band"),
+        F.when(valid, F.col("_prev")).alias("prev"),
+        F.when(valid, F.get("_ids", at)).alias("tok"),
     )
 
 
-def fit_bigrams(pairs: DataFrame) -> DataFrame:
+def count_pairs(df: DataFrame, chunk_size: int, ids: str = "input_ids") -> DataFrame:
+    """Occurrences ``n`` of each (prev, tok) of the pairs that ``token_pairs`` finds.
+
+    Pairs are taken from whole batches of arrays, both tokens packed into one number. A task
+    combines about ``COMBINED`` pairs at a time by sorting them and deals what is left to buckets,
+    one per ``BUCKET`` tokens of all; a bucket adds up its parts. A pair comes once per
+    such turn, however frequent it is.
+    """
+
+    def counted(rows: DataFrame) -> DataFrame:
+        pairs = token_pairs(rows.select(F.lit(0).alias("_all"), ids), chunk_size, keep="_all", ids=ids)
+        known = pairs.filter(F.col("prev").isNotNull())
+        return known.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("n"))
+
+    if df.schema[ids].dataType.elementType != T.IntegerType():
+        return counted(df)  # two longs do not fit into one number
+    holed = F.coalesce(F.exists(ids, lambda x: x.isNull()), F.lit(False))
+    tokens, n_holed = df.agg(F.sum(F.size(ids)), F.count_if(holed)).first()
+    buckets = max((tokens or 0) // BUCKET, 1)
+
+    def tally(packed: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(packed)
+        packed, n = packed[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]]))
+        return packed[first], np.add.reduceat(n, first)
+
+    def packed_pairs(lists: pa.ListArray) -> np.ndarray:
+        ends = lists.offsets.to_numpy()
+        sizes = np.diff(ends)
+        values = lists.values.to_numpy()[ends[0] : ends[-1]].astype(np.int64)
+        at = np.arange(1, len(values) + 1) - np.repeat(ends[:-1] - ends[0], sizes)
+        found = np.flatnonzero((at < np.repeat(sizes, sizes)) & (at % chunk_size != 0))
+        return values[found] << 32 | values[found + 1] & 0xFFFFFFFF
+
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        packed, n = np.unique(np.concatenate(held), return_counts=True)
+        mixed = packed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        sizes = np.bincount(bucket, minlength=buckets)
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v[order])) for v in (packed, n)]
+        numbers = pa.array(np.arange(buckets, dtype=np.int32))
+        rows = pa.RecordBatch.from_arrays([numbers, *lists], ["bucket", "pairs", "ns"])
+        return rows.filter(pa.array(sizes > 0))
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(packed_pairs(batch.column(0)))
+            size += len(held[-1])
+            if size >= COMBINED:
+                yield dealt(held)
+                held, size = [], 0
+        if size:
+            yield dealt(held)
+
+    def add_up(parts: pa.Table) -> pa.Table:
+        packed, n = (parts.column(c).combine_chunks().flatten().to_numpy() for c in ("pairs", "ns"))
+        packed, n = tally(packed, n)
+        found = {"prev": (packed >> 32).astype(np.int32), "tok": packed.astype(np.int32), "n": n}
+        return pa.table(found)
+
+    arrays = df.filter(F.col(ids).isNotNull() & ~holed).select(ids)
+    parts = arrays.mapInArrow(combine, "bucket int, pairs array<bigint>, ns array<bigint>")
+    counts = parts.groupBy("bucket").applyInArrow(add_up, "prev int, tok int, n bigint")
+    if not n_holed:
+        return counts
+    both = counts.unionByName(counted(df.filter(holed)))
+    return both.groupBy("prev", "tok").agg(F.sum("n").alias("n"))
+
+
+def fit_bigrams(counts: DataFrame) -> DataFrame:
     """Add-one bigram model: ``ln((n(a, b) + 1) / (n(a) + V))`` per seen bigram.
 
-    ``pairs`` has ``prev`` and ``tok``; null ones do not count. V counts the distinct tokens
-    of all pairs. Pairs are combined before the shuffle, so a frequent pair costs one
-    row per task. The counts are written out once: they are used four times below and
-    in scoring, and are far smaller than the text they come from. Counts of first
-    tokens have a row per token of the vocabulary at most, and are broadcast.
+    ``counts`` has each ``prev``, ``tok`` once with its number ``n``, as ``count_pairs`` makes
+    them. V counts the distinct tokens of all pairs. The counts are written out once: they are
+    used four times below and in scoring, and are far smaller than the text they come from.
+    Counts of first tokens have a row per token of the vocabulary at most, and are broadcast.
     """
-    known = pairs.filter(F.col("prev").isNotNull())
-    counts = settle(known.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("n")))
+    counts = settle(counts)
     firsts = counts.groupBy("prev").agg(F.sum("n").alias("n_prev"))
     ends = counts.select(F.explode(F.array("prev", "tok")).alias("t"))
     vocab = ends.agg(F.count_distinct("t").alias("v")).scalar()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -53,7 +54,7 @@ def perplexity_samples(
     falls into the band of the shortest truncation that contains it. A
     truncation sums its own band and all shorter ones.
 
-    Token ids are written once; the bigram model is fitted on the pairs in that table
+    Token ids are written once, words hashed on batches; the bigram model is fitted on that table
     and scores the same table. ``model`` is
     another model, ``training`` other texts to fit on, and ``only`` the ids to score.
     Documents without a scored token are left out, or kept with a null perplexity
@@ -63,6 +64,9 @@ def perplexity_samples(
     if None in truncations:
         ordered.append(None)
 
+    if tokens.encoder is None:
+        tokens = replace(tokens, encoder=tk.word_encoder(tokens.vocab_size))
+
     def ids_of(df: DataFrame) -> DataFrame:
         ids = tk.tokenize(F.col(text), tokens).alias("input_ids")
         return settle(df.select(F.col(row_id).cast("bigint").alias("sample_id"), ids))
@@ -72,10 +76,11 @@ def perplexity_samples(
     n = chunks.chunk_size
     if model is not None and only is not None:
         docs = docs.join(only.select(row_id), row_id, "left_semi")
-    pairs = scoring.token_pairs(ids_of(docs), n, cuts)
+    own = ids_of(docs)
+    pairs = scoring.token_pairs(own, n, cuts)
     if model is None:
-        own = pairs if training is None else scoring.token_pairs(ids_of(training), n)
-        model = scoring.fit_bigrams(own)
+        fitted_on = own if training is None else ids_of(training)
+        model = scoring.fit_bigrams(scoring.count_pairs(fitted_on, n))
     scorable = pairs.filter(F.col("band") < len(ordered))
     if only is not None:
         chosen = only.select(F.col(row_id).cast("bigint").alias("sample_id"))

@@ -169,6 +169,28 @@ def test_pairs_and_their_bands(spark, cuts, n):
     assert {r.sample_id for r in got} == {i for i, _ in rows}
 
 
+@pytest.mark.parametrize("n", [1, 4])
+@pytest.mark.parametrize("kind", ["int", "bigint"])
+def test_pairs_are_counted_as_token_pairs_finds_them(spark, monkeypatch, n, kind):
+    """Several turns and buckets, negative ids, null ids beside them, and arrays without pairs."""
+    monkeypatch.setattr(scoring, "COMBINED", 50)
+    monkeypatch.setattr(scoring, "BUCKET", 40)
+    rng = random.Random(4)
+    ids = [-2, 0, 3, 2**31 - 1, -(2**31)]
+    rows = [(i, [rng.choice(ids) for _ in range(rng.randrange(40))]) for i in range(60)] + [(90, []), (91, [7]), (92, None)]
+    for holes in ([], [(93, [0, None, 3, 3, 3, 0]), (94, [None])]):
+        df = spark.createDataFrame(rows + holes, f"sample_id bigint, input_ids array<{kind}>").repartition(3)
+        expected = Counter((r.prev, r.tok) for r in scoring.token_pairs(df, n).collect() if r.prev is not None)
+        got = scoring.count_pairs(df, n).collect()
+        assert {(r.prev, r.tok): r.n for r in got} == expected and len(got) == len(expected)
+
+
+def test_no_struct_is_made_per_pair(spark):
+    df = spark.createDataFrame([(1, [1, 2])], "sample_id bigint, input_ids array<int>")
+    plan = scoring.token_pairs(df, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip" not in plan
+
+
 def test_unscored_samples_are_counted(spark):
     docs = spark.createDataFrame([(0, "a b c"), (1, ""), (2, None), (3, "b c")], "row_id bigint, text string")
     tasks = [C.Task(C.PERPLEXITY, "d", None, None), C.Task(C.PERPLEXITY, "d", 2, 1), C.Task(C.PERPLEXITY, "d", 3, 2)]

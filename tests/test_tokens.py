@@ -145,3 +145,12 @@ def test_first_ids_are_the_start_of_all_ids(spark, encoded):
     for most in (0, 1, 2, 3):
         rows = df.select(tk.first_words(F.col("t"), most).alias("got"), tk.first_n(tk.words(F.col("t")), most).alias("all"))
         assert all(r.got == r["all"] for r in rows.collect())
+
+
+def test_word_encoder_gives_the_ids_of_words(spark):
+    texts = ["", None, " ", "a", " a b", "a  b\t\n c a", "\n\x0b a\x0cb\r\rc \x1c \x85 d", "x\u00a0y \u2003 \U0001f600 é " * 9]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    for bos, size in ((False, 32000), (True, 50)):
+        made = tk.tokenize(F.col("t"), C.Tokens(size, encoder=tk.word_encoder(size)), bos)
+        rows = df.select(tk.tokenize(F.col("t"), C.Tokens(size), bos).alias("expected"), made.alias("got")).collect()
+        assert len(rows) == len(texts) and all(r.got == r.expected for r in rows)

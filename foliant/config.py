@@ -92,12 +92,14 @@ class Tokens:
 
     ``encoder`` replaces it by any function from a text column to an
     ``ARRAY<INT>`` column without bos, such as ``scoring.text_encoder`` makes
-    from a Python tokenizer.
+    from a Python tokenizer. ``list_encoder`` does the same for a column of
+    text lists and the most ids wanted of each text.
     """
 
     vocab_size: int = 32000
     add_bos: bool = True
     encoder: Callable | None = None
+    list_encoder: Callable | None = None
 
 
 @dataclass(frozen=True)

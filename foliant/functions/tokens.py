@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ def word_id(word: Column, vocab_size: int) -> Column:
     return (hashing.hex_to_long(F.md5(word), 6) % vocab_size + 3).cast("int")
 
 
-def _with_bos(ids: Column, conf: C.Tokens, add_bos: bool | None) -> Column:
+def with_bos(ids: Column, conf: C.Tokens, add_bos: bool | None = None) -> Column:
     wanted = conf.add_bos if add_bos is None else add_bos
     return F.concat(F.array(F.lit(C.BOS)), ids) if wanted else ids
 
@@ -44,12 +45,12 @@ def _with_bos(ids: Column, conf: C.Tokens, add_bos: bool | None) -> Column:
 def word_ids(word_array: Column, conf: C.Tokens = C.Tokens(), add_bos: bool | None = None) -> Column:
     if conf.encoder is not None:
         raise ValueError("this sample is cut by words and needs the word tokenizer")
-    return _with_bos(F.transform(word_array, lambda w: word_id(w, conf.vocab_size)), conf, add_bos)
+    return with_bos(F.transform(word_array, lambda w: word_id(w, conf.vocab_size)), conf, add_bos)
 
 
 def tokenize(text: Column, conf: C.Tokens = C.Tokens(), add_bos: bool | None = None) -> Column:
     if conf.encoder is not None:
-        return _with_bos(conf.encoder(text), conf, add_bos)
+        return with_bos(conf.encoder(text), conf, add_bos)
     return word_ids(words(text), conf, add_bos)
 
 
@@ -90,6 +91,18 @@ def counted_ids(
     return F.get(both, F.lit(0))
 
 
+def _word_hasher(vocab_size: int) -> Callable[[pa.Array], np.ndarray]:
+    """``word_id`` of the distinct words of a batch; nested, so that it travels with the encoders."""
+
+    def ids_of(found: pa.Array) -> np.ndarray:
+        each = found.cast(pa.binary()).to_numpy(zero_copy_only=False)
+        digests = b"".join([hashlib.md5(w).digest() for w in each])
+        first = np.frombuffer(digests, np.uint8).reshape(-1, 16)[:, :3].astype(np.int32)
+        return (first @ np.array([65536, 256, 1], np.int32)) % vocab_size + 3
+
+    return ids_of
+
+
 def word_encoder(vocab_size: int) -> Callable[[Column], Column]:
     """The word tokenizer over Arrow batches, as an ``encoder`` of ``C.Tokens``.
 
@@ -97,10 +110,7 @@ def word_encoder(vocab_size: int) -> Callable[[Column], Column]:
     not once per occurrence; the words of a batch are forgotten after it.
     """
 
-    def ids_of(found: pa.Array) -> np.ndarray:
-        digests = (hashlib.md5(w).digest() for w in found.cast(pa.binary()).to_pylist())
-        made = (int.from_bytes(d[:3], "big") % vocab_size + 3 for d in digests)
-        return np.fromiter(made, np.int32, len(found))
+    ids_of = _word_hasher(vocab_size)
 
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
@@ -116,6 +126,56 @@ def word_encoder(vocab_size: int) -> Callable[[Column], Column]:
     return encode
 
 
+def word_list_encoder(vocab_size: int) -> Callable[[Column, int], Column]:
+    """The word tokenizer over Arrow batches, as a ``list_encoder`` of ``C.Tokens``.
+
+    Every text of a list becomes its first ``most`` ids without bos; a null text
+    stays null. Words behind them are not hashed, the others once per batch. A
+    batch is split some hundred lists at a time, which bounds what is held.
+    """
+
+    ids_of, at_once = _word_hasher(vocab_size), 500
+
+    def ends(sizes: list[np.ndarray]) -> pa.Array:
+        return pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
+
+    def first_words(flat: pa.Array, most: int) -> tuple[np.ndarray, pa.DictionaryArray]:
+        pieces = pc.ascii_split_whitespace(flat)
+        # Blanks at either end leave an empty piece.
+        at = np.flatnonzero(pc.binary_length(pieces.values).to_numpy(zero_copy_only=False))
+        bounds = np.searchsorted(at, pieces.offsets.to_numpy())
+        n = np.diff(bounds)
+        place = np.arange(len(at)) - np.repeat(bounds[:-1], n)
+        kept = pieces.values.take(pa.array(at[place < most]))
+        return np.minimum(n, most), kept.dictionary_encode()
+
+    def encode(texts: Column, most: int) -> Column:
+        @F.arrow_udf("array<array<int>>")
+        def encode_lists(texts: pa.Array) -> pa.Array:
+            flat = [texts.slice(i, at_once).flatten() for i in range(0, max(len(texts), 1), at_once)]
+            sizes, coded = zip(*[first_words(f, most) for f in flat], strict=True)
+            coded = pa.chunked_array(coded).unify_dictionaries()
+            id_of = ids_of(coded.chunk(0).dictionary)
+            ids = np.concatenate([id_of[c.indices.to_numpy()] for c in coded.chunks])
+            nulls = pa.concat_arrays([f.is_null() for f in flat])
+            inner = pa.ListArray.from_arrays(ends(sizes), pa.array(ids, pa.int32()), mask=nulls)
+            lists = pc.fill_null(pc.list_value_length(texts), 0).to_numpy()
+            return pa.ListArray.from_arrays(ends([lists]), inner, mask=texts.is_null())
+
+        return encode_lists(texts)
+
+    return encode
+
+
+def in_batches(conf: C.Tokens = C.Tokens()) -> C.Tokens:
+    """The word tokenizer of ``conf`` with its words hashed over Arrow batches."""
+    if conf.encoder is not None:
+        raise ValueError("only the word tokenizer has a form over batches")
+    return replace(
+        conf, encoder=word_encoder(conf.vocab_size), list_encoder=word_list_encoder(conf.vocab_size)
+    )
+
+
 def decode(word_array: Column) -> Column:
     """Text of a word array; specials are not in it."""
     return F.array_join(word_array, " ")

@@ -276,6 +276,22 @@ def copy_pair_violations(
     return sized.filter((F.col("prompt_length") != n) | (F.col("response_length") != n - 1))
 
 
+def _encode_news(df: DataFrame, prefix: str, lead: str, tokens: C.Tokens, most: int) -> DataFrame:
+    """Add ``_texts``, what a list encoder makes of a news row in one pass.
+
+    The ids of prefix, story and distractor and of both sides of every turn,
+    without bos and no more than ``most`` of each.
+    """
+    if tokens.list_encoder is None:
+        return df
+    told = F.array(F.lit(prefix), tx.news_context(F.col("context"), prefix), F.col("disturb"))
+    sides = F.transform(_turn_texts(lead), lambda z: F.array(z["ask"], z["reply"]))
+    texts = F.concat(told, F.flatten(sides))
+    if _MINE in df.columns:
+        texts = F.when(F.col(_MINE), texts)
+    return _ids(df, _texts=tokens.list_encoder(texts, most))
+
+
 def _place_story(
     df: DataFrame, prefix: str, tokens: C.Tokens, position: Callable[[Column], Column], most: int
 ) -> DataFrame:
@@ -285,20 +301,22 @@ def _place_story(
     The prefix stands once before the distractors and once before the story.
     A story that fills the budget by itself is cut to it. No budget is above
     ``most``. The words of a story are all counted; only those of story and
-    distractor that the budget has room for are turned into ids.
+    distractor that the budget has room for are turned into ids. A list encoder
+    stops at ``most`` ids: whatever follows them, such a story leaves no room.
     """
-    story = tx.news_context(F.col("context"), prefix)
-    df = _ids(
-        df,
-        _counted=tk.counted_ids(story, F.col("_budget"), tokens, add_bos=False),
-        _prefix=tk.tokenize(F.lit(prefix), tokens),
-    )
+    if tokens.list_encoder is not None:
+        story = F.get("_texts", F.lit(1))
+        counted = F.struct(F.size(story).alias("size"), tk.first_n(story, F.col("_budget")).alias("ids"))
+        lead = tk.with_bos(F.get("_texts", F.lit(0)), tokens)
+        noise = lambda n: tk.first_n(F.get("_texts", F.lit(2)), n)
+    else:
+        story = tx.news_context(F.col("context"), prefix)
+        counted = tk.counted_ids(story, F.col("_budget"), tokens, add_bos=False)
+        lead = tk.tokenize(F.lit(prefix), tokens)
+        noise = lambda n: tk.first_ids(F.col("disturb"), n, most, tokens, add_bos=False)
+    df = _ids(df, _counted=counted, _prefix=lead)
     df = _ids(df, _room=F.col("_budget") - F.col("_counted.size") - F.size("_prefix"))
-    df = _ids(
-        df,
-        _story=F.col("_counted.ids"),
-        _extra=tk.first_ids(F.col("disturb"), F.col("_room"), most, tokens, add_bos=False),
-    )
+    df = _ids(df, _story=F.col("_counted.ids"), _extra=noise(F.col("_room")))
     df = _ids(df, _at=F.coalesce(position(F.size("_extra")), F.lit(0)).cast("int"))
     inside = F.concat(
         F.col("_prefix"),
@@ -310,14 +328,8 @@ def _place_story(
     return _ids(df, _context=F.when(F.col("_room") > 0, inside).otherwise(alone))
 
 
-def _turns(
-    df: DataFrame, lead: str, tokens: C.Tokens, width: Column | int, cap: int, most: int
-) -> DataFrame:
-    """Add ``_turns``: structs of ids, mask and the length of the turn before.
-
-    The turns are the questions with their answers and, last, the summary. No
-    ``width`` is above ``most``.
-    """
+def _turn_texts(lead: str) -> Column:
+    """Structs of the two sides of each turn: the questions with their answers and, last, the summary."""
     asked = F.transform(F.arrays_zip(F.col("questions"), F.col("answers")), lambda z: F.struct(
         tx.question_text(z["questions"], lead).alias("ask"),
         tx.answer_text(z["answers"], lead).alias("reply"),
@@ -327,7 +339,16 @@ def _turns(
     summary = F.array(
         F.struct(F.lit(lead + C.SUMMARY_REQUEST).alias("ask"), F.col("summation").alias("reply"))
     )
+    return F.concat(asked, summary)
+
 
+def _turns(
+    df: DataFrame, lead: str, tokens: C.Tokens, width: Column | int, cap: int, most: int
+) -> DataFrame:
+    """Add ``_turns``: structs of ids, mask and the length of the turn before.
+
+    No ``width`` is above ``most``.
+    """
     def encoded(z):
         # Made once per turn, in a transform of its own: both arrays of the turn read them.
         return F.struct(*[tk.first_ids(z[side], width, most, tokens).alias(side) for side in ("ask", "reply")])
@@ -338,7 +359,13 @@ def _turns(
             tk.first_n(F.concat(tk.zeros(z["ask"]), tk.ones(z["reply"])), width).alias("mask"),
         )
 
-    df = _ids(df, _bare=F.transform(F.transform(F.concat(asked, summary), encoded), turn))
+    if tokens.list_encoder is not None:
+        sides = F.transform(tk.chunk_arrays(tk.drop_first(F.col("_texts"), 3), 2), lambda z: F.struct(
+            *[tk.with_bos(F.get(z, F.lit(i)), tokens).alias(side) for i, side in enumerate(("ask", "reply"))]
+        ))
+    else:
+        sides = F.transform(_turn_texts(lead), encoded)
+    df = _ids(df, _bare=F.transform(sides, turn))
     before = F.transform(
         F.col("_bare"),
         lambda t, i: F.when(
@@ -382,6 +409,7 @@ def news_plan_v1(
     df = _plain_answers(df)
     n = chunks.chunk_size
     gain = hashing.draw_below(truncation // n, F.col(row_id), seed, "gain") + 1
+    df = _encode_news(df, C.NEWS_V1_PREFIX, "", tokens, max(truncation, n))
     df = _ids(df, _budget=(gain * n).cast("int"))
     df = _place_story(
         df,
@@ -436,6 +464,7 @@ def news_plan_v2(
     df = _plain_answers(df)
     n = chunks.chunk_size
     budget = hashing.draw_below(high - low + 1, F.col(row_id), seed, "budget") + low
+    df = _encode_news(df, C.NEWS_V2_PREFIX, C.V2_LEAD, tokens, max(high, window - low))
     df = _ids(df, _budget=budget.cast("int"))
     df = _place_story(
         df,

@@ -145,12 +145,11 @@ def _teacher_student(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumnRenamed("logits", "teacher").join(other, "vec_id")
 
 
-def _news(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as stories: odd lines ask, even lines answer, the last one sums up."""
-    lines = F.split("text", "\n")
-    return _docs(spark, folder).select(
-        "row_id",
-        F.col("text").alias("story"),
+def _news(stories: DataFrame) -> DataFrame:
+    """Stories with their lines: odd lines ask, even lines answer, the last one sums up."""
+    lines = F.split("story", "\n")
+    return stories.select(
+        *stories.columns,
         F.filter(lines, lambda x, i: i % 2 == 0).alias("questions"),
         F.transform(F.filter(lines, lambda x, i: i % 2 == 1), lambda x: F.array(x)).alias(
             "answers"
@@ -160,8 +159,10 @@ def _news(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _news_v1_rows(spark: SparkSession, folder: str) -> DataFrame:
+    # The lines are cut behind the join, so its shuffle carries each story once.
     books = _docs(spark, folder).select("row_id", "text")
-    rows = mixing.distractor_by_position(_news(spark, folder), books)
+    stories = books.withColumnRenamed("text", "story")
+    rows = _news(mixing.distractor_by_position(stories, books))
     rows = samples.news_rows(rows, "lm").withColumn(
         "method", F.when(F.col("row_id") % 2 == 0, "lm").otherwise("distill")
     )
@@ -171,9 +172,9 @@ def _news_v1_rows(spark: SparkSession, folder: str) -> DataFrame:
 def _news_v2_rows(spark: SparkSession, folder: str) -> DataFrame:
     books = _docs(spark, folder).select("row_id", "text")
     rows = mixing.distractor_at_random(
-        _news(spark, folder), books, min_chars=2000, cap=2000, seed=SEED
+        books.withColumnRenamed("text", "story"), books, min_chars=2000, cap=2000, seed=SEED
     )
-    return samples.news_rows(rows)
+    return samples.news_rows(_news(rows))
 
 
 def _copy_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -692,23 +693,25 @@ def chunk_mem_util(spark, folder):
 
 @query(optional=PLAN_OPTIONAL)
 def news_plan_v1(spark, folder):
+    tokens = tk.in_batches(TOKENS)
     return _plan(
-        planners.news_plan_v1(_news_v1_rows(spark, folder), CHUNKS, TOKENS, 512, seed=SEED)
+        planners.news_plan_v1(_news_v1_rows(spark, folder), CHUNKS, tokens, 512, seed=SEED)
     )
 
 
 @query(optional=PLAN_OPTIONAL)
 def catalog_news_plan(spark, folder):
     """Rows as the corpus has them, with alternative answers, through the dispatcher."""
-    rows = _news_v1_rows(spark, folder)
-    return _plan(planners.plan_tasks(rows, CHUNKS, TOKENS, 512, override=C.NEWS_V1, seed=SEED))
+    rows, tokens = _news_v1_rows(spark, folder), tk.in_batches(TOKENS)
+    return _plan(planners.plan_tasks(rows, CHUNKS, tokens, 512, override=C.NEWS_V1, seed=SEED))
 
 
 @query(optional=PLAN_OPTIONAL)
 def news_plan_v2(spark, folder):
+    tokens = tk.in_batches(TOKENS)
     return _plan(
         planners.news_plan_v2(
-            _news_v2_rows(spark, folder), CHUNKS, TOKENS, 512, 384, 448, seed=SEED
+            _news_v2_rows(spark, folder), CHUNKS, tokens, 512, 384, 448, seed=SEED
         )
     )
 

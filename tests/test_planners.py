@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from foliant import config as C
+from foliant import config as C, workloads
 from foliant.functions import tokens as tk
 from foliant.operators import samples
 from foliant.plans import planners
@@ -204,6 +204,49 @@ def test_dispatched_news_hash_as_little(spark):
     assert [r.input_ids for r in collected(planned)] == [r.input_ids for r in collected(alone)]
 
 
+def news_rows(spark):
+    """Short and long stories, unequal sides of turns, nulls, and blanks only."""
+    long = text(300)
+    rows = [
+        (1, text(4), text(400), ["q one", "q two"], ["a one", "a two"], "s t", "lm"),
+        (2, text(500), text(400), [long, "q"], ["a", long], long, "distill"),
+        (3, "", " ", ["", " \n"], ["", "\t"], "", "lm"),
+        (4, text(60), text(2), ["q", "left out"], ["a"], "s", "distill"),
+        (5, None, text(9), ["q"], ["a"], "s", "lm"),
+        (6, text(9), None, [None, "q"], ["a", None], None, "distill"),
+        (7, text(9), text(9), None, ["a"], "s", "lm"),
+        (8, text(9), text(9), [], [], "s", None),
+    ]
+    names = "row_id long, context string, disturb string, questions array<string>, answers array<string>, "
+    return spark.createDataFrame(rows, names + "summation string, method string").coalesce(2)
+
+
+def test_news_plans_of_batches_are_those_of_words(spark):
+    words, batches = C.Tokens(), tk.in_batches()
+    chunks = C.Chunks(64, 2)
+    for plan in (
+        lambda conf: planners.news_plan_v1(news_rows(spark), chunks, conf, 192),
+        lambda conf: planners.news_plan_v1(news_rows(spark), chunks, conf, 64, compat=True),
+        lambda conf: planners.news_plan_v2(news_rows(spark), chunks, conf, 256, 30, 224),
+        lambda conf: planners.plan_tasks(news_rows(spark), chunks, conf, 192, override=C.NEWS_V1),
+    ):
+        assert collected(plan(batches)) == collected(plan(words))
+        # No word is hashed by an expression of the row.
+        assert "md5(cast(lambda" not in plan(batches)._jdf.queryExecution().analyzed().toString()
+
+
+def test_catalog_news_plan_hashes_words_in_batches(spark, tmp_path, monkeypatch):
+    docs = [(i, "\n".join(f"line {i} {j} " + text(j * i % 90) for j in range(i % 40)), "en", "web") for i in range(60)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    docs.withColumn("n_chars", F.length("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    ordered = lambda: workloads.QUERIES["catalog_news_plan"](spark, str(tmp_path)).orderBy("sample_id", "seq")
+    made = ordered()
+    assert "md5(cast(lambda" not in made._jdf.queryExecution().analyzed().toString()
+    got = made.collect()
+    monkeypatch.setattr(tk, "in_batches", lambda conf: conf)
+    assert got and got == ordered().collect()
+
+
 def test_news_plan_v2(spark):
     rows = collected(
         planners.news_plan_v2(news(spark), C.Chunks(64, 2), window=256, low=192, high=224)

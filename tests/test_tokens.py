@@ -154,3 +154,20 @@ def test_word_encoder_gives_the_ids_of_words(spark):
         made = tk.tokenize(F.col("t"), C.Tokens(size, encoder=tk.word_encoder(size)), bos)
         rows = df.select(tk.tokenize(F.col("t"), C.Tokens(size), bos).alias("expected"), made.alias("got")).collect()
         assert len(rows) == len(texts) and all(r.got == r.expected for r in rows)
+
+
+def test_word_list_encoder_gives_the_first_ids_of_each_text(spark):
+    texts = ["", None, " ", "a", " a b", "a  b\t\n c a", "\n\x0b a\x0cb\r\rc \x1c \x85 d", "x y   \U0001f600 é " * 9]
+    lists = [texts, [], None, [None], ["a b c " * 30], *[[t, str(i)] for i, t in enumerate(texts * 150)]]
+    df = spark.createDataFrame([(v,) for v in lists], "t array<string>").coalesce(1)
+    conf = C.Tokens(50)
+    for most in (1, 3, 500):
+        # Many lists are more than the encoder splits at once; no row at all is a batch, too.
+        for rows in (df, df.limit(0), df.filter("size(t) = 0")):
+            made = rows.select(
+                F.transform("t", lambda t: tk.first_n(tk.tokenize(t, conf, False), most)).alias("expected"),
+                tk.in_batches(conf).list_encoder(F.col("t"), most).alias("got"),
+            )
+            assert all(r.got == r.expected for r in made.collect())
+    with pytest.raises(ValueError):
+        tk.in_batches(tk.in_batches(conf))
